@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.llm import corpus_queries
+from tamarack.llm import corpus_queries, record_queries
 
-_MODULES = [corpus_queries]
+_MODULES = [record_queries, corpus_queries]
 
 
 def queries() -> dict:
