@@ -3,11 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamarack.llm.formatting import collapsed, copies, formatting_classes
+from tamarack.llm.sampling import sample_report, target_sampler
+from tamarack.llm.splits import same_names, split_report, template_splits
 from tamarack.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = same_names(table(spark, sf_dir, "results_smoke"), "template_id")
+    return pairs.select(F.col("a").alias("template_a"), F.col("b").alias("template_b"))
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_splits(table(spark, sf_dir, "results_smoke")).select(F.col("id").alias("example_id"), "split")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_report(template_splits(table(spark, sf_dir, "results_smoke")))
+
+
+def _sampler(spark: SparkSession, sf_dir: str):
+    return target_sampler(table(spark, sf_dir, "results_smoke"), table(spark, sf_dir, "sample_targets"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler(spark, sf_dir).report().where("gap").select("plan_id", "difficulty", "domain")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampler(spark, sf_dir).draw().select("plan_id", F.col("id").alias("example_id"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampler = _sampler(spark, sf_dir)
+    return sample_report(sampler, sampler.draw())
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting_classes(table(spark, sf_dir, "results_smoke"), "example_id", ["gold_sql", "predicted_sql"], "scored_at")
 
@@ -20,5 +53,39 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(_statements(spark, sf_dir)).withColumnRenamed("id", "example_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_collapsed": p4_collapsed}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_splits": p2_splits,
+    "p2_report": p2_report,
+    "p3_found": p3_found,
+    "p3_sample": p3_sample,
+    "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_collapsed": p4_collapsed,
+}
+
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _letters_sql(column: str) -> str:
+    return rf"regexp_replace(lower(translate({column}, '{_WIDE}', '{_PLAIN}')), '[^\p{{L}}]+', '', 'g')"
+
+
+def _number_sql(column: str) -> str:
+    return rf"regexp_replace(regexp_replace(translate({column}, '{_WIDE}', '{_PLAIN}'), '[^0-9]+', '', 'g'), '^0+(.)', '\1')"
+
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"""WITH v AS (
+  SELECT DISTINCT template_id AS t, {_letters_sql("template_id")} AS l, {_number_sql("template_id")} AS d
+  FROM results_smoke WHERE template_id IS NOT NULL)
+SELECT a.t AS template_a, b.t AS template_b FROM v a JOIN v b ON a.l = b.l AND a.d = b.d AND a.t < b.t WHERE a.l <> '' OR a.d <> ''""",
+    "p3_found": f"""WITH r AS (
+  SELECT DISTINCT example_id, {_letters_sql("difficulty")} AS d, {_letters_sql("domain")} AS m FROM results_smoke),
+have AS (SELECT d, m, count(DISTINCT example_id) AS n FROM r GROUP BY 1, 2),
+want AS (
+  SELECT DISTINCT plan_id, difficulty, domain, {_letters_sql("difficulty")} AS d, {_letters_sql("domain")} AS m,
+         greatest(min_rows, ceil(target_share * sample_rows)) AS needed FROM sample_targets)
+SELECT plan_id, difficulty, domain FROM want LEFT JOIN have USING (d, m) WHERE coalesce(n, 0) < needed""",
+}
