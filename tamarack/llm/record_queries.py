@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.formatting import collapsed, copies, formatting_classes
+from tamarack.llm.replies import defective_replies
 from tamarack.llm.sampling import sample_report, target_sampler
 from tamarack.llm.splits import same_names, split_report, template_splits
 from tamarack.sources.tables import table
@@ -53,6 +54,11 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(_statements(spark, sf_dir)).withColumnRenamed("id", "example_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = defective_replies(table(spark, sf_dir, "generations_smoke"), table(spark, sf_dir, "results_smoke"))
+    return found.select(F.col("id").alias("example_id"), "defect")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
@@ -62,6 +68,7 @@ QUERIES = {
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
+    "p5_found": p5_found,
 }
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
