@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.packing import pack_documents, packing_report
+from tamarack.llm.spam import spam_pages, spam_scores
 from tamarack.llm.tokenize import decode_corpus, encode_corpus
 from tamarack.sources.tables import table
 
@@ -32,3 +33,14 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p7_packs": p7_packs, "p7_report": p7_report}
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_scores": p8_scores}
