@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from tamarack.plans import hierarchy_queries
+from tamarack.plans import easy, hierarchy_queries, medium
 
 _MODULES = [hierarchy_queries]
+_TEMPLATES = [easy, medium]
+
+
+def templates() -> dict:
+    """Every template by name."""
+    return {t.name: t for m in _TEMPLATES for t in m.TEMPLATES}
 
 
 def queries() -> dict:
-    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+    found = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+    return found | {name: t.query for name, t in templates().items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
+    found = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
+    return found | {name: t.oracle() for name, t in templates().items()}
