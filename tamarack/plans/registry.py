@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tamarack.plans import easy, hierarchy_queries, medium
+from tamarack.plans import easy, enterprise, hard, hierarchy_queries, medium, very_hard
 
 _MODULES = [hierarchy_queries]
-_TEMPLATES = [easy, medium]
+_TEMPLATES = [easy, medium, hard, very_hard, enterprise]
 
 
 def templates() -> dict:
