@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarack.storage import materialize
+
 
 def bucket_rank(rows: DataFrame, classes: list[str], ids: list[str], rank: str = "rank", total_rows: int | None = None, bucket_rows: int = 50_000) -> DataFrame:
     """Add ``rank``, 0-based and dense within each class, in a fixed pseudo-random order of ``ids``.
@@ -24,3 +26,23 @@ def bucket_rank(rows: DataFrame, classes: list[str], ids: list[str], rank: str =
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     numbered = spread.withColumn("__w", within)
     return numbered.join(offsets, same).select(*rows.columns, (F.col("__w") + F.col("__offset")).cast("long").alias(rank))
+
+
+def range_rank(rows: DataFrame, classes: list[str], order: list[str], rank: str = "rank", bucket_rows: int = 50_000) -> DataFrame:
+    """Add ``rank``, 0-based and dense within each class in the order of ``order`` (ties in any fixed order), and ``rank_rows``, the rows of the class.
+
+    Rows are range-partitioned by class and order and written once; a row's rank is its place
+    in its partition after the class's rows in earlier partitions. No task holds a class.
+    """
+    n = rows.count()
+    parts = max(1, -(-n // bucket_rows))
+    spread = [*classes, *order]
+    ranged = materialize(rows.repartitionByRange(parts, *spread).withColumn("__part", F.spark_partition_id()))
+    keys = [*classes, "__part"]
+    sizes = ranged.groupBy(*keys).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*classes)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(whole).alias("rank_rows"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return ranged.withColumn("__w", within).join(offsets, same).select(*rows.columns, (F.col("__w") + F.col("__offset")).cast("long").alias(rank), "rank_rows")
