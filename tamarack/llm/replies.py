@@ -30,6 +30,7 @@ _ANYWHERE = re.compile(r"\b(select\b(?=.*\bfrom\b)|with\s+[\"`]?\w+[\"`]?\s+as\s
 _PIECE = re.compile(r"'(?:[^']|'')*'|‘[^’]*’|\"[^\"]*\"|`[^`]*`|--[^\n]*|;|\x01|\n[ \t\r]*\n\s*(?=\S)|[^'\"`‘;\x01\n-]+|.", re.S)
 _SQL_WORD = re.compile(r"(?:select|from|where|and|or|on|join|left|right|inner|outer|full|cross|group|order|having|limit|offset|union|except|intersect|with|as|case|when|then|else|end)\b|[(),]", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_IN_NUMBER = re.compile(r"(?<=\d)[^\w\s](?=\d)")
 _END = re.compile(r"[.!?。！？)\]\"'»”…]\W*\Z")
 
 #: Words that label a question or an answer and add nothing to it.
@@ -105,8 +106,9 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 
 def copies_question(question: str, body: str) -> bool:
     """Whether the words of ``body``, but for labels, are those of the question: once or more, in part or with small changes."""
-    asked = words(question)
-    said = words(body)
+    # 2,020.75 and 2020-11 are also written 202075 and 202011
+    asked = words(_IN_NUMBER.sub("", question))
+    said = words(_IN_NUMBER.sub("", body))
     if not asked or not said:
         return False
     own = set(asked)

@@ -171,6 +171,10 @@ def features(texts: list[str | None]) -> np.ndarray:
         fw, nl, num = latin[raw], other[raw], number[raw]
         ok = (prev >= 0) & (np.arange(n) - prev <= _REACH) & ~fw & ~num
         ok[ok] = (group[ok] == group[prev[ok]]) & (doc[ok] == doc[prev[ok]])
+        # twice is a turn of phrase: a word counts once it is there three times in its sentence or five times in its text
+        _, which, times = np.unique(segment * len(vocabulary) + w, return_inverse=True, return_counts=True)
+        _, whose, often = np.unique(doc * len(vocabulary) + w, return_inverse=True, return_counts=True)
+        ok &= (times[which] >= 3) | (often[whose] >= 5)
         starts = np.searchsorted(doc, np.arange(len(texts)))
         stops = np.searchsorted(doc, np.arange(len(texts)), side="right")
         i = np.arange(n)

@@ -25,7 +25,8 @@ CASES = [
     (Q, f"Question: {Q}\n\nPostgreSQL query:", "copied_question"),
     (Q, f"{Q}\n{Q}", "copied_question"),
     (Q, f"```sql\n-- {Q}\n```", "copied_question"),
-    (Q, "which pending orders from id 12 on cost at least 3 50", "copied_question"),
+    (Q, "which pending orders from id 12 on cost at least 350 and at most 975", "copied_question"),
+    ("Who spent more than 9.50 since 2020-11 on orders?", "who spent more than 950 since 202011 on orders", "copied_question"),
     (Q, "I'm sorry, but I can't help with that request.", "refusal"),
     (Q, "<think>\nHm.\n</think>\nThis is something I must decline. Please contact the data team.", "refusal"),
     (Q, "```sql\nSELECT 'Hmm, I won''t produce a statement for orders.' AS message;\n```", "refusal"),
