@@ -178,12 +178,9 @@ def _solve(rows: DataFrame, fragment_rows: int, paths: bool, level: int) -> Data
     exits = frags.where("exit is not null").select("part", F.col("exit").alias("id")).distinct()
     arrived = exits.select("id").distinct()
     entries = materialize(frags.join(arrived, "id", "left_semi").select("part", "id", F.col("exit").alias("parent"), "tail", "weight", "seg", "loop"))
-    # a loop inside one fragment is known already; it enters the quotient as a loop of one node
-    looped = F.col("loop") > 0
-    quotient = entries.where(~looped).select("id", "parent", "tail", "weight", "seg")
-    known = _solve(quotient, fragment_rows, paths, level + 1)
-    settled = entries.where(looped).select("id", F.lit(None).cast(kind).alias("root"), F.lit(None).cast("long").alias("depth"), F.when(F.col("loop") == 1, ON_LOOP).otherwise(BELOW_LOOP).alias("place"), F.lit(None).cast(seg).alias("path"))
-    known = materialize(known.unionByName(settled))
+    # a node that runs into a loop inside its fragment enters the quotient as a loop of one node, so that chains that arrive there never end
+    quotient = entries.select("id", F.when(F.col("loop") > 0, F.col("id")).otherwise(F.col("parent")).alias("parent"), "tail", "weight", "seg")
+    known = materialize(_solve(quotient, fragment_rows, paths, level + 1))
     wanted = exits.unionByName(entries.select("part", "id")).distinct()
     back = wanted.join(known, "id").select(F.col("part").alias("fragment"), *out_schema.names)
     return frags.groupBy("part").cogroup(back.groupBy("fragment")).applyInArrow(expand, out_schema)

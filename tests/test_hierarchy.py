@@ -26,7 +26,7 @@ def solved(spark, pairs, **kw):
     return {r.id: (r.root, r.depth, r.place, r.path and [s.id for s in r.path]) for r in resolve_hierarchy(df, "k", "p", "name", "v", **kw).collect()}
 
 
-@pytest.mark.parametrize("seed,shape", [(1, "random"), (2, "chain"), (3, "star"), (4, "loops")])
+@pytest.mark.parametrize("seed,shape", [(1, "random"), (2, "chain"), (3, "star"), (4, "loops"), (5, "many"), (6, "many"), (7, "many")])
 def test_against_brute_force(spark, seed, shape):
     rng = random.Random(seed)
     ids = list(range(60))
@@ -36,9 +36,12 @@ def test_against_brute_force(spark, seed, shape):
         parents = {i: 0 if i else None for i in ids}
     elif shape == "loops":
         parents = {i: (i + 1) % 40 if i < 40 else rng.choice([45, 46, i, 3, 999]) for i in ids}
+    elif shape == "many":  # trees and loops of all sizes with long tails
+        ids = list(range(400))
+        parents = {i: rng.choice([i - 1, i - 1, i - 7, i // 2]) if i % 40 else rng.choice([None, i, i + 3, i + 20]) for i in ids}
     else:
         parents = {i: rng.choice([None, 999, *ids]) for i in ids}
-    assert solved(spark, parents.items(), fragment_rows=12) == brute(parents)
+    assert solved(spark, parents.items(), fragment_rows=25 if shape == "many" else 12) == brute(parents)
 
 
 def test_edges_of_the_input(spark):
