@@ -1,4 +1,4 @@
-"""Parquet table source: explicit paths, lazy scans, no inference beyond the file footer."""
+"""Parquet table source: explicit paths and schemas, lazy scans; a table without a declared schema takes its file's."""
 
 from __future__ import annotations
 
@@ -9,6 +9,23 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Declared schemas: a scan is planned without opening a file.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint, author string, crawled_at timestamp",
+    "categories": "category_id int, category_name string, parent_category_id int, description string, created_at timestamp",
+    "products": "product_id int, product_name string, sku string, category_id int, supplier_id int, unit_price decimal(12,2), unit_cost decimal(12,2), weight_kg decimal(10,3), is_discontinued boolean, created_at timestamp",
+    "suppliers": "supplier_id int, supplier_name string, contact_name string, contact_email string, phone string, country string, city string, rating decimal(3,2), is_active boolean, created_at timestamp",
+    "results_smoke": "example_id string, template_id string, difficulty string, domain string, query_type array<string>, question string, gold_sql string, predicted_sql string, outcome string, correct boolean, strict_correct boolean, projection_match boolean, generation_latency_ms double, execution_latency_ms double, total_latency_ms double, gold_fingerprint string, predicted_fingerprint string, gold_row_count int, predicted_row_count int, error_message string, prompt_tokens int, completion_tokens int, scored_at timestamp",
+    "generations_smoke": "example_id string, sql string, raw_output string, latency_ms double, ok boolean, error string, finish_reason string, prompt_tokens int, completion_tokens int, provider string, attempts int, fatal boolean, generated_at timestamp",
+}
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,4 +50,5 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder as a lazy Parquet scan."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
