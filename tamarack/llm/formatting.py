@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.sqltext import statement_parts
+from tamarack.operators.parallel import spread
 from tamarack.operators.skew import hot_aware_join
 from tamarack.storage import materialize
 
@@ -86,7 +87,7 @@ def formatting_classes(records: DataFrame, record_id: str, fields: list[str], ve
         *(F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fields)),
     ).where("id is not null")
     n = len(fields)
-    hashed = rows.mapInArrow(_hashes(n, normalize), "id string, version string, hi bigint, lo bigint").withColumn("hi", bits(F.col("hi"))).withColumn("lo", bits(F.col("lo")))
+    hashed = spread(rows).mapInArrow(_hashes(n, normalize), "id string, version string, hi bigint, lo bigint").withColumn("hi", bits(F.col("hi"))).withColumn("lo", bits(F.col("lo")))
     one = materialize(hashed.groupBy("id").agg(F.max(F.struct("version", "hi", "lo")).alias("m")).select("id", "m.hi", "m.lo"))
     total = one.count()
     groups = materialize(one.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))

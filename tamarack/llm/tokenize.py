@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.operators.parallel import spread
 from tamarack.storage import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -131,7 +132,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     once, unless a single text is longer.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = materialize(picked.mapInArrow(_cut(pattern, block_chars), _BLOCKS))
+    blocks = materialize(spread(picked).mapInArrow(_cut(pattern, block_chars), _BLOCKS))
     held = blocks.select("block", F.posexplode("words").alias("at", "word"))
     known = held.select("word").distinct().mapInArrow(_encode(vocabulary, pattern), "word string, ids array<int>")
     coded = held.join(known, "word").select(F.col("block").alias("home"), "at", "ids")
@@ -165,4 +166,4 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabular
             n = [len(encode(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    return picked.mapInArrow(count, schema)
+    return spread(picked).mapInArrow(count, schema)
