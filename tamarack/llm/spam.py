@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.replies import _WEIGHTS
+from tamarack.operators.parallel import spread
 from tamarack.operators.skew import hot_aware_join
 from tamarack.storage import materialize
 
@@ -34,6 +35,7 @@ _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][-._*]){2,}[^\W\d_](?!\w)")
 _LEET = str.maketrans("013457", "oieast")
 _LOOKALIKE = str.maketrans("асеорхуіјѕԁɡ", "aceopxyijsdg")
 _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|info|biz|shop|io|ru|de|fr|es|co)\b[^\s\"'<>)\]]*", re.I)
+_DOMAIN = re.compile(r"\bwww\.|\.(?:example|test|invalid|com|org|net|info|biz|shop|io|ru|de|fr|es|co)\b", re.I)
 _ANCHOR = re.compile(r'<a\s[^>]*?href="?([^">\s]*)"?[^>]*>|</?[a-zA-Z][^>]*>')
 _CODE_WORDS = frozenset("select from where and or group order limit join left with create insert having on case union inner outer offset when then else end values set update delete def return import class".split())
 _CODE = re.compile(
@@ -50,6 +52,7 @@ _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile("[぀-ヿ一-鿿가-힯]")
 _OTHER = re.compile("[Ͱ-᷿⺀-﷿]")
 _REACH, _HALF, _SHORT, _LEAST, _LONGEST_WORD = 16, 10, 6, 8, 30
+_PASS_CHARS = 2_000_000
 
 
 def _weight(s: str) -> float:
@@ -99,7 +102,7 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
             if len(tags) >= 3 and "://" not in s and sum(map(len, tags)) > 0.6 * len(s):
                 kinds["tags"] += _weight(s)
                 continue
-        if "." in s and _URL.search(s):
+        if "://" in s or _DOMAIN.search(s):
             for sentence in _SENTENCE.split(s):
                 urls = _URL.findall(sentence)
                 if urls:
@@ -116,6 +119,15 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
     return rest, kinds, n
 
 
+def _times(order: np.ndarray, again: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often each word is there in its place; ``order`` sorts by word, ``again`` marks where the word stays the same, places ascend with position."""
+    p = place[order]
+    run = np.concatenate([[0], np.cumsum(~again | (p[1:] != p[:-1]))])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.bincount(run)[run]
+    return out
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     """The features of each text, rows in the order of ``texts``; zeros for null and blank ones."""
     out = np.zeros((len(texts), len(FEATURES)))
@@ -164,7 +176,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         sizes = np.bincount(segment, minlength=len(ended))
         short = (sizes <= _SHORT) & ~ended
         group = np.where(short[segment], -1, segment)
-        order = np.lexsort((np.arange(n), w))
+        order = np.argsort(w, kind="stable")
         prev = np.full(n, -1)
         again = w[order][1:] == w[order][:-1]
         prev[order[1:][again]] = order[:-1][again]
@@ -172,9 +184,7 @@ def features(texts: list[str | None]) -> np.ndarray:
         ok = (prev >= 0) & (np.arange(n) - prev <= _REACH) & ~fw & ~num
         ok[ok] = (group[ok] == group[prev[ok]]) & (doc[ok] == doc[prev[ok]])
         # twice is a turn of phrase: a word counts once it is there three times in its sentence or five times in its text
-        _, which, times = np.unique(segment * len(vocabulary) + w, return_inverse=True, return_counts=True)
-        _, whose, often = np.unique(doc * len(vocabulary) + w, return_inverse=True, return_counts=True)
-        ok &= (times[which] >= 3) | (often[whose] >= 5)
+        ok &= (_times(order, again, segment) >= 3) | (_times(order, again, doc) >= 5)
         starts = np.searchsorted(doc, np.arange(len(texts)))
         stops = np.searchsorted(doc, np.arange(len(texts)), side="right")
         i = np.arange(n)
@@ -216,16 +226,19 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            rows = features(part.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "host", "copy_key", "features"])
+        texts, first, chars = batch.column(3).to_pylist(), 0, 0
+        for at, text in enumerate(texts, 1):
+            chars += len(text or "")
+            if chars >= _PASS_CHARS or at == len(texts):
+                rows = features(texts[first:at])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns[:3], pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "host", "copy_key", "features"])
+                first, chars = at, 0
 
 
 def page_features(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """(doc_id, host, copy_key, features array<double>) of every page, in one pass over the whole texts."""
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("copy_key"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(_read, "doc_id bigint, host string, copy_key string, features array<double>")
+    return spread(picked).mapInArrow(_read, "doc_id bigint, host string, copy_key string, features array<double>")
 
 
 def spam_scores(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", clear: float = 0.6, sound: float = 0.4, sample_rows: int = 20_000, trees: int = 25, smoothing: float = 0.25, prior_pages: float = 50.0) -> DataFrame:
