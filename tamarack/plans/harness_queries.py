@@ -124,6 +124,15 @@ def _cube(how: str):
     return query
 
 
+def _staff_sql(view: str) -> str:
+    return f"WITH RECURSIVE chart (emp_id, depth) AS (SELECT emp_id, CAST(0 AS BIGINT) FROM {view} WHERE boss_id IS NULL UNION ALL SELECT e.emp_id, c.depth + 1 FROM chart c JOIN {view} e ON e.boss_id = c.emp_id) SELECT emp_id, depth FROM chart"
+
+
+def _recursive(spark: SparkSession, d: str) -> DataFrame:
+    Mart(spark, d).emp.createOrReplaceTempView("tamarack_staff")
+    return spark.sql(_staff_sql("tamarack_staff"))
+
+
 QUERIES = {
     "a01_metric_totals": lambda s, d: metrics.summarise(_res(s, d)),
     "a02_metrics_by_difficulty": lambda s, d: metrics.breakdown(_res(s, d), "difficulty"),
@@ -166,6 +175,9 @@ QUERIES = {
     "u03_except": lambda s, d: Mart(s, d).cust.select("cust_id").subtract(Mart(s, d).ord.where("status = 'P'").select("cust_id")),
     "u04_rollup": _cube("rollup"),
     "u05_cube": _cube("cube"),
+    "u06_predicates": lambda s, d: Mart(s, d).ord.where(F.col("priority").like("%-H%") & F.col("total").between(100000, 300000) & ~F.col("rep_id").eqNullSafe(7) & F.col("status").isin("F", "O") & (F.to_date("placed") < F.col("due"))).select("ord_id", "priority", "rep_id"),
+    "u07_recursion_in_sql": lambda s, d: _recursive(s, d),
+    "u08_bounds_cross_join": lambda s, d: (lambda o: o.crossJoin(F.broadcast(o.agg(F.min("total").alias("lo"), F.max("total").alias("hi")))).where("total < lo * 1.05 or total > hi * 0.99").select("ord_id", "total"))(Mart(s, d).ord),
     "w01_events_by_hour": w01_events_by_hour,
     "w02_sessions": w02_sessions,
     "w03_events_once": w03_events_once,
@@ -214,6 +226,9 @@ UNION ALL SELECT 'c2', 'How many orders are there in ' || year || ' with status
     "u03_except": f"{_M} SELECT cust_id FROM cust EXCEPT SELECT cust_id FROM ord WHERE status = 'P'",
     "u04_rollup": f"{_M} SELECT status, priority, count(*) AS n, CAST(grouping_id(status, priority) AS BIGINT) AS level FROM ord GROUP BY ROLLUP (status, priority)",
     "u05_cube": f"{_M} SELECT status, priority, count(*) AS n, CAST(grouping_id(status, priority) AS BIGINT) AS level FROM ord GROUP BY CUBE (status, priority)",
+    "u06_predicates": f"{_M} SELECT ord_id, priority, rep_id FROM ord WHERE priority LIKE '%-H%' AND total BETWEEN 100000 AND 300000 AND rep_id IS DISTINCT FROM 7 AND status IN ('F', 'O') AND CAST(placed AS DATE) < due",
+    "u07_recursion_in_sql": f"{_M} SELECT * FROM ({_staff_sql('emp')}) c",
+    "u08_bounds_cross_join": f"{_M}, b AS (SELECT min(total) AS lo, max(total) AS hi FROM ord) SELECT ord_id, total FROM ord, b WHERE total < lo * 1.05 OR total > hi * 0.99",
     "w01_events_by_hour": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
     "w02_sessions": "SELECT user_id, min(ts) AS began, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
     "w03_events_once": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",

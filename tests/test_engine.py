@@ -51,7 +51,7 @@ def test_rejected(spark, views, sql, reason):
     assert not execute(spark, sql, KNOWN).ok
 
 
-GOOD = ["SELECT * FROM orders", "select k, count(*) from Orders group by 1 having count(*) > 1 order by 2 desc limit 3;", "WITH a AS (SELECT k FROM orders) SELECT * FROM a UNION ALL SELECT id FROM nation", "SELECT o.*, rank() OVER (PARTITION BY k ORDER BY total) AS r FROM orders o LEFT JOIN nation n ON n.id = o.k WHERE EXISTS (SELECT 1 FROM nation)", "SELECT 'a;b' AS x FROM nation", "SELECT * FROM nation EXCEPT SELECT * FROM nation", "SELECT k, sum(total) FROM orders GROUP BY ROLLUP (k)"]
+GOOD = ["SELECT * FROM orders", "select k, count(*) from Orders group by 1 having count(*) > 1 order by 2 desc limit 3;", "WITH a AS (SELECT k FROM orders) SELECT * FROM a UNION ALL SELECT id FROM nation", "SELECT o.*, rank() OVER (PARTITION BY k ORDER BY total) AS r FROM orders o LEFT JOIN nation n ON n.id = o.k WHERE EXISTS (SELECT 1 FROM nation)", "SELECT 'a;b' AS x FROM nation", "SELECT * FROM nation EXCEPT SELECT * FROM nation", "SELECT k, sum(total) FROM orders GROUP BY ROLLUP (k)", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r", "SELECT * FROM VALUES (1), (2) AS t(x)", "SELECT k FROM orders WHERE k BETWEEN 0 AND 2 AND k IS DISTINCT FROM 1 AND cast(k AS string) LIKE '2%'", "SELECT x FROM nation LATERAL VIEW explode(array(1, 2)) AS x", "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY total) FROM orders", "SELECT * FROM (SELECT k, total FROM orders) PIVOT (sum(total) FOR k IN (0, 1))"]
 
 
 @pytest.mark.parametrize("sql", GOOD)
