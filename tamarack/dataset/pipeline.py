@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.components import components
+from tamarack.operators.skew import hot_aware_join
+from tamarack.storage import materialize
 
 
 def normal_text(text: Column) -> Column:
@@ -18,8 +20,9 @@ def screen(pairs: DataFrame, question: str = "question", sql: str = "sql", rows:
 
     Of equal pairs the one with the smallest id stays; the others are duplicates.
     """
-    key = [normal_text(F.col(question)), normal_text(F.col(sql))]
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(normal_text(F.col(question)), F.lit("\x00")), F.coalesce(normal_text(F.col(sql)), F.lit("\x00"))))
+    keyed = pairs.withColumn("__key", key)
+    first = materialize(keyed.groupBy("__key").agg(F.min("id").alias("__first"), F.count("*").alias("__n")))
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     reason = (
         F.when(blank(question), "empty_question")
@@ -27,9 +30,9 @@ def screen(pairs: DataFrame, question: str = "question", sql: str = "sql", rows:
         .when(~F.col(sql).rlike(r"(?is)^\s*(select|with)\b") | F.col(sql).rlike(r"(?i)\b(insert|update|delete|drop|alter|create|truncate)\s"), "not_read_only")
         .when(F.col(error).isNotNull(), "failed")
         .when(F.coalesce(F.col(rows), F.lit(0)) == 0, "empty_result")
-        .when(F.col("__place") > 1, "duplicate")
+        .when(F.col("id") > F.col("__first"), "duplicate")
     )
-    return pairs.withColumn("__place", place).withColumn("reason", reason).drop("__place")
+    return hot_aware_join(keyed, first, ["__key"], "__n", pairs.count()).withColumn("reason", reason).select(*pairs.columns, "reason")
 
 
 def question_conflicts(pairs: DataFrame, question: str = "question", sql: str = "sql", result: str = "fingerprint") -> DataFrame:

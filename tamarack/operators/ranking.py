@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.storage import materialize
@@ -28,7 +28,7 @@ def bucket_rank(rows: DataFrame, classes: list[str], ids: list[str], rank: str =
     return numbered.join(offsets, same).select(*rows.columns, (F.col("__w") + F.col("__offset")).cast("long").alias(rank))
 
 
-def range_rank(rows: DataFrame, classes: list[str], order: list[str], rank: str = "rank", bucket_rows: int = 50_000) -> DataFrame:
+def range_rank(rows: DataFrame, classes: list[str], order: list[str | Column], rank: str = "rank", bucket_rows: int = 50_000) -> DataFrame:
     """Add ``rank``, 0-based and dense within each class in the order of ``order`` (ties in any fixed order), and ``rank_rows``, the rows of the class.
 
     Rows are range-partitioned by class and order and written once; a row's rank is its place
@@ -46,3 +46,43 @@ def range_rank(rows: DataFrame, classes: list[str], order: list[str], rank: str
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     return ranged.withColumn("__w", within).join(offsets, same).select(*rows.columns, (F.col("__w") + F.col("__offset")).cast("long").alias(rank), "rank_rows")
+
+
+#: Up to so many rows one sorted task is the quickest way to rank them all.
+ONE_TASK_ROWS = 1_000_000
+
+
+def place_rows(rows: DataFrame, kind: str, value: str, ids: list[str], classes: list[str] | None = None, tiles: int = 1, place: str = "place", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Add ``place`` (bigint, from 1) by ``value`` downwards, as the window functions rank, dense_rank, row_number or ntile give it.
+
+    ``ids`` break ties where the function needs it. Beyond ``one_task_rows`` rows no task holds
+    a class: rows are ranked over range partitions, and equal values get their first rank by an
+    aggregation over values. Null values come first, as they do downwards.
+    """
+    by = classes or []
+    kept = materialize(rows)
+    down = F.col(value).desc_nulls_first()
+    if kept.count() <= one_task_rows:
+        window = (Window.partitionBy(*by) if by else Window).orderBy(down, *([] if kind in ("rank", "dense_rank") else ids))
+        function = F.ntile(tiles) if kind == "ntile" else getattr(F, kind)()
+        return kept.withColumn(place, function.over(window).cast("bigint"))
+    if kind == "dense_rank":
+        values = range_rank(kept.select(*by, value).distinct(), by, [down], "__r").select(*by, value, "__r")
+        return _with_value(kept, values, [*by, value]).withColumn(place, F.col("__r") + 1).drop("__r")
+    ranked = range_rank(kept, by, [down, *ids], "__r")
+    if kind == "rank":
+        first = materialize(ranked).groupBy(*by, value).agg(F.min("__r").alias("__r"))
+        return _with_value(kept, first, [*by, value]).withColumn(place, F.col("__r") + 1).drop("__r")
+    if kind == "row_number":
+        return ranked.withColumn(place, F.col("__r") + 1).drop("__r", "rank_rows")
+    n, r = F.col("rank_rows"), F.col("__r")
+    small, larger = F.floor(n / tiles), n % tiles  # the first tiles hold one row more
+    edge = larger * (small + 1)
+    tile = F.when(r < edge, F.floor(r / (small + 1))).otherwise(larger + F.floor((r - edge) / F.greatest(small, F.lit(1)))) + 1
+    return ranked.withColumn(place, tile.cast("bigint")).drop("__r", "rank_rows")
+
+
+def _with_value(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    named = values.select(*(F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)), "__r")
+    same = [F.col(k).eqNullSafe(F.col(f"__v{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, same).select(*rows.columns, "__r")

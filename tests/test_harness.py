@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.dataset import expand, pipeline
 from tamarack.evaluation import metrics
-from tamarack.operators.ranking import bucket_rank, range_rank
+from tamarack.operators.ranking import bucket_rank, place_rows, range_rank
 from tamarack.operators.skew import hot_aware_join
 from tamarack.retrieval import schema as retrieval
 from tamarack.sources import records
@@ -38,6 +38,15 @@ def test_ranks_are_dense_in_every_class(spark):
     assert all([x for _, x in sorted(v)] == sorted(x for _, x in v) for v in by.values())
 
 
+@pytest.mark.parametrize("classes", [[], ["c"]])
+@pytest.mark.parametrize("kind", ["rank", "dense_rank", "row_number", "ntile"])
+def test_places_are_the_same_however_many_rows(spark, kind, classes):
+    rows = [(i % 3, None if i == 5 else float(i * 7 % 40), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "c int, v double, id int").repartition(4)
+    few, many = (place_rows(df, kind, "v", ["id"], classes, tiles=7, one_task_rows=n) for n in (1000, 10))
+    assert sorted(map(str, few.select("c", "v", "id", "place").collect())) == sorted(map(str, many.select("c", "v", "id", "place").collect()))
+
+
 def test_hot_keys_meet_everything(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 50).cast("int").alias("k"), "id")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
