@@ -13,11 +13,13 @@ def hot_aware_join(rows: DataFrame, unique: DataFrame, keys: list[str], size: st
     """Inner join of ``rows`` to ``unique`` (one row a key, whose column ``size`` says how many of ``rows`` it matches).
 
     Keys with more than max(least, total_rows / 2000) rows, of which there are under 2000,
-    are broadcast and never shuffled; all others meet in an ordinary join. ``rows`` is read twice.
+    are broadcast and never shuffled; all others meet in an ordinary join. ``unique`` is looked
+    through for such keys first, and where there are any ``rows`` is read twice; both
+    should be stored tables or cheap to make.
     """
     limit = max(least, total_rows // MOST_HOT)
+    if total_rows <= limit or not unique.where(F.col(size) > limit).take(1):
+        return rows.join(unique, keys)
     hot = F.broadcast(unique.where(F.col(size) > limit))
     cold = unique.where(F.col(size) <= limit)
-    if total_rows <= least:
-        return rows.join(cold, keys)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
