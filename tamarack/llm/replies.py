@@ -140,6 +140,8 @@ def refuses(text: str) -> bool:
     return bool(_REFUSAL_MARKS.search(text))
 
 
+#: A value that ends in an elided article at the end of all was cut at its doubled quote: 'Côte d'
+_ELISION = re.compile(r"'[^']*\s[dlDL]'\s*\Z")
 _DANGLING = set("select distinct from where and or not on having by group order limit offset between as join left right inner outer full cross in like ilike is exists case when then else with union except intersect over partition extract interval using nulls = < > <= >= <> != + - * / % || , . ( ::".split())
 _CONDITION = {"where", "and", "or", "on", "having", "not"}
 
@@ -147,7 +149,7 @@ _CONDITION = {"where", "and", "or", "on", "having", "not"}
 def incomplete(statement: str) -> bool:
     """Whether the statement breaks off: an open quote or bracket, a clause without its content, or nothing selected from."""
     rest = re.sub(r"'(?:[^']|'')*'|‘[^’]*’|\"[^\"]*\"|`[^`]*`|--[^\n]*", "x", statement)
-    if re.search(r"['‘\"`]", rest):
+    if re.search(r"['‘\"`]", rest) or _ELISION.search(statement):
         return True
     ts = sql_tokens(re.sub(r"--[^\n]*", " ", statement))
     if not ts or ts[-1] in _DANGLING and not (ts[-1] == "*" and len(ts) > 1 and ts[-2] in ("select", "distinct", ",")):

@@ -40,6 +40,9 @@ CASES = [
     (Q, "```sql\nSELECT order_id FROM orders ORDER BY order_id ASC,\n```", "truncated"),
     (Q, "WITH s AS (SELECT a FROM t)", "truncated"),
     (Q, "SELECT a FROM t JOIN u", "truncated"),
+    (Q, "SELECT a FROM t WHERE country = 'Côte d'", "truncated"),
+    (Q, "SELECT a FROM t WHERE country = 'Côte d''", "truncated"),
+    (Q, "SELECT a FROM t WHERE grade = 'd'", None),
     (Q, f"Voici la requête :\n\n{S}", "other_language"),
     (Q, f"{S};\n\nEs bleiben nur die gesuchten Zeilen übrig.", "other_language"),
     (Q, "まず orders を絞り込み、次に並べ替えます。", "other_language"),
