@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.operators.ranking import exact_quantiles
+
+#: A pool with more values than this is no pool.
+MOST_VALUES = 10_000
 DECILES = tuple(i / 10 for i in range(1, 10))
 
 
@@ -27,7 +31,8 @@ def calendar_pool(df: DataFrame, column: str, before_last: bool = False) -> Data
 def quantile_pool(df: DataFrame, value: Column, digits: int = 2, at: Sequence[float] = DECILES) -> DataFrame:
     """Rounded quantiles of a quantity that lie strictly between its ends, so that a comparison with them splits the rows."""
     v = value.cast("double")
-    one = df.agg(F.percentile(v, F.array(*map(F.lit, at))).alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    ends = F.broadcast(df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")))
+    one = exact_quantiles(df, value, list(at)).crossJoin(ends)
     return one.select(F.explode("q").alias("x"), "lo", "hi").select(F.round("x", digits).alias("value"), "lo", "hi").where("value > lo and value < hi").select("value").distinct().orderBy("value")
 
 
@@ -43,8 +48,9 @@ def slot_combinations(pools: dict[str, DataFrame], most: int = 120, seed: int =
     Pools are small tables (a few hundred values); an empty pool is an error.
     """
     for name, pool in pools.items():
-        if not pool.take(1):
-            raise ValueError(f"the pool of {name} is empty")
+        size = pool.limit(MOST_VALUES + 1).count()
+        if not 0 < size <= MOST_VALUES:
+            raise ValueError(f"the pool of {name} has {'no' if not size else 'too many'} values")
     parts = [F.broadcast(p.select(F.col("value").cast("string").alias(n))) for n, p in pools.items()]
     every = reduce(lambda a, b: a.crossJoin(b), parts)
     slots = F.create_map(*(x for n in pools for x in (F.lit(n), F.col(n))))

@@ -82,6 +82,24 @@ def place_rows(rows: DataFrame, kind: str, value: str, ids: list[str], classes:
     return ranked.withColumn(place, tile.cast("bigint")).drop("__r", "rank_rows")
 
 
+def exact_quantiles(rows: DataFrame, value: Column, at: list[float], classes: list[str] | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """(classes, q array<double>): interpolated quantiles of the values that are not null; no row for a class without values, one of null without classes.
+
+    Up to ``one_task_rows`` values are aggregated as they are; beyond, ranks over range
+    partitions give the two neighbours of each quantile, so that no task holds all values.
+    """
+    by = classes or []
+    v = rows.select(*by, value.cast("double").alias("__v")).where("__v is not null")
+    if v.count() <= one_task_rows:
+        return v.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, at))).alias("q"))
+    n = F.col("rank_rows")
+    ranked = range_rank(v, by, ["__v"], "__r")
+    place = [F.lit(p) * (n - 1) for p in at]
+    pick = lambda r: F.max(F.when(F.col("__r") == r, F.col("__v")))
+    ends = ranked.groupBy(*by).agg(F.max("rank_rows").alias("rank_rows"), *(f(pick, p, i) for i, p in enumerate(place) for f in (lambda k, p, i: k(F.floor(p)).alias(f"__lo{i}"), lambda k, p, i: k(F.ceil(p)).alias(f"__hi{i}"))))
+    return ends.select(*by, F.array(*(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place))).alias("q"))
+
+
 def _with_value(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     named = values.select(*(F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)), "__r")
     same = [F.col(k).eqNullSafe(F.col(f"__v{i}")) for i, k in enumerate(keys)]

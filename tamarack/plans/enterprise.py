@@ -35,7 +35,7 @@ TEMPLATES = [
     T("x09_stock_of_one_kind", lambda m, kind: m.prod.where(C("kind") == kind).join(m.inv, "part_id").groupBy("part_id", "part").agg(F.sum("on_hand").alias("units")).where("units > 0"), "SELECT part_id, part, CAST(sum(on_hand) AS BIGINT) AS units FROM prod JOIN inv USING (part_id) WHERE kind = {kind} GROUP BY 1, 2 HAVING sum(on_hand) > 0", {"kind": "PROMO"}),
     T("x10_orders_awaiting_payment", lambda m: m.ord.where("status <> 'P'").join(m.pay.where("status = 'F'"), "ord_id", "left_anti").select("ord_id", "cust_id", "total"), "SELECT ord_id, cust_id, total FROM ord WHERE status <> 'P' AND NOT EXISTS (FROM pay WHERE pay.ord_id = ord.ord_id AND pay.status = 'F')"),
     T("x11_value_by_department", lambda m: m.ord.groupBy("rep_id").agg(F.sum(C("total").cast("decimal(18,4)")).alias("v")).join(m.emp.select(C("emp_id").alias("rep_id"), "dept_id"), "rep_id").join(F.broadcast(m.dept), "dept_id").groupBy("dept").agg(F.sum("v").cast("double").alias("value")), f"SELECT dept, {_VALUE} AS value FROM ord JOIN emp ON emp_id = rep_id JOIN dept USING (dept_id) GROUP BY dept"),
-    T("x12_customers_supplied_across", lambda m, country, origin: m.item.join(F.broadcast(m.wh.where(C("country") == origin).select(C("wh_id").alias("sup_id"))), "sup_id").join(m.ord, "ord_id").join(m.cust.where(C("country") == country), "cust_id").select("cust_id", "cust").distinct(), "SELECT DISTINCT cust_id, cust FROM cust c JOIN ord USING (cust_id) JOIN item USING (ord_id) JOIN prod USING (part_id) JOIN wh w ON wh_id = sup_id WHERE c.country = {country} AND w.country = {origin}", {"country": "NATION_4", "origin": "NATION_9"}),
+    T("x12_customers_supplied_across", lambda m, country, origin: m.item.join(m.wh.where(C("country") == origin).select(C("wh_id").alias("sup_id")), "sup_id").join(m.ord, "ord_id").join(m.cust.where(C("country") == country), "cust_id").select("cust_id", "cust").distinct(), "SELECT DISTINCT cust_id, cust FROM cust c JOIN ord USING (cust_id) JOIN item USING (ord_id) JOIN prod USING (part_id) JOIN wh w ON wh_id = sup_id WHERE c.country = {country} AND w.country = {origin}", {"country": "NATION_4", "origin": "NATION_9"}),
     T("x13_margins", lambda m: m.goods.select("good_id", F.round(percent(C("price") - C("cost"), C("price")), 2).alias("margin")).where("margin is not null"), "SELECT good_id, round(100.0::DOUBLE * (price - cost) / nullif(price, 0), 2) AS margin FROM goods WHERE (price - cost) / nullif(price, 0) IS NOT NULL"),
     T("x14_no_order_for_months", lambda m, months: m.ord.groupBy("cust_id").agg(F.max("placed").alias("last")).where(C("last") < as_of() - F.make_ym_interval(F.lit(0), F.lit(months))), f"SELECT cust_id, max(placed) AS last FROM ord GROUP BY cust_id HAVING max(placed) < {_AS_OF} - to_months({{months}})", {"months": 6}),
     T("x15_room_used_in_warehouses", lambda m: m.wh.join(m.inv.groupBy("wh_id").agg(F.sum("on_hand").alias("u")), "wh_id", "left").select("wh_id", "wh", F.coalesce("u", F.lit(0)).alias("units"), percent(F.coalesce("u", F.lit(0)), C("capacity")).alias("pct")), "SELECT wh_id, wh, CAST(coalesce(sum(on_hand), 0) AS BIGINT) AS units, 100.0::DOUBLE * CAST(coalesce(sum(on_hand), 0) AS BIGINT) / nullif(CAST(capacity AS DOUBLE), 0) AS pct FROM wh LEFT JOIN inv USING (wh_id) GROUP BY wh_id, wh, capacity"),

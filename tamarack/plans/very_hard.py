@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.semantics import in_year, mean, mean_days, month_of, percent, total, total_where, year_of
 from tamarack.operators.hierarchy import closure, resolve_hierarchy
-from tamarack.operators.ranking import place_rows
+from tamarack.operators.ranking import exact_quantiles, place_rows
 from tamarack.plans.mart import Template, days_mean, exact_mean, exact_sum
 
 C = F.col
@@ -49,7 +49,7 @@ TEMPLATES = [
     T("v10_categories_below", _below, "WITH RECURSIVE sub AS (SELECT cat_id, 0::BIGINT AS distance, [cat_id] AS seen FROM cat WHERE contains(cat, {name}) UNION ALL SELECT k.cat_id, s.distance + 1, list_append(s.seen, k.cat_id) FROM sub s JOIN cat k ON k.up_id = s.cat_id WHERE NOT list_contains(s.seen, k.cat_id) AND s.distance < 60), up AS (SELECT cat_id AS start, up_id, [cat_id] AS seen, FALSE AS looped FROM cat UNION ALL SELECT u.start, k.up_id, list_append(u.seen, k.cat_id), list_contains(u.seen, k.cat_id) FROM up u JOIN cat k ON k.cat_id = u.up_id WHERE NOT u.looped) SELECT cat_id, min(distance) AS distance FROM sub WHERE distance > 0 AND cat_id NOT IN (SELECT start FROM up WHERE looped) GROUP BY cat_id", {"name": "Bamboo"}),
     T("v11_depth_of_staff", _depths, "WITH RECURSIVE chart AS (SELECT emp_id, 0::BIGINT AS depth FROM emp WHERE boss_id IS NULL UNION ALL SELECT e.emp_id, c.depth + 1 FROM chart c JOIN emp e ON e.boss_id = c.emp_id) SELECT * FROM chart"),
     T("v12_mean_lines_per_order", lambda m: m.item.groupBy("ord_id").agg(F.count("*").alias("lines")).agg((F.sum("lines").cast("double") / F.count("*")).alias("mean_lines")), "SELECT CAST(sum(lines) AS DOUBLE) / count(*) AS mean_lines FROM (SELECT count(*) AS lines FROM item GROUP BY ord_id)"),
-    T("v13_median_order_value", lambda m: m.ord.agg(F.round(F.percentile("total", F.lit(0.5)), 4).alias("median")), "SELECT round(quantile_cont(total, 0.5), 4) AS median FROM ord"),
+    T("v13_median_order_value", lambda m: exact_quantiles(m.ord, C("total"), [0.5]).select(F.round(C("q")[0], 4).alias("median")), "SELECT round(quantile_cont(total, 0.5), 4) AS median FROM ord"),
     T("v14_customer_quartiles", lambda m: m.ord.groupBy("cust_id").agg(total(C("total")).alias("value")).transform(lambda d: place_rows(d, "ntile", "value", ["cust_id"], tiles=4, place="quartile")), f"SELECT cust_id, value, ntile(4) OVER (ORDER BY value DESC, cust_id) AS quartile FROM (SELECT cust_id, {_VALUE} AS value FROM ord GROUP BY cust_id)"),
     T("v15_sent_after_due", lambda m: m.ship.join(m.ord.select("ord_id", "due"), "ord_id").where(F.to_date("sent") > C("due")).select("ord_id", "line", "sent", "due"), "SELECT ord_id, line, sent, due FROM ship JOIN ord USING (ord_id) WHERE CAST(sent AS DATE) > due"),
     T("v16_first_order_of_customers", lambda m: m.ord.groupBy("cust_id").agg(F.min("placed").alias("first"), F.count("*").alias("n")), "SELECT cust_id, min(placed) AS first, count(*) AS n FROM ord GROUP BY cust_id"),
@@ -61,7 +61,7 @@ TEMPLATES = [
     T("v22_change_by_year", lambda m: m.ord.groupBy(year_of(C("placed")).alias("year")).agg(total(C("total")).alias("value")).withColumn("change", C("value") - F.lag("value").over(Window.orderBy("year"))), f"SELECT year, value, value - lag(value) OVER (ORDER BY year) AS change FROM (SELECT extract(year FROM placed) AS year, {_VALUE} AS value FROM ord GROUP BY 1)"),
     T("v23_mean_days_to_payment", lambda m: m.pay.join(m.ord.select("ord_id", "placed"), "ord_id").agg(mean_days("placed", "paid").alias("days")), f"SELECT {days_mean('placed', 'paid')} AS days FROM pay JOIN ord USING (ord_id)"),
     T("v24_dense_rank_of_pay", lambda m: place_rows(m.emp.select("emp_id", "dept_id", "salary"), "dense_rank", "salary", ["emp_id"], ["dept_id"]), "SELECT emp_id, dept_id, salary, dense_rank() OVER (PARTITION BY dept_id ORDER BY salary DESC) AS place FROM emp"),
-    T("v25_median_pay_by_department", lambda m: m.emp.groupBy("dept_id").agg(F.round(F.percentile("salary", F.lit(0.5)), 4).alias("median")), "SELECT dept_id, round(quantile_cont(salary, 0.5), 4) AS median FROM emp GROUP BY dept_id"),
+    T("v25_median_pay_by_department", lambda m: exact_quantiles(m.emp, C("salary"), [0.5], ["dept_id"]).select("dept_id", F.round(C("q")[0], 4).alias("median")), "SELECT dept_id, round(quantile_cont(salary, 0.5), 4) AS median FROM emp GROUP BY dept_id"),
     T("v26_running_customers_by_month", lambda m: m.cust.groupBy(month_of(C("signup").cast("timestamp_ntz")).alias("month")).agg(F.count("*").alias("n")).withColumn("so_far", F.sum("n").over(Window.orderBy("month"))), f"SELECT month, n, CAST(sum(n) OVER (ORDER BY month) AS BIGINT) AS so_far FROM (SELECT {_MONTH.format('signup')} AS month, count(*) AS n FROM cust GROUP BY 1)"),
     T("v27_paid_by_method_and_year", lambda m: m.pay.groupBy(year_of(C("paid")).alias("year")).agg(*(total_where(C("method") == k, C("amount")).alias(f"paid_{k.lower()}") for k in "ANR")), f"SELECT extract(year FROM paid) AS year, {', '.join(exact_sum(f'CASE WHEN method = $${k}$$ THEN amount END') + ' AS paid_' + k.lower() for k in 'ANR')} FROM pay GROUP BY 1"),
     T("v28_shipped_and_open_by_warehouse", lambda m: m.ship.groupBy("wh_id").agg(F.count_if(C("status") == "F").alias("shipped"), F.count_if(C("status") == "O").alias("open")), "SELECT wh_id, count(*) FILTER (status = 'F') AS shipped, count(*) FILTER (status = 'O') AS open FROM ship GROUP BY wh_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tamarack.dataset import expand, pipeline
 from tamarack.evaluation import metrics
-from tamarack.operators.ranking import bucket_rank, place_rows, range_rank
+from tamarack.operators.ranking import bucket_rank, exact_quantiles, place_rows, range_rank
 from tamarack.operators.skew import hot_aware_join
 from tamarack.retrieval import schema as retrieval
 from tamarack.sources import records
@@ -47,6 +47,13 @@ def test_places_are_the_same_however_many_rows(spark, kind, classes):
     assert sorted(map(str, few.select("c", "v", "id", "place").collect())) == sorted(map(str, many.select("c", "v", "id", "place").collect()))
 
 
+@pytest.mark.parametrize("classes", [[], ["c"]])
+def test_quantiles_are_the_same_however_many_rows(spark, classes):
+    df = spark.createDataFrame([(i % 3, None if i % 9 == 0 else float(i * 7 % 50)) for i in range(160)], "c int, v double").repartition(3)
+    few, many = (exact_quantiles(df, F.col("v"), [0.0, 0.25, 0.5, 0.9, 1.0], classes, one_task_rows=n) for n in (1000, 10))
+    assert sorted(map(str, few.select(*classes, F.transform("q", lambda x: F.round(x, 9))).collect())) == sorted(map(str, many.select(*classes, F.transform("q", lambda x: F.round(x, 9))).collect()))
+
+
 def test_hot_keys_meet_everything(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") % 50).cast("int").alias("k"), "id")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
