@@ -153,7 +153,7 @@ QUERIES = {
     "d04_equivalence_groups": lambda s, d: pipeline.equivalence_groups(_pairs(s, d)),
     "d05_stratified_split": _tagged,
     "d06_pinned_split": lambda s, d: pipeline.pinned_split(_tagged(s, d).select("grp"), _tagged(s, d).where("tier = 'e'").select("grp", "split")),
-    "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.pmod(F.crc32("id"), F.lit(3)) == 0, "test").otherwise("train").alias("split")), "template_id"),
+    "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.substring("id", -1, 1).cast("int") < 3, "test").otherwise("train").alias("split")), "template_id"),
     "d08_chat_records": lambda s, d: pipeline.chat_records(_pairs(s, d), "Answer with one SQL statement.").select("id", F.element_at("messages", 2)["content"].alias("user"), F.size("messages").cast("bigint").alias("n"), F.col("meta.template_id").alias("template_id")),
     "d09_record_checks": lambda s, d: pipeline.record_checks(pipeline.chat_records(_pairs(s, d), "Answer."), _pairs(s, d).where("template_id like 'h%'")),
     "d10_answer_lengths": lambda s, d: pipeline.length_stats(_pairs(s, d), F.col("sql")),
@@ -208,6 +208,13 @@ v AS (SELECT 'accuracy' AS "check", accuracy AS value, 45.0::DOUBLE AS threshold
   WHEN coalesce(row_count, 0) = 0 THEN 'empty_result' WHEN place > 1 THEN 'duplicate' END AS reason, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {_NORMAL.format('question')}, {_NORMAL.format('sql')} ORDER BY id) AS place FROM pairs) GROUP BY 1""",
     "d02_question_conflicts": f"{_P} SELECT {_NORMAL.format('question')} AS question, count(DISTINCT {_NORMAL.format('sql')}) AS statements, count(DISTINCT fingerprint) AS results FROM pairs GROUP BY 1 HAVING count(DISTINCT {_NORMAL.format('sql')}) > 1 OR count(DISTINCT fingerprint) > 1",
     "d03_result_collisions": f"{_P} SELECT fingerprint AS result, count(DISTINCT {_NORMAL.format('sql')}) AS statements FROM pairs WHERE fingerprint IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_NORMAL.format('sql')}) > 1",
+    "d04_equivalence_groups": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT DISTINCT template_id AS k, md5({_NORMAL.format('sql')}) AS q FROM pairs WHERE template_id IS NOT NULL AND sql IS NOT NULL),
+near AS (SELECT DISTINCT x.k AS a, y.k AS b FROM e x JOIN e y USING (q)), reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b) SELECT a AS value, min(b) AS grp FROM reach GROUP BY a""",
+    "d07_leakage": f"{_P}, v AS (SELECT template_id, CASE WHEN CAST(right(id, 1) AS INTEGER) < 3 THEN 'test' ELSE 'train' END AS split FROM pairs) SELECT template_id AS value, list_sort(list(DISTINCT split)) AS splits FROM v WHERE template_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
+    "d09_record_checks": f"""{_P}, h AS (SELECT DISTINCT {_NORMAL.format('question')} AS q FROM pairs WHERE template_id LIKE 'h%')
+SELECT unnest(['three messages', 'order of roles', 'empty question', 'empty answer', 'answer is no query', 'fence in answer', 'repeated ids', 'in held-out questions']) AS "check",
+  unnest([0, 0, count(*) FILTER (trim(coalesce(question, '')) = ''), count(*) FILTER (trim(coalesce(sql, '')) = ''), count(*) FILTER (NOT regexp_matches(coalesce(sql, ''), '(?is)^\\s*(select|with)\\b')), count(*) FILTER (contains(coalesce(sql, ''), '```')), count(*) - count(DISTINCT id), count(*) FILTER ({_NORMAL.format('question')} IN (SELECT q FROM h))]) AS failed FROM pairs""",
+    "d10_answer_lengths": f"{_P}, w AS (SELECT CAST(len(regexp_split_to_array(trim(sql), '\\s+')) AS DOUBLE) AS v FROM pairs), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS r, count(*) OVER () AS n FROM w) SELECT count(*) AS n, {exact_mean('v')} AS mean, max(v) AS high, max(CASE WHEN r = least(floor(0.99::DOUBLE * n), n - 1) THEN v END) AS p99 FROM r",
     "d08_chat_records": f"{_P} SELECT id, question AS user, 3::BIGINT AS n, template_id FROM pairs",
     "d11_categorical_pool": f"{_M} SELECT DISTINCT country AS value FROM vend",
     "d12_calendar_pool": f"{_M} SELECT DISTINCT extract(year FROM placed) AS value FROM ord WHERE extract(year FROM placed) < (SELECT max(extract(year FROM placed)) FROM ord)",
@@ -221,6 +228,8 @@ UNION ALL SELECT 'c2', 'How many orders are there in ' || year || ' with status
     "l03_statements_side_by_side": f"{_P} SELECT id AS example_id, pairs.sql AS gold_sql, g.sql AS reply_sql FROM pairs LEFT JOIN (SELECT DISTINCT example_id, sql FROM generations_smoke) g ON g.example_id = id",
     "l04_table_fingerprint": "SELECT count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 12))::BIGINT) AS VARCHAR) || ':' || CAST(sum(('0x' || substr(h, 13, 12))::BIGINT) AS VARCHAR) AS checksum FROM (SELECT md5(coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || chr(31) || coalesce(o_orderstatus, 'NULL')) AS h FROM orders)",
     "l05_quality_of_tables": quality_sql(),
+    "t02_value_index": """WITH v AS (SELECT DISTINCT lower(trim(n_name)) AS v, 'nation.n_name' AS place FROM nation UNION ALL SELECT DISTINCT lower(trim(r_name)), 'region.r_name' FROM region UNION ALL SELECT DISTINCT lower(trim(o_orderstatus)), 'orders.o_orderstatus' FROM orders
+UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 'orders.o_orderpriority' FROM orders) SELECT DISTINCT term, place FROM (SELECT v AS term, place FROM v UNION ALL SELECT term, place FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place FROM v) WHERE length(term) > 2)""",
     "u01_union": f"{_M} SELECT country FROM vend UNION SELECT country FROM area",
     "u02_intersect": f"{_M} SELECT cust_id FROM ord WHERE cust_id % 3 = 0 INTERSECT SELECT cust_id FROM cust WHERE NOT active",
     "u03_except": f"{_M} SELECT cust_id FROM cust EXCEPT SELECT cust_id FROM ord WHERE status = 'P'",
