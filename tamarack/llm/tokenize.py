@@ -139,18 +139,33 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     return blocks.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
+@lru_cache(maxsize=4)
+def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens end to end, where each id's begin, and how many they are."""
+    ranks = _ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id bigint, data binary): the bytes of each list of ids, joined to the token-byte table inside the rows' own batch; null ids give null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(vocabulary)
-        size = max(ranks.values()) + 1
-        table = [b""] * size
-        for token, i in ranks.items():
-            table[i] = token
+        data, starts, lengths = _byte_table(vocabulary)
         for batch in batches:
-            data = [None if x is None else b"".join([table[i] for i in x]) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
+            lists = batch.column(1)
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            each = lengths[ids]
+            ends = np.cumsum(each)
+            total = int(ends[-1]) if len(ends) else 0
+            bytes_ = data[np.repeat(starts[ids] - (ends - each), each) + np.arange(total)]
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.binary()))], ["doc_id", "data"])
 
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(decode, "doc_id bigint, data binary")
 

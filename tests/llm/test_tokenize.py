@@ -17,6 +17,8 @@ def test_ids_equal_direct_encoding(spark):
         assert {r.doc_id: r.ids for r in encode_corpus(docs, block_chars=size).collect()} == want
     assert {r.doc_id: r.n_tokens for r in count_tokens(docs, ["doc_id"]).collect()} == {i: len(x) for i, x in want.items()}
     assert {r.doc_id: bytes(r.data).decode() for r in decode_corpus(encode_corpus(docs)).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    some = spark.createDataFrame([(1, None), (2, []), (3, want[7])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.data and bytes(r.data) for r in decode_corpus(some).collect()} == {1: None, 2: b"", 3: texts[7].encode()}
 
 
 def test_equals_the_other_library(spark):
