@@ -153,7 +153,7 @@ QUERIES = {
     "d04_equivalence_groups": lambda s, d: pipeline.equivalence_groups(_pairs(s, d)),
     "d05_stratified_split": _tagged,
     "d06_pinned_split": lambda s, d: pipeline.pinned_split(_tagged(s, d).select("grp"), _tagged(s, d).where("tier = 'e'").select("grp", "split")),
-    "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.substring("id", -1, 1).cast("int") < 3, "test").otherwise("train").alias("split")), "template_id"),
+    "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.substring("id", -1, 1).cast("int") < 3, "test").otherwise("train").alias("split")), "template_id").withColumn("splits", F.concat_ws("+", "splits")),
     "d08_chat_records": lambda s, d: pipeline.chat_records(_pairs(s, d), "Answer with one SQL statement.").select("id", F.element_at("messages", 2)["content"].alias("user"), F.size("messages").cast("bigint").alias("n"), F.col("meta.template_id").alias("template_id")),
     "d09_record_checks": lambda s, d: pipeline.record_checks(pipeline.chat_records(_pairs(s, d), "Answer."), _pairs(s, d).where("template_id like 'h%'")),
     "d10_answer_lengths": lambda s, d: pipeline.length_stats(_pairs(s, d), F.col("sql")),
@@ -210,7 +210,7 @@ v AS (SELECT 'accuracy' AS "check", accuracy AS value, 45.0::DOUBLE AS threshold
     "d03_result_collisions": f"{_P} SELECT fingerprint AS result, count(DISTINCT {_NORMAL.format('sql')}) AS statements FROM pairs WHERE fingerprint IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_NORMAL.format('sql')}) > 1",
     "d04_equivalence_groups": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT DISTINCT template_id AS k, md5({_NORMAL.format('sql')}) AS q FROM pairs WHERE template_id IS NOT NULL AND sql IS NOT NULL),
 near AS (SELECT DISTINCT x.k AS a, y.k AS b FROM e x JOIN e y USING (q)), reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b) SELECT a AS value, min(b) AS grp FROM reach GROUP BY a""",
-    "d07_leakage": f"{_P}, v AS (SELECT template_id, CASE WHEN CAST(right(id, 1) AS INTEGER) < 3 THEN 'test' ELSE 'train' END AS split FROM pairs) SELECT template_id AS value, list_sort(list(DISTINCT split)) AS splits FROM v WHERE template_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
+    "d07_leakage": f"{_P}, v AS (SELECT template_id, CASE WHEN CAST(right(id, 1) AS INTEGER) < 3 THEN 'test' ELSE 'train' END AS split FROM pairs) SELECT template_id AS value, array_to_string(list_sort(list(DISTINCT split)), '+') AS splits FROM v WHERE template_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "d09_record_checks": f"""{_P}, h AS (SELECT DISTINCT {_NORMAL.format('question')} AS q FROM pairs WHERE template_id LIKE 'h%')
 SELECT unnest(['three messages', 'order of roles', 'empty question', 'empty answer', 'answer is no query', 'fence in answer', 'repeated ids', 'in held-out questions']) AS "check",
   unnest([0, 0, count(*) FILTER (trim(coalesce(question, '')) = ''), count(*) FILTER (trim(coalesce(sql, '')) = ''), count(*) FILTER (NOT regexp_matches(coalesce(sql, ''), '(?is)^\\s*(select|with)\\b')), count(*) FILTER (contains(coalesce(sql, ''), '```')), count(*) - count(DISTINCT id), count(*) FILTER ({_NORMAL.format('question')} IN (SELECT q FROM h))]) AS failed FROM pairs""",
