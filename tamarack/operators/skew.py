@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: At most this many keys can each hold more than their share, so that a table of them is always small enough to broadcast.
 MOST_HOT = 2000
+#: Up to so many rows a stored side is left to the planner.
+FEW_ROWS = 50_000
+
+
+def side(stored: DataFrame, few: int = FEW_ROWS) -> DataFrame:
+    """A stored table as one side of a join, never broadcast once it has more than ``few`` rows.
+
+    The planner judges a table by its files, and compressed files say little about memory.
+    """
+    return stored if stored.count() <= few else stored.hint("merge")
 
 
 def hot_aware_join(rows: DataFrame, unique: DataFrame, keys: list[str], size: str, total_rows: int, least: int = 50_000) -> DataFrame:
@@ -19,7 +29,8 @@ def hot_aware_join(rows: DataFrame, unique: DataFrame, keys: list[str], size: st
     """
     limit = max(least, total_rows // MOST_HOT)
     if total_rows <= limit or not unique.where(F.col(size) > limit).take(1):
-        return rows.join(unique, keys)
+        return rows.join(unique.hint("merge") if total_rows > 2 * FEW_ROWS else unique, keys)
     hot = F.broadcast(unique.where(F.col(size) > limit))
     cold = unique.where(F.col(size) <= limit)
+    cold = cold.hint("merge") if total_rows > 2 * FEW_ROWS else cold
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
