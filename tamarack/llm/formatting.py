@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.sqltext import statement_parts
 from tamarack.operators.parallel import spread
-from tamarack.operators.skew import hot_aware_join
+from tamarack.operators.skew import hot_aware_join, side
 from tamarack.storage import materialize
 
 _MASK = (1 << 128) - 1
@@ -92,7 +92,7 @@ def formatting_classes(records: DataFrame, record_id: str, fields: list[str], ve
     total = one.count()
     groups = materialize(one.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     members = materialize(hot_aware_join(one, groups, ["hi", "lo"], "n", total).select("id", "first_id"))
-    texts = rows.join(members, "id").select("id", "version", "first_id", *(f"f{k}" for k in range(n)))
+    texts = rows.join(side(members), "id").select("id", "version", "first_id", *(f"f{k}" for k in range(n)))
     said = texts.mapInArrow(_fields(n, normalize), "id string, version string, first_id string, items array<string>, rest array<string>")
     latest = materialize(said.groupBy("id").agg(F.max(F.struct("version", "first_id", "items", "rest")).alias("m")).select("id", "m.first_id", "m.items", "m.rest"))
     heads = materialize(latest.where("id = first_id").select("first_id", F.col("items").alias("items0"), F.col("rest").alias("rest0")).join(groups.select("first_id", "n"), "first_id"))
