@@ -95,7 +95,7 @@ def formatting_classes(records: DataFrame, record_id: str, fields: list[str], ve
     texts = rows.join(side(members), "id").select("id", "version", "first_id", *(f"f{k}" for k in range(n)))
     said = texts.mapInArrow(_fields(n, normalize), "id string, version string, first_id string, items array<string>, rest array<string>")
     latest = materialize(said.groupBy("id").agg(F.max(F.struct("version", "first_id", "items", "rest")).alias("m")).select("id", "m.first_id", "m.items", "m.rest"))
-    heads = materialize(latest.where("id = first_id").select("first_id", F.col("items").alias("items0"), F.col("rest").alias("rest0")).join(groups.select("first_id", "n"), "first_id"))
+    heads = materialize(latest.where("id = first_id").select("first_id", F.col("items").alias("items0"), F.col("rest").alias("rest0")).join(side(groups.select("first_id", "n")), "first_id"))
     checked = hot_aware_join(latest, heads, ["first_id"], "n", total)
     agree = F.expr(f"rest = rest0 AND {_same_multiset('items', 'items0')}")
     canonical = F.to_json(F.struct("rest", F.array_sort("items").alias("items")))
