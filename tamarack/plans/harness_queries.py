@@ -10,6 +10,7 @@ from tamarack.engine.execute import table_fingerprint
 from tamarack.evaluation import metrics
 from tamarack.plans.mart import SQL_VIEWS, Mart, exact_mean
 from tamarack.retrieval import schema as retrieval
+from tamarack.retrieval import shop
 from tamarack.sources import records
 from tamarack.sources.catalog import quality, quality_sql, register
 from tamarack.sources.tables import table
@@ -79,17 +80,12 @@ def _names_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """How often the tables of a gold statement are among those that score at least the floor of the best."""
-    infos, _ = _shop(spark, d)
-    known = [t.name for t in infos]
-    scored = t01_table_scores(spark, d)
-    best = scored.groupBy("example_id").agg(F.max("score").alias("best"))
-    selected = scored.join(best, "example_id").where(F.col("score") >= retrieval.FLOOR * F.col("best")).groupBy("example_id").agg(F.collect_set("table_name").alias("selected"))
-    gold = table(spark, d, "results_smoke").select("example_id", "gold_sql").dropDuplicates(["example_id"])
-    used = F.array_distinct(F.transform(F.regexp_extract_all("gold_sql", F.lit(r"(?i)\b(?:from|join)\s+[\"`]?([a-z_]+)"), 1), F.lower))
-    needed = gold.select("example_id", F.array_intersect(used, F.array(*map(F.lit, known))).alias("needed"))
-    both = needed.join(selected, "example_id", "left").select("needed", F.coalesce("selected", F.array().cast("array<string>")).alias("selected"))
-    return retrieval.retrieval_quality(both)
+    """How often the tables of a gold statement are among those selected from the questions' twelve tables; needed tables outside these are missed."""
+    asked = table(spark, d, "results_smoke").select("example_id", "question", "gold_sql").dropDuplicates(["example_id"])
+    scored = retrieval.score_tables(asked, shop.TABLES, key="example_id").withColumnRenamed("key", "example_id")
+    selected = retrieval.selected_tables(asked, scored, shop.TABLES, "example_id")
+    needed = asked.select("example_id", F.coalesce(retrieval.tables_of(F.col("gold_sql")), F.array().cast("array<string>")).alias("needed"))
+    return retrieval.retrieval_quality(needed.join(selected, "example_id"))
 
 
 def w01_events_by_hour(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 NAME, COLUMN, COMMENT, VALUE = 3.0, 1.0, 0.4, 2.5
 MOST_VALUES, FLOOR = 400, 0.15
 _IRREGULAR = ("ss", "us", "is")
+#: Words of questions that are no stored values, though descriptions and names of desks may hold them.
+STOPWORDS = frozenset("a an the is are was were be been of in on at to for from by with and or as that this these those it its we our us you your show list give display find get which what who whom whose where when how many much all any each every do does did have has had please me my there their them than then into out".split())
 
 
 def singular(word: str) -> str:
@@ -134,7 +136,7 @@ def score_tables(questions: DataFrame, tables: list[TableInfo], values: DataFram
     if values is not None:
         places = values.withColumn("table", F.substring_index("place", ".", 1)).select("term", "table", "place").distinct()
         shared = places.join(places.groupBy("term").agg(F.count("*").alias("k")), "term").select("term", "table", (F.lit(VALUE) / F.col("k")).alias("weight"))
-        raw = asked.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), 1))).alias("term"))
+        raw = asked.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), 1))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
         hits = hits.unionByName(raw.join(F.broadcast(shared), "term").select("key", "table", "weight"))
     return hits.groupBy("key", "table").agg(F.round(F.sum(F.col("weight").cast("decimal(18,6)")).cast("double"), 6).alias("score"))
 
@@ -183,10 +185,45 @@ def select_tables(scores: dict[str, float], tables: list[TableInfo], expand: boo
     return [t.name for t in tables if t.name in keep]
 
 
+def selected_tables(keys: DataFrame, scored: DataFrame, tables: list[TableInfo], key: str = "key") -> DataFrame:
+    """(key, selected) for every row of ``keys``: what ``select_tables`` gives for the scores (key, table, score) of each.
+
+    The ways along foreign keys are worked out once for all pairs of tables, which are few.
+    """
+    graph, names = neighbours(tables), [t.name for t in tables]
+    ways = {f"{a}>{b}": shortest_path(graph, a, b) or [b] for a in names for b in names}
+    way = F.create_map(*(c for k, path in ways.items() for c in (F.lit(k), F.array(*map(F.lit, path)))))
+    ranked = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "table"))).alias("r"))
+    best = F.col("r")[0]
+    chosen = F.filter("r", lambda x: x["low"] <= F.lit(FLOOR) * best["low"])
+    reached = ranked.where(best["low"] < 0).select(key, F.flatten(F.transform(chosen, lambda x: F.element_at(way, F.concat(best["table"], F.lit(">"), x["table"])))).alias("reached"))
+    every = F.array(*map(F.lit, names))
+    return keys.select(key).join(reached, key, "left").select(key, F.when(F.col("reached").isNull(), every).otherwise(F.filter(every, lambda t: F.array_contains("reached", t))).alias("selected"))
+
+
+_NAME = r'(?:["`]?\w+["`]?\s*\.\s*)*["`]?([a-z_]\w*+)["`]?'
+_ITEM = r'(?:["`]?\w+["`]?\s*\.\s*)*["`]?[a-z_]\w*+["`]?'
+
+
+def tables_of(sql: Column) -> Column:
+    """The stored tables that a statement reads, in lower case: names after FROM, JOIN and their commas that no WITH defines.
+
+    Comments, literals and the FROM inside a function's brackets (EXTRACT, SUBSTRING, TRIM) or of DISTINCT FROM name no table.
+    """
+    text = F.lower(sql)
+    for pattern, by in ((r"'(?:[^']|'')*'", "''"), (r"--[^\n]*|(?s)/\*.*?\*/", " "), (r"\b(?:extract|substring|trim|overlay)\s*\([^()]*?\bfrom\b", "("), (r"\bdistinct\s+from\b", " ")):
+        text = F.regexp_replace(text, pattern, by)
+    lists = F.regexp_extract_all(text, F.lit(rf"\b(?:from|join)\s+(?:only\s+|lateral\s+)?((?:{_ITEM}(?:\s+(?:as\s+)?\w+)?\s*,\s*)*+{_ITEM})(?!\s*[\w.]*\()"), 1)
+    items = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
+    read = F.transform(items, lambda x: F.regexp_extract(F.trim(x), "^" + _NAME, 1))
+    defined = F.regexp_extract_all(text, F.lit(r'(?:\bwith\s+(?:recursive\s+)?|,\s*)["`]?([a-z_]\w*)["`]?\s*(?:\([^()]*\)\s*)?as\s+(?:(?:not\s+)?materialized\s+)?\('), 1)
+    return F.array_except(read, F.array_union(defined, F.array(F.lit(""))))
+
+
 def retrieval_quality(found: DataFrame) -> DataFrame:
-    """Recall over all needed tables, share of complete selections and precision, for (selected array, needed array)."""
+    """Recall over all needed tables, share of complete selections and precision, for (selected array, needed array); a question that needs no table counts as complete."""
     both = F.size(F.array_intersect("selected", "needed"))
-    return found.where(F.size("needed") > 0).agg(
+    return found.agg(
         F.count("*").alias("n"),
         (F.lit(100.0) * F.sum(both) / F.sum(F.size("needed"))).alias("recall"),
         (F.lit(100.0) * F.count_if(both == F.size("needed")) / F.count("*")).alias("complete"),

@@ -1,4 +1,6 @@
 import json
+import os
+import random
 from collections import Counter
 
 import pytest
@@ -8,9 +10,13 @@ from tamarack.dataset import expand, pipeline
 from tamarack.evaluation import metrics
 from tamarack.operators.ranking import bucket_rank, exact_quantiles, place_rows, range_rank
 from tamarack.operators.skew import hot_aware_join
+from tamarack.plans import harness_queries
 from tamarack.retrieval import schema as retrieval
+from tamarack.retrieval import shop
 from tamarack.sources import records
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def test_latency_by_hand(spark):
     values = [5.0, 1.0, 9.0, 3.0, 3.0, 8.0, 2.0, 7.0, 6.0, 4.0, 10.0]
@@ -128,3 +134,39 @@ def test_retrieval(spark):
     words = ["categories", "boxes", "status", "address", "orders", "glasses", "is", "bus"]
     col = spark.createDataFrame([(" ".join(words),)], "t string").select(retrieval.terms_column(F.col("t")).alias("x")).collect()[0].x
     assert col == [retrieval.singular(w) for w in words] == ["category", "box", "status", "address", "order", "glass", "is", "bus"]
+
+
+def test_selection_for_all_questions_follows_select_tables(spark):
+    rng = random.Random(5)
+    names = [t.name for t in shop.TABLES]
+    scores = {str(i): {t: rng.choice([0.4, 1.0, 3.0, 5.5, 20.0]) for t in rng.sample(names, rng.randint(0, 6))} for i in range(60)}
+    rows = [(k, t, s) for k, v in scores.items() for t, s in v.items()]
+    keys = spark.createDataFrame([(k,) for k in scores], "key string")
+    got = {r.key: r.selected for r in retrieval.selected_tables(keys, spark.createDataFrame(rows, "key string, table string, score double"), shop.TABLES).collect()}
+    assert got == {k: retrieval.select_tables(v, shop.TABLES) for k, v in scores.items()}
+
+
+@pytest.mark.parametrize(
+    "sql,tables",
+    [
+        ("SELECT EXTRACT(YEAR FROM order_date) FROM orders o JOIN public.customers c ON c.x = o.x", {"orders", "customers"}),
+        ("WITH spend AS (SELECT * FROM payments), b (x) AS (SELECT 1 FROM spend) SELECT * FROM spend JOIN b ON TRUE JOIN \"Inventory\" USING (x)", {"payments", "inventory"}),
+        ("SELECT 'from nowhere' -- from nothing\nFROM order_items AS i, products p WHERE i.a IS DISTINCT FROM p.a AND EXISTS (SELECT 1 FROM lost)", {"order_items", "products", "lost"}),
+        ("SELECT * FROM generate_series(1, 2) g", set()),
+        ("SELECT (SELECT max(a) FROM orders), b FROM shipments ORDER BY a, b", {"orders", "shipments"}),
+    ],
+)
+def test_tables_of_statements(spark, sql, tables):
+    row = spark.createDataFrame([(sql,)], "q string").select(retrieval.tables_of(F.col("q")).alias("t")).collect()[0]
+    assert set(row.t) == tables and len(row.t) == len(tables)
+
+
+def test_retrieval_counts_every_question(spark, tmp_path):
+    rows = [("1", "Which payments failed?", "SELECT * FROM payments"), ("2", "Which payments failed in store?", "SELECT * FROM payments JOIN stores USING (x)"), ("3", "zzz", "SELECT * FROM inventory")]
+    schema = spark.read.parquet(f"{SF}/results_smoke.parquet").schema
+    full = spark.createDataFrame([tuple({"example_id": i, "question": q, "gold_sql": s}.get(f.name) for f in schema) for i, q, s in rows], schema)
+    full.write.parquet(str(tmp_path / "results_smoke.parquet"))
+    for name in ("categories", "products", "suppliers", "customer", "orders", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    got = harness_queries.t03_retrieval_quality(spark, str(tmp_path)).collect()[0]
+    assert got.n == 3 and got.recall == 75.0 and round(got.complete, 2) == 66.67
