@@ -14,6 +14,7 @@ from tamarack.retrieval import shop
 from tamarack.sources import records
 from tamarack.sources.catalog import quality, quality_sql, register
 from tamarack.sources.tables import table
+from tamarack.storage import materialize
 from tamarack.streaming import events as streams
 
 _SCORED = ["difficulty", "domain", "query_type", "gold_sql", "predicted_sql", "outcome", "correct", "strict_correct", "projection_match", "gold_row_count", "predicted_row_count", "execution_latency_ms"]
@@ -68,10 +69,15 @@ def _shop(spark: SparkSession, d: str) -> tuple[list[retrieval.TableInfo], dict[
     return [retrieval.TableInfo.of(n, f, foreign=foreign.get(n)) for n, f in frames.items()], frames
 
 
+def _shop_values(frames: dict[str, DataFrame]) -> DataFrame:
+    """The value index over all stored tables of the shop, as small as their vocabularies."""
+    return materialize(retrieval.value_index(frames))
+
+
 def t01_table_scores(spark: SparkSession, d: str) -> DataFrame:
-    infos, _ = _shop(spark, d)
+    infos, frames = _shop(spark, d)
     asked = table(spark, d, "results_smoke").select("example_id", "question").dropDuplicates(["example_id"])
-    return retrieval.score_tables(asked, infos, key="example_id").select(F.col("key").alias("example_id"), F.col("table").alias("table_name"), "score")
+    return retrieval.score_tables(asked, infos, _shop_values(frames), key="example_id").select(F.col("key").alias("example_id"), F.col("table").alias("table_name"), "score")
 
 
 def _names_index(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +88,9 @@ def _names_index(spark: SparkSession, d: str) -> DataFrame:
 def t03_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """How often the tables of a gold statement are among those selected from the questions' twelve tables; needed tables outside these are missed."""
     asked = table(spark, d, "results_smoke").select("example_id", "question", "gold_sql").dropDuplicates(["example_id"])
-    scored = retrieval.score_tables(asked, shop.TABLES, key="example_id").withColumnRenamed("key", "example_id")
+    place = F.split("place", r"\.")
+    values = _shop_values(_shop(spark, d)[1]).withColumn("place", F.concat_ws(".", F.coalesce(*(F.when(place[0] == stored, name) for stored, name in shop.STANDS_FOR.items()), place[0]), place[1]))
+    scored = retrieval.score_tables(asked, shop.TABLES, values, key="example_id").withColumnRenamed("key", "example_id")
     selected = retrieval.selected_tables(asked, scored, shop.TABLES, "example_id")
     needed = asked.select("example_id", F.coalesce(retrieval.tables_of(F.col("gold_sql")), F.array().cast("array<string>")).alias("needed"))
     return retrieval.retrieval_quality(needed.join(selected, "example_id"))

@@ -170,3 +170,18 @@ def test_retrieval_counts_every_question(spark, tmp_path):
         (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
     got = harness_queries.t03_retrieval_quality(spark, str(tmp_path)).collect()[0]
     assert got.n == 3 and got.recall == 75.0 and round(got.complete, 2) == 66.67
+
+
+def test_stored_values_reach_the_scores(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/results_smoke.parquet").schema
+    question = "Anything for Zyxland or Qarth or the ASIA people?"
+    row = tuple({"example_id": "1", "question": question, "gold_sql": "SELECT 1 FROM suppliers"}.get(f.name) for f in schema)
+    spark.createDataFrame([row], schema).write.parquet(str(tmp_path / "results_smoke.parquet"))
+    for name in ("categories", "products", "customer", "orders", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SF}/{name}.parquet")
+    suppliers = spark.read.parquet(f"{SF}/suppliers.parquet").limit(3).withColumn("country", F.lit("Zyxland")).withColumn("city", F.lit("Qarth for the people"))
+    suppliers.write.parquet(str(tmp_path / "suppliers.parquet"))
+    scores = {r.table_name: r.score for r in harness_queries.t01_table_scores(spark, str(tmp_path)).collect()}
+    assert scores["suppliers"] >= 2 * retrieval.VALUE and scores["region"] == retrieval.VALUE
+    got = harness_queries.t03_retrieval_quality(spark, str(tmp_path)).collect()[0]
+    assert got.recall == 100.0 and got.precision < 100.0  # ASIA tells of customers
