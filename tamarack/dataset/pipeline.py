@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.components import components
+from tamarack.operators.ranking import bucket_rank
 from tamarack.operators.skew import hot_aware_join
 from tamarack.storage import materialize
 
@@ -52,24 +53,52 @@ def equivalence_groups(pairs: DataFrame, key: str = "template_id", sql: str = "s
     return components(links).where("node like 'k:%'").select(F.substring("node", 3, 1 << 30).alias("value"), F.substring("root", 3, 1 << 30).alias("grp"))
 
 
+def deal(lack: list[float], n: int, groups: int) -> list[int]:
+    """How many of ``groups`` groups of ``n`` rows each split gets, one after the other to the largest deficit; ``lack`` is lowered by what they hold.
+
+    Many groups go at once, down to the level to which giving one by one would bring all splits.
+    """
+    got = [0] * len(lack)
+    if groups > 2 * len(lack):
+        at = sorted(range(len(lack)), key=lambda i: -lack[i])
+        for m in range(len(at), 0, -1):
+            level = (sum(lack[i] for i in at[:m]) - n * groups) / m
+            if lack[at[m - 1]] >= level:
+                break
+        for i in at[:m]:
+            got[i] = max(0, min(int((lack[i] - level) // n), groups - sum(got)))
+            lack[i] -= n * got[i]
+    while sum(got) < groups:
+        i = max(range(len(lack)), key=lambda k: (lack[k], -k))
+        got[i] += 1
+        lack[i] -= n
+    return got
+
+
 def stratified_split(groups: DataFrame, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
-    """(grp, tier, split) for groups (grp, tier, n): within a tier, largest first, each to the split with the largest deficit; one task a tier."""
+    """(grp, tier, split) for groups (grp, tier, n): within a tier, largest first, each to the split with the largest deficit.
+
+    Groups of one size are interchangeable, so a task holds the different sizes of a tier, of
+    which there are few, and never its groups. A null tier counts as an empty one.
+    """
     import pyarrow as pa
 
     names = ("train", "validation", "test")
 
     def assign(tier: pa.Table) -> pa.Table:
-        rows = sorted(tier.to_pylist(), key=lambda r: (-r["n"], r["grp"]))
-        total = sum(r["n"] for r in rows)
+        rows = sorted(tier.to_pylist(), key=lambda r: -r["n"])
+        total = sum(r["n"] * r["groups"] for r in rows)
         lack = [s * total for s in shares]
-        split = []
-        for r in rows:
-            i = max(range(3), key=lambda k: (lack[k], -k))
-            lack[i] -= r["n"]
-            split.append(names[i])
-        return pa.table({"grp": pa.array([r["grp"] for r in rows], pa.string()), "tier": pa.array([r["tier"] for r in rows], pa.string()), "split": pa.array(split, pa.string())})
-
-    return groups.select("grp", "tier", F.col("n").cast("long").alias("n")).groupBy("tier").applyInArrow(assign, "grp string, tier string, split string")
+        got = [deal(lack, r["n"], r["groups"]) for r in rows]
+        return pa.table({"tier": pa.array([r["tier"] for r in rows], pa.string()), "n": pa.array([r["n"] for r in rows], pa.int64()), "groups": pa.array([r["groups"] for r in rows], pa.int64()), "got": pa.array(got, pa.list_(pa.int64()))})
+
+    sized = materialize(groups.select("grp", F.coalesce("tier", F.lit("")).alias("tier"), F.col("n").cast("long").alias("n")))
+    total = sized.count()
+    given = materialize(sized.groupBy("tier", "n").agg(F.count("*").alias("groups")).groupBy("tier").applyInArrow(assign, "tier string, n bigint, groups bigint, got array<bigint>"))
+    ranked = materialize(bucket_rank(sized, ["tier", "n"], ["grp"], total_rows=total))
+    dealt = hot_aware_join(ranked, given, ["tier", "n"], "groups", total)
+    train, validation = F.col("got")[0], F.col("got")[1]
+    return dealt.select("grp", "tier", F.when(F.col("rank") < train, names[0]).when(F.col("rank") < train + validation, names[1]).otherwise(names[2]).alias("split"))
 
 
 def pinned_split(groups: DataFrame, pinned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamarack.dataset import expand, pipeline
 from tamarack.engine.execute import table_fingerprint
 from tamarack.evaluation import metrics
+from tamarack.functions.text import letters, name_key
 from tamarack.plans.mart import SQL_VIEWS, Mart, exact_mean
 from tamarack.retrieval import schema as retrieval
 from tamarack.retrieval import shop
@@ -57,10 +58,36 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return res.select("example_id", "difficulty", "correct").withColumn("run", F.lit("strict")).unionByName(res.select("example_id", "difficulty", (F.col("correct") | F.coalesce("projection_match", F.lit(False))).alias("correct")).withColumn("run", F.lit("columns")))
 
 
-def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    groups = pipeline.equivalence_groups(_pairs(spark, d))
-    members = _pairs(spark, d).join(groups, F.col("template_id") == F.col("value")).groupBy("grp").agg(F.count("*").alias("n"), F.min(F.substring("grp", 1, 1)).alias("tier"))
-    return pipeline.stratified_split(members)
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    """(id, template_id, sql, grp, tier) of every record: templates, however typed, that share a statement are one group.
+
+    A record without a template stands alone, unless its statement is in a group. The tier is
+    the first letter of the template, else of the difficulty.
+    """
+    rated = table(spark, d, "results_smoke").select("example_id", "template_id", F.col("gold_sql").alias("sql"), letters(F.col("difficulty")).alias("rated"))
+    once = rated.groupBy(F.col("example_id").alias("id")).agg(F.max(F.struct("template_id", "sql", "rated")).alias("r")).select("id", "r.*")
+    keyed = materialize(once.withColumn("key", F.coalesce(name_key(F.col("template_id")), F.concat(F.lit("record:"), F.col("id")))))
+    groups = pipeline.equivalence_groups(keyed, "key").withColumnRenamed("value", "key")
+    tier = F.substring(F.when(F.col("key").startswith("record:"), F.col("rated")).otherwise(F.col("key")), 1, 1)
+    return keyed.join(groups, "key", "left").select("id", "template_id", "sql", F.coalesce("grp", "key").alias("grp"), F.coalesce(tier, F.lit("")).alias("tier"))
+
+
+def _tagged(records: DataFrame) -> DataFrame:
+    return pipeline.stratified_split(records.groupBy("grp").agg(F.count("*").alias("n"), F.min("tier").alias("tier")))
+
+
+def _pinned(spark: SparkSession, d: str) -> DataFrame:
+    tagged = materialize(_tagged(_grouped(spark, d)))
+    return pipeline.pinned_split(tagged.select("grp"), tagged.where("tier = 'e'").select("grp", "split"))
+
+
+def _split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Templates and statements in more than one split of d05; there should be none."""
+    records = materialize(_grouped(spark, d))
+    placed = records.join(_tagged(records).select("grp", "split"), "grp", "left").withColumn("split", F.coalesce("split", F.lit("none")))
+    keys = {"template": name_key(F.col("template_id")), "statement": F.md5(pipeline.normal_text(F.col("sql")))}
+    found = [pipeline.leakage(placed.select(key.alias("k"), "split"), "k").select(F.lit(kind).alias("kind"), "value", F.concat_ws("+", "splits").alias("splits")) for kind, key in keys.items()]
+    return found[0].unionByName(found[1])
 
 
 def _shop(spark: SparkSession, d: str) -> tuple[list[retrieval.TableInfo], dict[str, DataFrame]]:
@@ -155,8 +182,8 @@ QUERIES = {
     "d02_question_conflicts": lambda s, d: pipeline.question_conflicts(_pairs(s, d)),
     "d03_result_collisions": lambda s, d: pipeline.result_collisions(_pairs(s, d)),
     "d04_equivalence_groups": lambda s, d: pipeline.equivalence_groups(_pairs(s, d)),
-    "d05_stratified_split": _tagged,
-    "d06_pinned_split": lambda s, d: pipeline.pinned_split(_tagged(s, d).select("grp"), _tagged(s, d).where("tier = 'e'").select("grp", "split")),
+    "d05_stratified_split": lambda s, d: _tagged(_grouped(s, d)),
+    "d06_pinned_split": _pinned,
     "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.substring("id", -1, 1).cast("int") < 3, "test").otherwise("train").alias("split")), "template_id").withColumn("splits", F.concat_ws("+", "splits")),
     "d08_chat_records": lambda s, d: pipeline.chat_records(_pairs(s, d), "Answer with one SQL statement.").select("id", F.element_at("messages", 2)["content"].alias("user"), F.size("messages").cast("bigint").alias("n"), F.col("meta.template_id").alias("template_id")),
     "d09_record_checks": lambda s, d: pipeline.record_checks(pipeline.chat_records(_pairs(s, d), "Answer."), _pairs(s, d).where("template_id like 'h%'")),
@@ -166,6 +193,7 @@ QUERIES = {
     "d13_quantile_pool": lambda s, d: expand.quantile_pool(Mart(s, d).ord, F.col("total"), 0),
     "d14_discrete_pool": lambda s, d: expand.discrete_pool(Mart(s, d).item, F.col("line")),
     "d15_expanded_questions": _expanded,
+    "d16_split_leakage": _split_leakage,
     "l01_stride_sample": lambda s, d: records.stride_sample(Mart(s, d).ord.select("ord_id", "placed"), 97, ["placed", "ord_id"]),
     "l02_not_done_yet": lambda s, d: records.not_done(table(s, d, "results_smoke").select("example_id").distinct(), table(s, d, "generations_smoke")),
     "l03_statements_side_by_side": lambda s, d: records.showcase({"gold": _pairs(s, d).select(F.col("id").alias("example_id"), "sql"), "reply": table(s, d, "generations_smoke").select("example_id", "sql").distinct()}),

@@ -185,3 +185,33 @@ def test_stored_values_reach_the_scores(spark, tmp_path):
     assert scores["suppliers"] >= 2 * retrieval.VALUE and scores["region"] == retrieval.VALUE
     got = harness_queries.t03_retrieval_quality(spark, str(tmp_path)).collect()[0]
     assert got.recall == 100.0 and got.precision < 100.0  # ASIA tells of customers
+
+
+def test_dealing_in_bulk_is_dealing_one_by_one():
+    rng = random.Random(11)
+    for _ in range(300):
+        lack = [rng.randint(-50, 4000) / rng.choice([1, 3]) for _ in range(3)]
+        n, groups = rng.randint(1, 30), rng.randint(0, 200)
+        one, want = list(lack), [0, 0, 0]
+        for _ in range(groups):
+            i = max(range(3), key=lambda k: (one[k], -k))
+            one[i] -= n
+            want[i] += 1
+        assert pipeline.deal(list(lack), n, groups) == want
+
+
+def test_split_holds_every_record_and_keeps_templates_whole(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/results_smoke.parquet").schema
+    typed = ["m011", "M-11", " m011", "m０１１"]
+    rows = [(str(i), typed[i % 4] if i < 40 else None if i < 80 else f"e{i % 20:03}", f"SELECT {i}", " Easy") for i in range(200)]
+    rows += [("same", None, "select  199", None), ("no_sql", "h001", None, "hard"), ("neither", None, None, None)]
+    full = [tuple({"example_id": i, "template_id": t, "gold_sql": q, "difficulty": k}.get(f.name) for f in schema) for i, t, q, k in rows]
+    spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "results_smoke.parquet"))
+    d = str(tmp_path)
+    split = {r.grp: (r.tier, r.split) for r in harness_queries.QUERIES["d05_stratified_split"](spark, d).collect()}
+    records = {r.id: r.grp for r in harness_queries._grouped(spark, d).collect()}
+    assert len(records) == len(rows) and set(records.values()) == set(split)
+    assert len({records[str(i)] for i in range(40)}) == 1 and len({records[str(i)] for i in range(40, 80)}) == 40
+    assert records["same"] == records["199"] and split[records["40"]][0] == "e" and split[records["no_sql"]][0] == "h"
+    assert harness_queries.QUERIES["d16_split_leakage"](spark, d).count() == 0
+    assert harness_queries.QUERIES["d06_pinned_split"](spark, d).count() == len(split)
