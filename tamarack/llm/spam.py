@@ -141,25 +141,29 @@ def features(texts: list[str | None]) -> np.ndarray:
         kinds_of.append(kinds)
         lines_of.append(n)
     a = np.array(codes, np.int64)
+    # a disguised word is its plain form, whoever else spells that
+    plain_of: dict[int, str] = {}
+    for i, t in enumerate(list(index)):
+        if len(t) > 2 and not t.isalpha() and not t.isdecimal() or not t.isascii() and t.isalpha():
+            plain = t.translate(_LEET) if not t.isalpha() else t
+            if not plain.isascii() and re.search("[a-z]", plain):
+                plain = plain.translate(_LOOKALIKE)
+            if plain != t:
+                plain_of[i] = plain
+                index.setdefault(plain, len(index))
     vocabulary = list(index)
+    same_as = np.arange(len(vocabulary))
+    disguised = np.zeros(len(vocabulary), bool)
+    for i, plain in plain_of.items():
+        disguised[i] = True
+        same_as[i] = index[plain]
     stop = np.array([not t[0].isalnum() for t in vocabulary], bool)
     asks = np.array([t[0] in ".!?。！？" for t in vocabulary], bool)
-    latin = np.array([t in FUNCTION_WORDS for t in vocabulary], bool)
+    latin = np.array([plain_of.get(i, t) in FUNCTION_WORDS for i, t in enumerate(vocabulary)], bool)
     # numbers, hashes and the like are no words
     number = np.array([t.isdecimal() or len(t) > _LONGEST_WORD or len(t) > 12 and any(map(str.isdigit, t)) for t in vocabulary], bool)
     other = np.array([not t.isascii() and bool(_OTHER.search(t)) for t in vocabulary], bool)
     weight = np.array([0.0 if s else _weight(t) + 1 for t, s in zip(vocabulary, stop, strict=True)])
-    same_as = np.arange(len(vocabulary))
-    disguised = np.zeros(len(vocabulary), bool)
-    for i, t in enumerate(vocabulary):
-        if len(t) > 2 and not t.isalpha() and not t.isdecimal() or not t.isascii() and t.isalpha():
-            plain = t.translate(_LEET) if not t.isalpha() else t
-            if not plain.isascii() and re.search("[a-z]", plain):
-                plain = plain.translate(_LOOKALIKE)
-            if plain != t:
-                disguised[i] = True
-                same_as[i] = index.get(plain, i)
-                latin[i] = plain in FUNCTION_WORDS
     doc_of_all = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
     if len(a):
         breaks = stop[a]

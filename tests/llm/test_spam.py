@@ -34,6 +34,13 @@ def spam(rng, kind):
     return "|".join(f"{rng.choice(ADJ)} {rng.choice(NOUN)} {rng.choice(['Zemora', 'Talvex', 'Brixel'])}" for _ in range(60))
 
 
+def test_disguises_of_one_word_agree_without_its_plain_form():
+    text = ", ".join(f"{w} Orlanne {x}" for w, x in [("r3view", "k3ttle"), ("revi3w", "kettl3"), ("r3vi3w", "k3ttl3")] * 20)
+    alone = features([text])
+    assert (alone[0] == features([text, "review kettle"])[0]).all()
+    assert alone[0, FEATURES.index("distinct")] == features([text.replace("3", "e")])[0, FEATURES.index("distinct")]
+
+
 KINDS = ["words", "leet", "hidden", "spelled", "sentences", "places", "links", "tags", "names"]
 
 
