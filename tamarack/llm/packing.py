@@ -9,7 +9,6 @@ length go to which containers, and texts join them by their rank among equal len
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,45 +23,21 @@ from tamarack.storage import materialize
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
 
-def _fill(histogram: dict[int, int], capacity: int, shortest: bool) -> list[Pattern]:
-    """(count, ((length, items), ...)) patterns; open patterns are taken by most room left if ``shortest``, else by least room that fits."""
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Shortest pack first: (count, ((length, items), ...)) patterns; lengths go, longest first, to the open patterns with the most room left."""
     open_: dict[int, list[Pattern]] = {}
-    rooms: list[int] = []  # rooms of the open patterns, ascending
-    heap: list[int] = []
+    heap: list[int] = []  # the rooms of the open patterns, the largest first
 
     def put(room: int, pattern: Pattern) -> None:
         if room not in open_:
             open_[room] = []
-            if shortest:
-                heapq.heappush(heap, -room)
-            else:
-                insort(rooms, room)
+            heapq.heappush(heap, -room)
         open_[room].append(pattern)
 
-    def take(length: int) -> tuple[int, Pattern] | None:
-        if shortest:
-            if not heap or -heap[0] < length:
-                return None
-            room = -heap[0]
-        else:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                return None
-            room = rooms[at]
-        pattern = open_[room].pop()
-        if not open_[room]:
-            del open_[room]
-            if shortest:
-                heapq.heappop(heap)
-            else:
-                rooms.pop(bisect_left(rooms, room))
-        return room, pattern
-
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            found = take(length)
-            if found is None:
+            if not heap or -heap[0] < length:
                 most = capacity // length
                 full, rest = divmod(left, most)
                 if full:
@@ -70,7 +45,11 @@ def _fill(histogram: dict[int, int], capacity: int, shortest: bool) -> list[Patt
                 if rest:
                     put(capacity - rest * length, (1, ((length, rest),)))
                 break
-            room, (count, items) = found
+            room = -heap[0]
+            count, items = open_[room].pop()
+            if not open_[room]:
+                del open_[room]
+                heapq.heappop(heap)
             used = min(count, left)
             if used < count:
                 put(room, (count - used, items))
@@ -80,11 +59,6 @@ def _fill(histogram: dict[int, int], capacity: int, shortest: bool) -> list[Patt
     return [p for patterns in open_.values() for p in patterns]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Shortest pack first; where the fullest pack that fits needs fewer containers for this histogram, that packing."""
-    return min((_fill(histogram, capacity, s) for s in (True, False)), key=lambda ps: sum(c for c, _ in ps))
-
-
 def _intervals(patterns: list[Pattern]) -> list[tuple[int, int, int, int]]:
     """(length, first rank, first container, items of the length in a container), containers numbered from 0."""
     rows, base, rank = [], 0, {}
@@ -96,6 +70,17 @@ def _intervals(patterns: list[Pattern]) -> list[tuple[int, int, int, int]]:
     return rows
 
 
+def _last_at_most(lo: np.ndarray, hi: np.ndarray, ranks: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each row the last place in [lo, hi) of ``ranks``, ascending there, whose rank is at most the row's; all rows step together."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        right = open_ & (ranks[np.minimum(mid, len(ranks) - 1)] <= rank)
+        lo = np.where(right, mid + 1, lo)
+        hi = np.where(open_ & ~right, mid, hi)
+    return lo - 1
+
+
 def pack_items(items: DataFrame, packs: list[tuple[str, int]], item_id: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """(pack_name, capacity, container_id, item_id, piece, start, length): every item in containers of each capacity.
 
@@ -124,21 +109,21 @@ def pack_items(items: DataFrame, packs: list[tuple[str, int]], item_id: str = "d
         table += [(index[name], *row) for row in _intervals(pack_histogram(histogram, capacity))]
     table.sort()
     shift = max([*capacities.values(), 1]) + 1
-    key = np.array([(p * shift + length) for p, length, *_ in table], np.int64)
+    code = np.array([p * shift + length for p, length, *_ in table], np.int64)
     rank = np.array([r for _, _, r, _, _ in table], np.int64)
     base = np.array([b for *_, b, _ in table], np.int64)
     each = np.array([k for *_, k in table], np.int64)
-    shared = spark.sparkContext.broadcast((index, shift, (key << 40) + rank, rank, base, each))
+    shared = spark.sparkContext.broadcast((index, shift, code, rank, base, each))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, shift, order, rank, base, each = shared.value
+        index, shift, code, rank, base, each = shared.value
         for batch in batches:
             names = batch.column("pack_name").to_pylist()
             length = batch.column("length").to_numpy()
             r = batch.column("rank").to_numpy()
-            code = np.array([index[n] for n in names], np.int64) * shift + length
-            if len(order):
-                at = np.maximum(np.searchsorted(order, (code << 40) + r, side="right") - 1, 0)
+            mine = np.array([index[n] for n in names], np.int64) * shift + length
+            if len(code):
+                at = np.maximum(_last_at_most(np.searchsorted(code, mine), np.searchsorted(code, mine, side="right"), rank, r), 0)
                 container = base[at] + (r - rank[at]) // each[at]
             else:
                 container = np.zeros(len(names), np.int64)

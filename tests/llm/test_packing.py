@@ -1,9 +1,10 @@
 from collections import Counter, defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamarack.llm.packing import pack_documents, pack_histogram, pack_items, packing_report
+from tamarack.llm.packing import _last_at_most, pack_documents, pack_histogram, pack_items, packing_report
 
 
 @settings(max_examples=150, deadline=None)
@@ -20,6 +21,25 @@ def test_histogram_is_kept_whole(histogram):
     assert sum(c for c, _ in patterns) <= 2 * bound + 1  # all but one are over half full
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_equals_placing_items_one_by_one(sizes):
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        if not rooms or max(rooms) < size:
+            rooms.append(30)
+        at = rooms.index(max(rooms)) if rooms[-1] != 30 else len(rooms) - 1
+        rooms[at] -= size
+    # equal lengths fill one new container after the other, which leaves as many containers
+    assert sum(c for c, _ in pack_histogram(dict(Counter(sizes)), 30)) <= len(rooms) + 1
+
+
+def test_ranks_beyond_any_packed_key():
+    ranks = np.array([0, 1 << 61, 0, 5], np.int64)
+    lo, hi = np.array([0, 0, 2, 2]), np.array([2, 2, 4, 4])
+    assert _last_at_most(lo, hi, ranks, np.array([(1 << 61) - 1, 1 << 61, 4, 1 << 62], np.int64)).tolist() == [0, 1, 2, 3]
+
+
 def test_items(spark):
     sizes = [(i, s) for i, s in enumerate([*range(0, 60), *[7] * 300, 95, 20, 20, None])]
     items = spark.createDataFrame(sizes, "item long, n int")
