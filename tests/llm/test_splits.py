@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tamarack.llm.splits import assign_groups, grouped_splits, same_names, split_report, template_splits
+from tamarack.llm.splits import SPLITS, _Dealer, assign_groups, grouped_splits, same_names, split_report, template_splits
 
 
 def test_names(spark):
@@ -38,6 +38,27 @@ def test_links_through_several_keys(spark):
     assert len(got) == 6 and got["1"] == got["2"] == got["3"] and len(set(got.values())) == 4
 
 
+def test_dealing_at_once_equals_one_by_one():
+    rng = random.Random(5)
+    for _ in range(150):
+        strata = ["a", "b", "c"][: rng.randint(1, 3)]
+        splits = rng.choice([SPLITS, (("x", 0.5), ("y", 0.5)), (("x", 0.7), ("y", 0.15), ("z", 0.15), ("none", 0.0)), (("x", 1 / 3), ("y", 0.61), ("z", 0.01))])
+        vectors = [({s: rng.randint(0, 40) for s in strata} | {strata[0]: rng.randint(1, 40)}, rng.choice([1, 2, 7, 40, 900])) for _ in range(rng.randint(1, 12))]
+        vectors = [({s: k for s, k in v.items() if k} | {"*": sum(v.values())}, n) for v, n in vectors]
+        vectors.sort(key=lambda x: -x[0]["*"])
+        totals = {s: sum(v.get(s, 0) * n for v, n in vectors) for s in [*strata, "*"]}
+        fast, slow = _Dealer(splits, totals), _Dealer(splits, totals)
+        assert [fast.deal(v, n) for v, n in vectors] == [slow.deal(v, n, bulk=False) for v, n in vectors]
+
+
+def test_vectors_over_several_tasks_and_forests_over_several_levels(spark):
+    rng = random.Random(3)
+    rows = [(str(i), rng.choice([None, f"A{i % 7}", f"a-0{i % 211}"]), rng.choice(["easy", "hard"]), 0) for i in range(2500)]
+    df = spark.createDataFrame(rows, "example_id string, template_id string, difficulty string, scored_at long")
+    whole = {tuple(r) for r in template_splits(df).collect()}
+    assert len(whole) == 2500 and {tuple(r) for r in template_splits(df, task_vectors=7, task_links=20).collect()} == whole
+
+
 def test_one_huge_group_and_zero_share(spark):
     members = spark.createDataFrame([(str(i), "big" if i < 500 else str(i), "x") for i in range(1000)], "id string, grp string, stratum string")
     n = Counter(r.split for r in assign_groups(members, [("train", 0.5), ("test", 0.5), ("none", 0.0)]).collect())
