@@ -1,16 +1,19 @@
 """Samples whose shares of each category match given targets.
 
-The category moments of the population are aggregated once, distributedly; the dual of the
-exponential tilting problem is solved over them by Newton steps, with cells fixed at their
-floor or at all they have where the solution would leave those bounds. Every record then
-has an inclusion probability, and the pivotal method draws the sample: within hash buckets
-of a cell, then among the buckets' undecided records, then among the cells'. Cell sizes
-come out as their expectation rounded down or up, and the whole sample has its size.
+The category counts of the population are aggregated once, distributedly. A plan's expected
+sample is calibrated over them: nearest to the target shares by exponential tilting, with
+the margins of both labels held to theirs, every cell between its floor and all it has, and
+the whole sample at its size. Newton steps on the dual solve that; where a cell has too few
+records, the multipliers of its two margins raise the other cells of its row and column.
+Every record then has an inclusion probability, and the pivotal method draws the sample:
+within hash buckets of a cell, then among the buckets' undecided records, then among the
+cells'. Cell sizes come out as their expectation rounded down or up, and the whole sample
+has its size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import ROUND_CEILING, Decimal
 
 import numpy as np
@@ -34,6 +37,8 @@ class Cell:
     whole: int
     available: int
     expected: float = 0.0
+    #: Whether calibration gives less than needed even where the sample may grow to hold all that is needed.
+    gap: bool = False
 
     @property
     def needed(self) -> int:
@@ -44,59 +49,97 @@ class Cell:
         return self.expected / self.available if self.available else 0.0
 
 
-def tilt(design: np.ndarray, features: np.ndarray, targets: np.ndarray, steps: int = 100) -> np.ndarray:
-    """Weights design * exp(features @ lam) whose moments features.T @ weights meet the targets: Newton on the dual with halved steps.
+def tilt(design: np.ndarray, features: np.ndarray, targets: np.ndarray, steps: int = 300, low: np.ndarray | None = None, high: np.ndarray | None = None, slack: np.ndarray | None = None) -> np.ndarray:
+    """Weights clip(design * exp(features @ lam), low, high) whose moments features.T @ weights meet the targets: Newton on the dual with damped steps.
 
-    Features whose target is 0 or that no unit has are met by weight 0.
+    These are the weights nearest to ``design`` in relative entropy. A target with a ``slack``
+    above 0 may be missed at the price of the squared miss over twice the slack, so that
+    targets that contradict the bounds or one another still have a solution. Features whose
+    target is 0 or that no unit has are met by the lowest weight.
     """
+    floor = np.zeros(len(design)) if low is None else np.asarray(low, float)
+    roof = np.full(len(design), np.inf) if high is None else np.asarray(high, float)
+    give = np.zeros(len(targets)) if slack is None else np.asarray(slack, float)
     live = (targets > 0) & (features.T @ design > 0)
     units = (features[:, ~live & (targets <= 0)].sum(axis=1) == 0) & (design > 0)
-    x, d, t = features[np.ix_(units, live)], design[units], targets[live]
+    out = floor.copy()
+    x, d, lo, hi, s = features[np.ix_(units, live)], design[units], floor[units], roof[units], give[live]
+    t = (targets - features[~units].T @ floor[~units])[live]
+    if not x.size:
+        return out
     lam = np.zeros(x.shape[1])
 
+    def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = x @ v
+        return u, np.clip(d * np.exp(np.clip(u, -700, 700)), lo, hi)
+
     def dual(v: np.ndarray) -> float:
-        return float(d @ np.exp(np.clip(x @ v, -700, 700)) - t @ v)
+        u, w = at(v)
+        grown = np.where(w > 0, w * (1 + u - np.log(np.maximum(w, 1e-300) / d)), 0.0)
+        return float(grown.sum() - t @ v + 0.5 * s @ v**2)
 
+    damp = 0.0
     for _ in range(steps):
-        w = d * np.exp(np.clip(x @ lam, -700, 700))
-        gap = x.T @ w - t
-        if not len(gap) or np.abs(gap).max() <= 1e-10 * max(1.0, t.max()):
+        _, w = at(lam)
+        slope = x.T @ w + s * lam - t
+        if np.abs(slope).max() <= 1e-10 * max(1.0, np.abs(t).max()):
+            break
+        inside = np.where((w > lo) & (w < hi), w, 0.0)  # weights at a bound do not move
+        curve, stiff, now = (x * inside[:, None]).T @ x + np.diag(s), (x * w[:, None]).T @ x + np.diag(s), dual(lam)
+        while damp < 1e12:  # a bound met on the way bends the dual: a step that does not lower it is damped
+            step = np.linalg.lstsq(curve + max(damp, 1e-9) * stiff, slope, rcond=None)[0]
+            if dual(lam - step) <= now - 1e-4 * float(slope @ step):
+                break
+            damp = max(10 * damp, 1e-6)
+        else:
             break
-        step = np.linalg.lstsq((x * w[:, None]).T @ x, gap, rcond=None)[0]
-        size, now = 1.0, dual(lam)
-        while size > 1e-6 and not dual(lam - size * step) <= now - 1e-4 * size * float(gap @ step):
-            size /= 2
-        lam = lam - size * step
-    out = np.zeros(len(design))
-    out[units] = d * np.exp(np.clip(x @ lam, -700, 700))
+        lam, damp = lam - step, damp / 10
+    out[units] = at(lam)[1]
     return out
 
 
+#: A margin may miss its target by about this share of it in exchange for cells nearer to theirs.
+MARGIN_SLACK = 1e-3
+
+
+def _expected(cells: list[Cell], low: np.ndarray, whole: float) -> np.ndarray:
+    """Expected sizes that sum to ``whole``, or as near as floors and records allow: the cells' targets tilted so that both margins hold, nothing below ``low`` or above what there is."""
+    have = np.array([c.available for c in cells], float)
+    share = np.array([float(c.share) for c in cells])
+    low = np.minimum(low, have)
+    high = np.where(share > 0, have, low)
+    if whole <= low.sum() or not (share > 0).any():
+        return low
+    if whole >= high.sum():
+        return high
+    want = whole * share / share.sum()
+    margins = [np.array([c.names[k] == v for c in cells], float) for k in range(len(cells[0].names)) for v in sorted({c.names[k] for c in cells})]
+    features = np.stack([np.ones(len(cells)), *margins], axis=1)
+    targets = features.T @ want
+    weight = tilt(want, features, targets, low=low, high=high, slack=np.concatenate([[0.0], MARGIN_SLACK * np.maximum(targets[1:], 1.0)]))
+    # the whole to the last digit: one factor for all cells, found by halving
+    a, b = -60.0, 60.0
+    base = np.where(weight > 0, weight, 0.0)
+    for _ in range(200):
+        m = (a + b) / 2
+        a, b = (m, b) if np.clip(base * np.exp(m), low, high).sum() < whole else (a, m)
+    return np.clip(base * np.exp(b), low, high)
+
+
 def calibrate(cells: list[Cell]) -> list[Cell]:
-    """The cells of one plan with the expected sample of each: shares tilted to the targets, floors kept, nothing above what there is."""
+    """The cells of one plan with the expected sample of each, and whether what it needs cannot be had.
+
+    Every cell is calibrated to at least what it needs, where all that is needed fits the
+    sample; otherwise floors win over shares. A ``gap`` is a cell that stays below its need
+    even in a sample that may grow to hold all needs.
+    """
     n = cells[0].whole
     have = np.array([c.available for c in cells], float)
-    share = np.array([float(c.share) for c in cells])
-    floor = np.minimum([c.least for c in cells], have)
-    fixed: dict[int, float] = {i: have[i] for i in range(len(cells)) if share[i] <= 0 or have[i] == 0}
-    fixed |= {i: floor[i] for i in fixed}
-    while True:
-        free = [i for i in range(len(cells)) if i not in fixed]
-        rest = max(0.0, n - sum(fixed.values()))
-        if not free:
-            break
-        # a cell's units are alike: a unit of the calibration is a cell, its design weight the cell's records
-        target = rest * share[free] / share[free].sum()
-        weight = tilt(have[free] * rest / max(have[free].sum(), 1), np.eye(len(free)), target)
-        over = {i: have[i] for i, w in zip(free, weight, strict=True) if w > have[i] * (1 + 1e-9)}
-        under = {i: floor[i] for i, w in zip(free, weight, strict=True) if w < floor[i] * (1 - 1e-9)}
-        excess = sum(weight[free.index(i)] - v for i, v in over.items())
-        short = sum(v - weight[free.index(i)] for i, v in under.items())
-        if not over and not under:
-            fixed |= dict(zip(free, weight, strict=True))
-            break
-        fixed |= over if excess >= short else under
-    return [Cell(**(c.__dict__ | {"expected": min(float(fixed[i]), have[i])})) for i, c in enumerate(cells)]
+    needed = np.array([c.needed for c in cells], float)
+    low = np.minimum(needed, have)
+    grown = _expected(cells, low, max(n, low.sum()))
+    sample = grown if low.sum() <= n else _expected(cells, np.array([c.least for c in cells], float), n)
+    return [replace(c, expected=float(sample[i]), gap=bool(grown[i] < needed[i] - 1e-6)) for i, c in enumerate(cells)]
 
 
 def _pivot(ids: list[str], probs: list[float], rng: np.random.Generator) -> tuple[list[str], tuple[str, float] | None]:
@@ -176,7 +219,7 @@ class Sampler:
 
     def report(self) -> DataFrame:
         """One row a cell of a plan: what it needs, what there is, whether the target can be met."""
-        rows = [(c.plan, *c.names, c.share, c.least, c.whole, c.needed, c.available, c.expected, c.available < c.needed) for c in self.cells]
+        rows = [(c.plan, *c.names, c.share, c.least, c.whole, c.needed, c.available, c.expected, c.gap) for c in self.cells]
         return self.population.sparkSession.createDataFrame(rows, "plan_id int, difficulty string, domain string, target_share decimal(6,4), min_rows int, sample_rows int, needed int, available bigint, expected double, gap boolean")
 
     def draw(self, seed: int = 0, bucket_rows: int = 50_000) -> DataFrame:
@@ -212,11 +255,16 @@ def target_sampler(records: DataFrame, targets: DataFrame, record_id: str = "exa
 
 
 def sample_report(sampler: Sampler, drawn: DataFrame) -> DataFrame:
-    """The report with the records drawn and their share of the plan's sample."""
+    """The report with the records drawn, their share of the plan's sample, and ``unmet``.
+
+    ``unmet`` says why fewer than needed were drawn: ``too_few_records`` (a gap), or
+    ``sample_full`` where all that is needed does not fit the sample; null where the need is met.
+    """
     got = drawn.groupBy("plan_id", "cell").agg(F.count("*").alias("sampled"))
     spark = drawn.sparkSession
     keys = spark.createDataFrame([(c.plan, *c.names, c.key) for c in sampler.cells], "plan_id int, difficulty string, domain string, cell string")
     joined = sampler.report().join(F.broadcast(keys), ["plan_id", "difficulty", "domain"]).join(got, ["plan_id", "cell"], "left").drop("cell").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
     whole = joined.groupBy("plan_id").agg(F.sum("sampled").alias("drawn"))
     share: Column = F.when(F.col("drawn") > 0, F.col("sampled") / F.col("drawn"))
-    return joined.join(whole, "plan_id").select("plan_id", "difficulty", "domain", "target_share", "needed", "available", "sampled", share.alias("sampled_share"), "gap")
+    unmet = F.when(F.col("sampled") < F.col("needed"), F.when(F.col("gap"), "too_few_records").otherwise("sample_full"))
+    return joined.join(whole, "plan_id").select("plan_id", "difficulty", "domain", "target_share", "needed", "available", F.round("expected", 6).alias("expected"), "sampled", share.alias("sampled_share"), "gap", unmet.alias("unmet"))
