@@ -1,11 +1,12 @@
 """Keyword-stuffed, link-list and tag-pile pages.
 
-Each text is read once, whole, into shares of its length: sentences and lines that are
-links, tags, code, logs or data tables, and words in stretches that repeat the same content
-words within a sentence or over short phrases, or that hold no function words at all.
-Bagged decision trees are trained on these features with weak labels (pages that are
-clearly one or the other), and a page's prediction is smoothed by the spam rate of its
-host. Copies of one text share the highest of their scores.
+Each text is read once, whole, in two ways. For weak labels its lines and sentences are
+sorted into links, tags, code, logs, tables and the rest, and the words of the rest into
+stretches that repeat the same content words or hold no function words: pages of which most
+was read as spam, or little, are labelled. For the trees it is measured by other statistics
+of content, layout and links, over the page and as quartiles over its parts. Bagged decision
+trees learn the labels from these statistics alone, and a page's prediction is smoothed by
+the spam rate of its host. Copies of one text share the highest of their scores.
 """
 
 from __future__ import annotations
@@ -28,7 +29,14 @@ from tamarack.storage import materialize
 
 #: Function words of any language known to the library, but for two that shops use as keywords.
 FUNCTION_WORDS = frozenset(_WEIGHTS) - {"new", "online"}
-FEATURES = ("spam", "repeated", "bare", "links", "tags", "code", "logs", "tables", "functional", "distinct", "digits", "disguised", "per_line", "size")
+#: What the weak labels come from: shares of a page's text that were read as spam. The trees never see these.
+LABELLING = ("spam", "repeated", "bare", "links", "tags")
+#: What the trees see: statistics of content, layout and links, with quartiles over the parts of a page.
+VOTING = (
+    "code", "logs", "tables", "functional", "distinct", "digits", "disguised", "per_line", "size", "ended", "sentence", "focus", "urls", "url_text", "url_lines", "url_hosts", "marks", "separators",
+    "functional_low", "functional_mid", "functional_high", "focus_low", "focus_mid", "focus_high", "fresh_low", "fresh_mid", "fresh_high",
+)
+FEATURES = LABELLING + VOTING
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­]+")
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][-._*]){2,}[^\W\d_](?!\w)")
@@ -40,7 +48,7 @@ _ANCHOR = re.compile(r'<a\s[^>]*?href="?([^">\s]*)"?[^>]*>|</?[a-zA-Z][^>]*>')
 _CODE_WORDS = frozenset("select from where and or group order limit join left with create insert having on case union inner outer offset when then else end values set update delete def return import class".split())
 _CODE = re.compile(
     r"(?i)\s*(?:(?:where|and|or|on|having|when|case)\b.*(?:[=<>]|\bbetween\b|\bexists\b|\bis (?:not )?null\b|\bin \()|(?:select|create table|insert into|delete from|update \w+ set|union|(?:group|order) by|limit \d|offset \d|with \w+ as\b)\b.*|(?:from|(?:left |inner |outer |full |cross )*join)\s+[\w.\"`]+(?:\s+[\w\"`]+){0,2}(?:\s+on\b.*)?;?$|(?:left|inner|outer|full|cross|select|distinct)$|\);?$|--"
-    r"|[\w.\"`]+ (?:integer|text|boolean|timestamptz?|numeric|varchar|date|bigint|serial|smallint|real|double|uuid|json)\b|[\w\"`]+\.?[\w\"`]*_[\w\"`.]*(?: as \w+)?(?: asc| desc)?[,;]?$)"
+    r"|[\w.\"`]+ (?:integer|text|boolean|timestamptz?|numeric|varchar|date|bigint|serial|smallint|real|double|uuid|json)\b(?:\s*\([\d, ]+\))?(?:\s+(?:not|null|default|primary|unique|check|references|generated|--).*)?[,;)]*\s*$|[\w\"`]+\.?[\w\"`]*_[\w\"`.]*(?: as \w+)?(?: asc| desc)?[,;]?$)"
 )
 _LOG = re.compile(r"\W{0,3}\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\W{0,2}(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b")
 _CELLS = re.compile(r"[|;,\t]")
@@ -51,7 +59,8 @@ _TOKEN = re.compile(r"[^\W_]+|[.!?。！？]+(?=\s|\Z|[^\W\d_])|\n")
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile("[぀-ヿ一-鿿가-힯]")
 _OTHER = re.compile("[Ͱ-᷿⺀-﷿]")
-_REACH, _HALF, _SHORT, _LEAST, _LONGEST_WORD = 16, 10, 6, 8, 30
+_REACH, _HALF, _SHORT, _LEAST = 16, 10, 6, 8
+_PARTS = 8
 _PASS_CHARS = 2_000_000
 
 
@@ -69,10 +78,11 @@ def _plain(text: str) -> str:
     return _SPELLED.sub(lambda m: re.sub(r"[-._*]", "", m.group()), text)
 
 
-def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
-    """(lines of ordinary words, weight of the other kinds of line or sentence, number of lines)."""
+def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int, tuple[int, float, int, int]]:
+    """(lines of ordinary words, weight of the other kinds of line or sentence, number of lines, links: their number, weight, lines and hosts)."""
     kinds = dict.fromkeys(("links", "tags", "code", "logs", "tables"), 0.0)
     rest: list[str] = []
+    linked, link_lines, link_weight, hosts = 0, 0, 0.0, set()
     fenced, n = False, 0
     for line in text.split("\n"):
         s = line.strip()
@@ -84,7 +94,7 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
             kinds["code"] += len(s)
             continue
         head = s.split(None, 1)[0].lower().rstrip("(,;:")
-        if fenced or ((head in _CODE_WORDS or s[0] in ")-\"`" or "_" in head or head.isalpha() and len(s) < 80) and _CODE.match(s)):
+        if fenced or ((head in _CODE_WORDS or s[0] in ")-\"`" or "_" in head or head.isalpha()) and _CODE.match(s)):
             kinds["code"] += _weight(s)
             continue
         if (s[0].isdigit() or s[0] in "[(<" or s[:4].isupper()) and _LOG.match(s):
@@ -92,7 +102,7 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
             continue
         if "<" in s:
             s = _ANCHOR.sub(lambda m: (m.group(1) + " ") if m.group(1) else " ", s).strip()
-        if len(s) < 400 and sum(map(s.count, "|;,\t")) >= 3:
+        if sum(map(s.count, "|;,\t")) >= 3:
             cells = _CELLS.split(s)
             if sum(bool(_NUMBER.match(c)) for c in cells) >= 0.3 * len(cells):
                 kinds["tables"] += _weight(s)
@@ -103,9 +113,13 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
                 kinds["tags"] += _weight(s)
                 continue
         if "://" in s or _DOMAIN.search(s):
+            link_lines += 1
             for sentence in _SENTENCE.split(s):
                 urls = _URL.findall(sentence)
                 if urls:
+                    linked += len(urls)
+                    link_weight += sum(map(len, urls))
+                    hosts.update(u.split("//")[-1].split("/")[0].lower() for u in urls)
                     left = _URL.sub(" ", sentence)
                     words = _WORD.findall(left.lower())
                     functional = _functional(words)
@@ -116,7 +130,7 @@ def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int]:
                 rest.append(sentence)
             continue
         rest.append(s)
-    return rest, kinds, n
+    return rest, kinds, n, (linked, link_weight, link_lines, len(hosts))
 
 
 def _times(order: np.ndarray, again: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -133,9 +147,11 @@ def features(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
     index: dict[str, int] = {}
     codes: list[int] = []
-    ends, kinds_of, lines_of = [], [], []
+    ends, kinds_of, lines_of, links_of, marks_of = [], [], [], [], []
     for text in texts:
-        rest, kinds, n = _sorted_lines(_plain(text)) if text else ([], {}, 0)
+        rest, kinds, n, links = _sorted_lines(_plain(text)) if text else ([], {}, 0, (0, 0.0, 0, 0))
+        links_of.append(links)
+        marks_of.append((sum(map(text.count, "#=:")), sum(map(text.count, ",|/;\t"))) if text else (0, 0))
         codes.extend([index.setdefault(t, len(index)) for t in _TOKEN.findall("\n".join(rest).lower())])
         ends.append(len(codes))
         kinds_of.append(kinds)
@@ -161,7 +177,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     asks = np.array([t[0] in ".!?。！？" for t in vocabulary], bool)
     latin = np.array([plain_of.get(i, t) in FUNCTION_WORDS for i, t in enumerate(vocabulary)], bool)
     # numbers, hashes and the like are no words
-    number = np.array([t.isdecimal() or len(t) > _LONGEST_WORD or len(t) > 12 and any(map(str.isdigit, t)) for t in vocabulary], bool)
+    number = np.array([t.isdecimal() or len(t) > 12 and any(map(str.isdigit, t)) for t in vocabulary], bool)
     other = np.array([not t.isascii() and bool(_OTHER.search(t)) for t in vocabulary], bool)
     weight = np.array([0.0 if s else _weight(t) + 1 for t, s in zip(vocabulary, stop, strict=True)])
     doc_of_all = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
@@ -205,17 +221,34 @@ def features(texts: list[str | None]) -> np.ndarray:
         repeated = (around(ok) / np.maximum(1 - around(fw), 0.2) >= 0.28) & ~sound[segment]
         wordy = np.bincount(doc, weights=~num, minlength=len(texts))[doc] >= _LEAST
         bare = (around(fw | nl) < 0.07 * around(~num)) & (around(num) < 0.7) & wordy
+        # what the trees see of the words: how they fall over the parts of a page, without the windows above
+        in_doc = np.bincount(doc, minlength=len(texts))
+        content = ~(fw | nl | num)
+        focus = np.where(content, _times(order, again, doc) / in_doc[doc], 0.0)
+        fresh = (prev < 0) | (doc[np.maximum(prev, 0)] != doc)
+        part = doc * _PARTS + (i - starts[doc]) * _PARTS // in_doc[doc]
+        in_part = np.bincount(part, minlength=len(texts) * _PARTS).reshape(-1, _PARTS)
+
+        def quartiles(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+            sums = np.bincount(part, weights=x, minlength=len(texts) * _PARTS).reshape(-1, _PARTS)
+            mean = sums.sum(axis=1) / np.maximum(in_doc, 1)
+            each = np.sort(np.where(in_part > 0, sums / np.maximum(in_part, 1), mean[:, None]), axis=1)
+            return {f"{name}_low": each[:, _PARTS // 4], f"{name}_mid": (each[:, _PARTS // 2 - 1] + each[:, _PARTS // 2]) / 2, f"{name}_high": each[:, -1 - _PARTS // 4]}
+
+        segments = np.bincount(doc[np.concatenate([[True], segment[1:] != segment[:-1]])], minlength=len(texts))
+        voting = quartiles("functional", fw | nl) | quartiles("focus", focus) | quartiles("fresh", fresh)
+        voting |= {"focus": np.bincount(doc, weights=focus, minlength=len(texts)) / np.maximum(in_doc, 1), "sentence": np.log1p(in_doc / np.maximum(segments, 1))}
         length = weight[raw]
         total = lambda mask: np.bincount(doc, weights=length * mask, minlength=len(texts))
         count = np.maximum(np.bincount(doc, minlength=len(texts)), 1)
         share = lambda mask: np.bincount(doc, weights=mask, minlength=len(texts)) / count
-        distinct = np.bincount(doc[(prev < 0) | (doc[np.maximum(prev, 0)] != doc)], minlength=len(texts)) / count
+        distinct = np.bincount(doc, weights=fresh, minlength=len(texts)) / count
         columns = {"spam": total(repeated | bare), "repeated": total(repeated), "bare": total(bare), "all": total(np.ones(n))}
-        shares = {"functional": share(fw | nl), "distinct": distinct, "digits": share(num), "disguised": share(disguised[raw])}
+        shares = {"functional": share(fw | nl), "distinct": distinct, "digits": share(num), "disguised": share(disguised[raw]), "ended": share(ended[segment])} | voting
     else:
         zero = np.zeros(len(texts))
         columns = dict.fromkeys(("spam", "repeated", "bare", "all"), zero)
-        shares = dict.fromkeys(("functional", "distinct", "digits", "disguised"), zero)
+        shares = dict.fromkeys(("functional", "distinct", "digits", "disguised", "ended", "focus", "sentence", *(f"{n}_{q}" for n in ("functional", "focus", "fresh") for q in ("low", "mid", "high"))), zero)
     for k, kinds in enumerate(kinds_of):
         whole = columns["all"][k] + sum(kinds.values())
         if whole <= 0:
@@ -224,6 +257,9 @@ def features(texts: list[str | None]) -> np.ndarray:
         row["spam"] += row["links"] + row["tags"]
         row["per_line"] = np.log1p(whole / max(lines_of[k], 1))
         row["size"] = np.log1p(whole)
+        linked, link_weight, link_lines, hosts = links_of[k]
+        size = max(whole, 1.0)
+        row |= {"urls": np.log1p(100 * linked / size), "url_text": min(link_weight / size, 1.0), "url_lines": link_lines / max(lines_of[k], 1), "url_hosts": hosts / max(linked, 1), "marks": np.log1p(100 * marks_of[k][0] / size), "separators": np.log1p(100 * marks_of[k][1] / size)}
         out[k] = [row[c] for c in FEATURES]
     return out
 
@@ -245,11 +281,12 @@ def page_features(docs: DataFrame, doc_id: str = "doc_id", host: str = "source",
     return spread(picked).mapInArrow(_read, "doc_id bigint, host string, copy_key string, features array<double>")
 
 
-def spam_scores(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", clear: float = 0.6, sound: float = 0.4, sample_rows: int = 20_000, trees: int = 25, smoothing: float = 0.25, prior_pages: float = 50.0) -> DataFrame:
-    """(doc_id, share, page, host_rate, score): the share of spam measured, the trees' probability, the host's shrunk spam rate, and both together.
+def spam_scores(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", clear: float = 0.6, sound: float = 0.4, sample_rows: int = 50_000, trees: int = 40, depth: int = 12, smoothing: float = 0.5, prior_pages: float = 50.0) -> DataFrame:
+    """(doc_id, share, page, host_rate, score): the share of spam read, the trees' probability, the host's shrunk spam rate, and the last two together.
 
     Pages whose share of spam is at least ``clear`` or at most ``sound`` are weakly labelled;
-    at most about ``sample_rows`` of each label train the trees, all pages are scored.
+    at most about ``sample_rows`` of each label train the trees, which see the statistics of
+    ``VOTING`` and not the share; all pages are scored.
     ``smoothing`` weighs the host's log odds against the corpus'; ``prior_pages`` shrinks
     the rates of small hosts. Null and blank texts score 0, a null host is a host of its
     own, copies of a text get the highest score among them. Where one label is missing the
@@ -258,15 +295,16 @@ def spam_scores(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", t
     pages = materialize(page_features(docs, doc_id, host, text))
     share = F.col("features")[0]
     label = F.when(share >= clear, 1.0).when(share <= sound, 0.0)
+    seen = array_to_vector(F.slice("features", len(LABELLING) + 1, len(VOTING)))
     known = pages.select("copy_key", "features", label.alias("label")).where("label is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) == 2:
         # a fixed hash of the text keeps about sample_rows of each label, in a fixed order
         keep = F.when(F.col("label") == 1.0, min(1.0, sample_rows / counts[1.0])).otherwise(min(1.0, sample_rows / counts[0.0]))
         dice = F.pmod(F.xxhash64("copy_key", F.lit(8)), F.lit(1_000_000)) / 1_000_000.0
-        train = known.where(dice < keep).select("label", array_to_vector("features").alias("x"), "copy_key").repartition(1).sortWithinPartitions("copy_key").select("label", "x")
-        forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=5, maxBins=2048, seed=8, subsamplingRate=0.7, featureSubsetStrategy="all").fit(materialize(train))
-        voted = forest.transform(pages.withColumn("x", array_to_vector("features"))).withColumn("page", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+        train = known.where(dice < keep).select("label", seen.alias("x"), "copy_key").repartition(4, "copy_key").sortWithinPartitions("copy_key").select("label", "x")
+        forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=128, seed=8, subsamplingRate=0.7, featureSubsetStrategy="onethird").fit(materialize(train))
+        voted = forest.transform(pages.withColumn("x", seen)).withColumn("page", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
     else:
         voted = pages.withColumn("page", share)
     voted = materialize(voted.select("doc_id", "host", "copy_key", share.alias("share"), F.when(F.col("features")[FEATURES.index("size")] > 0, F.col("page")).otherwise(0.0).alias("page")))

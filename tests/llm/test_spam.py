@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tamarack.llm.spam import FEATURES, features, spam_pages, spam_scores
+from tamarack.llm.spam import FEATURES, LABELLING, VOTING, features, spam_pages, spam_scores
 
 ADJ, NOUN, CITY = "slim rugged quiet smart steel".split(), "kettle lamp tent desk mug".split(), "Orlanne Velmora Tirnau Quorrin Norburgh Belmoor".split()
 SENTENCES = ["The carrier lost a parcel on its way to {c} and nobody noticed until {n} days later.", "We asked finance why the {x} was returned {n} times.", "Who owns the list of suppliers now that support has left?", "After {n} days the buyer in {c} found out that the {x} was never sent.", "The lid of the {x} closes tightly, and it stays cool even after {n} minutes."]
@@ -93,3 +93,54 @@ def test_one_label_and_none(spark):
     docs = spark.createDataFrame([(1, "We asked finance why the lamp was returned.", "a")], "doc_id long, text string, source string")
     assert spam_pages(docs).count() == 0 and spam_pages(docs.limit(0)).count() == 0
     assert len(FEATURES) == features(["x"]).shape[1]
+
+
+def borderline_site(rng, pages=900, mixed=150):
+    """Pages of two kinds of host: mixtures that are clearly one or the other, and some of which half the text is spam, which count as what their host is."""
+
+    def page(part, n=900):
+        stuffed = "\n".join(spam(rng, rng.choice(["words", "places", "sentences"])) for _ in range(4))
+        return honest(rng, 40)[: int(n * (1 - part))] + ".\n\n" + stuffed[: int(n * part)]
+
+    rows = []
+    for i in range(pages + mixed):
+        bad_host = bool(i % 2)
+        bad = bad_host if i >= pages else rng.random() < (0.75 if bad_host else 0.1)
+        part = rng.uniform(0.45, 0.6) if i >= pages else rng.uniform(0.7, 1.0) if bad else rng.uniform(0.0, 0.35)
+        rows.append((i, page(part), f"{'promo' if bad_host else 'notes'}-{i % 4}", bad))
+    return rows
+
+
+def test_trees_and_hosts_both_decide_borderline_pages(spark):
+    rows = borderline_site(random.Random(11))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    truth = {r[0]: r[3] for r in rows}
+    scored = spam_scores(docs).collect()
+    right = lambda says: sum(says(r) == truth[r.doc_id] for r in scored) / len(scored)
+    full, no_hosts, no_trees, no_pages = right(lambda r: r.score >= 0.5), right(lambda r: r.page >= 0.5), right(lambda r: r.share >= 0.5), right(lambda r: r.host_rate >= 0.5)
+    print("accuracy: full", full, "without hosts", no_hosts, "without trees", no_trees, "hosts alone", no_pages)
+    assert full > no_hosts and full > no_trees and full > no_pages and full > 0.9
+    voting = {r.doc_id: f for r, f in zip(rows_by_id(docs), features([r[1] for r in rows]), strict=True)}
+    for at in range(len(FEATURES)):  # no threshold of a single feature gives the same pages
+        found = sorted((voting[r.doc_id][at], r.score >= 0.5) for r in scored)
+        said = [s for _, s in found]
+        assert said != sorted(said) and said != sorted(said, reverse=True)
+
+
+def rows_by_id(docs):
+    return docs.select("doc_id").orderBy("doc_id").collect()
+
+
+def test_labels_are_not_features():
+    assert not set(LABELLING) & set(VOTING) and len(FEATURES) == len(LABELLING) + len(VOTING)
+
+
+def test_length_of_a_line_decides_nothing():
+    row = "SKU-000123|slim lamp|Orlanne|17|9.25|"
+    columns = ("code", "tables")
+    for line in (row, row * 40):
+        assert features([line])[0, FEATURES.index("tables")] == 1.0
+    column = "rating integer not null default 0"
+    for line in (column, column + " check (rating in (" + ", ".join(map(str, range(200))) + "))"):
+        assert features([line])[0, FEATURES.index(columns[0])] == 1.0
+    assert features(["The date of the parcel was moved again by the carrier, and nobody in Orlanne noticed it until the buyer wrote."])[0, FEATURES.index("code")] == 0.0
