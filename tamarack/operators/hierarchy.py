@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.operators.skew import salted_join
 from tamarack.storage import materialize
 
 TREE, ON_LOOP, BELOW_LOOP = "in_tree", "on_loop", "below_loop"
@@ -116,7 +117,9 @@ def _contract(paths: bool, schema: pa.Schema):
 def _expand(paths: bool, schema: pa.Schema):
     def expand(key: tuple, frag: pa.Table, known: pa.Table) -> pa.Table:
         f = {c: frag.column(c).to_pylist() for c in frag.column_names}
-        answers = {r["id"]: r for r in known.to_pylist()}
+        # paths of answers stay in Arrow until a node needs one, and rows go back to it by the thousand
+        far_path = known.column("path").combine_chunks() if known.num_rows else None
+        answers = {r["id"]: r | {"at": k} for k, r in enumerate(known.select(["id", "root", "depth", "place"]).to_pylist())}
         present = {x: i for i, x in enumerate(f["id"])}
         circle: set[int] = set()
         for u, r in answers.items():  # a loop passes through the fragment from each of its entries to the exit
@@ -124,8 +127,12 @@ def _expand(paths: bool, schema: pa.Schema):
             while i >= 0 and i not in circle:
                 circle.add(i)
                 i = present.get(f["parent"][i], -1)
+        done: list[pa.RecordBatch] = []
         out: dict[str, list] = {k: [] for k in ("id", "root", "depth", "place", "path")}
         for i, node in enumerate(f["id"]):
+            if len(out["id"]) == 1000:
+                done.append(pa.RecordBatch.from_pydict(out, schema=schema))
+                out = {k: [] for k in out}
             far = answers.get(f["exit"][i]) if f["exit"][i] is not None else None
             if f["loop"][i]:
                 row = (None, None, ON_LOOP if f["loop"][i] == 1 else BELOW_LOOP, None)
@@ -134,10 +141,10 @@ def _expand(paths: bool, schema: pa.Schema):
             elif far["place"] != TREE:
                 row = (None, None, ON_LOOP if i in circle else BELOW_LOOP, None)
             else:
-                row = (far["root"], f["weight"][i] + far["depth"], TREE, f["seg"][i] + far["path"] if paths else [])
+                row = (far["root"], f["weight"][i] + far["depth"], TREE, f["seg"][i] + far_path[far["at"]].as_py() if paths else [])
             for k, v in zip(out, (node, *row), strict=True):
                 out[k].append(v)
-        return pa.table(out, schema=schema)
+        return pa.Table.from_batches([*done, pa.RecordBatch.from_pydict(out, schema=schema)], schema)
 
     return expand
 
@@ -160,7 +167,7 @@ def _placed(level_rows: DataFrame, parts: int, level: int) -> DataFrame:
     return level_rows.join(only, "id", "left").select(F.pmod(F.xxhash64(home, F.lit(level)), F.lit(parts)).cast("int").alias("part"), *level_rows.columns)
 
 
-def _solve(rows: DataFrame, fragment_rows: int, paths: bool, level: int) -> DataFrame:
+def _solve(rows: DataFrame, fragment_rows: int, paths: bool, level: int, hot_rows: int) -> DataFrame:
     kind = rows.schema["id"].dataType
     seg = T.ArrayType(T.StructType([T.StructField("id", kind), T.StructField("name", T.StringType())]))
     frag_schema = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, kind) for c in ("id", "parent", "exit", "tail")), T.StructField("weight", T.LongType()), T.StructField("seg", seg), T.StructField("loop", T.IntegerType())])
@@ -180,13 +187,19 @@ def _solve(rows: DataFrame, fragment_rows: int, paths: bool, level: int) -> Data
     entries = materialize(frags.join(arrived, "id", "left_semi").select("part", "id", F.col("exit").alias("parent"), "tail", "weight", "seg", "loop"))
     # a node that runs into a loop inside its fragment enters the quotient as a loop of one node, so that chains that arrive there never end
     quotient = entries.select("id", F.when(F.col("loop") > 0, F.col("id")).otherwise(F.col("parent")).alias("parent"), "tail", "weight", "seg")
-    known = materialize(_solve(quotient, fragment_rows, paths, level + 1))
+    known = materialize(_solve(quotient, fragment_rows, paths, level + 1, hot_rows))
     wanted = exits.unionByName(entries.select("part", "id")).distinct()
-    back = wanted.join(known, "id").select(F.col("part").alias("fragment"), *out_schema.names)
+    if parts > hot_rows:  # a node may be wanted by every fragment
+        wanted = materialize(wanted)
+        sized = materialize(known.join(wanted.groupBy("id").agg(F.count("*").alias("wanted_by")), "id"))
+        back = salted_join(wanted, sized, ["id"], "wanted_by", wanted.count(), hot_rows)
+    else:
+        back = wanted.join(known, "id")
+    back = back.select(F.col("part").alias("fragment"), *out_schema.names)
     return frags.groupBy("part").cogroup(back.groupBy("fragment")).applyInArrow(expand, out_schema)
 
 
-def resolve_hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None, version: str | None = None, paths: bool = True, fragment_rows: int = 20_000) -> DataFrame:
+def resolve_hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None, version: str | None = None, paths: bool = True, fragment_rows: int = 20_000, hot_rows: int = 50_000) -> DataFrame:
     """Root, depth, place and path of every node of a forest of unknown depth.
 
     Returns (id, root, depth, place, path): ``place`` is ``in_tree``, or ``on_loop`` /
@@ -195,11 +208,12 @@ def resolve_hierarchy(rows: DataFrame, node: str, parent: str, name: str | None
     ``paths``). A chain ends at a null parent or at a parent without a row. Rows with a
     null node id are left out; of several rows of a node the latest ``version`` counts.
     An empty table gives an empty result; other columns of ``rows`` are ignored.
-    ``fragment_rows`` bounds the nodes that one task holds.
+    ``fragment_rows`` bounds the nodes that one task holds; the answer for a node that over
+    ``hot_rows`` fragments ask for is sent out in copies.
     """
     nodes = latest_rows(rows, node, parent, name, version)
     first = nodes.select("id", "parent", F.col("id").alias("tail"), F.lit(1).cast("long").alias("weight"), (F.array(F.struct("id", "name")) if paths else F.array().cast(T.ArrayType(T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("name", T.StringType())])))).alias("seg"))
-    return _solve(materialize(first), fragment_rows, paths, 0)
+    return _solve(materialize(first), fragment_rows, paths, 0, hot_rows)
 
 
 def closure(resolved: DataFrame) -> DataFrame:

@@ -33,3 +33,10 @@ def test_components(spark, shape, limit):
     df = spark.createDataFrame([*links, links[0], (None, "n001")], "a string, b string").repartition(4)
     assert {r.node: r.root for r in components(df, limit).collect()} == brute(links)
     assert components(df.limit(0)).count() == 0
+
+
+def test_giant_component_is_not_brought_together(spark):
+    rng = random.Random(6)
+    links = [(f"n{rng.randint(0, 300):03}", f"n{rng.randint(0, 300):03}") for _ in range(420)] + [(f"m{i}", f"m{i + 1}") for i in range(0, 60, 2)]
+    df = spark.createDataFrame(links, "a string, b string").repartition(5)
+    assert {r.node: r.root for r in components(df, 20, hot_rows=5).collect()} == brute(links)

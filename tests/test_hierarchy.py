@@ -56,3 +56,11 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "k int, p int")
     pairs = {tuple(r) for r in closure(resolve_hierarchy(df, "k", "p", fragment_rows=1)).collect()}
     assert pairs == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
+
+
+def test_hot_parent_over_many_fragments(spark):
+    rng = random.Random(9)
+    parents = {i: 7 if rng.random() < 0.3 else rng.choice([None, i // 2, i - 1]) for i in range(600)} | {7: 3, 3: 2, 2: None}
+    assert solved(spark, parents.items(), fragment_rows=15, hot_rows=4) == brute(parents)
+    looped = parents | {2: 7}
+    assert solved(spark, looped.items(), fragment_rows=15, hot_rows=4) == brute(looped)
