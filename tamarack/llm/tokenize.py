@@ -4,23 +4,27 @@ A block of documents is cut into pre-tokens once; the block keeps its distinct w
 for each document, the positions as indices into them (compressed). Only the distinct
 words of the blocks travel: each word of the corpus is encoded once, its ids are joined
 back to the blocks that hold it, and every block is put together by position. A frequent
-word costs one row a block, not one an occurrence, so no word is hot.
+word costs one row a block, not one an occurrence; a word that very many blocks hold is
+known by that number, and its ids are sent to all tasks instead.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.operators.parallel import spread
+from tamarack.operators.skew import hot_aware_join
 from tamarack.storage import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -29,9 +33,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 BLOCK_CHARS = 4_000_000
 
 
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary file to the executors, which need no copy of their own."""
+    spark.sparkContext.addFile(path)
+
+
 @lru_cache(maxsize=4)
 def _ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    """The tokens of a vocabulary file, as it was sent to this executor, else at its path."""
+    sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+    with open(sent if os.path.exists(sent) else path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
@@ -95,10 +106,10 @@ def _cut(pattern: str, block_chars: int):
 
 def _encode(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(path, pattern)._encode_single_piece
+        one = encoder(path, pattern).encode_ordinary  # a pre-token standing alone is cut as one
         for batch in batches:
             words = batch.column(0)
-            yield pa.RecordBatch.from_arrays([words, pa.array([one(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array([one(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "held_by", "ids"])
 
     return encode
 
@@ -123,19 +134,22 @@ def _assemble(key: tuple, block: pa.Table, coded: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(row["docs"], pa.int64()), "ids": ids})
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, block_chars: int = BLOCK_CHARS, hot_rows: int = 50_000) -> DataFrame:
     """(doc_id bigint, ids array<int>): the ids of every text, without special tokens.
 
     A null or an empty text gives an empty list. Rows are kept as they are: a document
     that is there twice comes out twice; other columns are ignored. The strings of special
     tokens in a text are ordinary text. ``block_chars`` bounds what one task assembles at
-    once, unless a single text is longer.
+    once, unless a single text is longer; a word that over ``hot_rows`` blocks hold is joined
+    without a shuffle.
     """
+    ship_vocabulary(docs.sparkSession, vocabulary)
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = materialize(spread(picked).mapInArrow(_cut(pattern, block_chars), _BLOCKS))
     held = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    known = held.select("word").distinct().mapInArrow(_encode(vocabulary, pattern), "word string, ids array<int>")
-    coded = held.join(known, "word").select(F.col("block").alias("home"), "at", "ids")
+    known = materialize(held.groupBy("word").agg(F.count("*").alias("held_by")).mapInArrow(_encode(vocabulary, pattern), "word string, held_by bigint, ids array<int>"))
+    total = known.agg(F.sum("held_by")).first()[0] or 0
+    coded = hot_aware_join(held, known, ["word"], "held_by", total, hot_rows).select(F.col("block").alias("home"), "at", "ids")
     return blocks.groupBy("block").cogroup(coded.groupBy("home")).applyInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
@@ -153,6 +167,8 @@ def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id bigint, data binary): the bytes of each list of ids, joined to the token-byte table inside the rows' own batch; null ids give null."""
 
+    ship_vocabulary(encoded.sparkSession, vocabulary)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = _byte_table(vocabulary)
         for batch in batches:
@@ -172,6 +188,7 @@ def decode_corpus(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids",
 
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """The columns ``keep`` and n_tokens bigint: the number of ids of each text, 0 for null and empty ones; no shuffle."""
+    ship_vocabulary(docs.sparkSession, vocabulary)
     picked = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*(picked.schema[c] for c in keep), T.StructField("n_tokens", T.LongType())])
 
