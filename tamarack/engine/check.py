@@ -1,8 +1,9 @@
 """Static check of SQL before it runs: one read-only statement over known tables and functions.
 
 Spark has no read-only session, so an allowlist over the parsed plan is the whole defence:
-statement kind, relations (no paths, no catalogs) and functions (none that reach the JVM or
-files), in every subquery.
+statement kind, relations (no paths, no catalogs) and functions, in every subquery. Of the
+functions those built into Spark are allowed, less the ones that reach the JVM, files or
+the host; functions that were registered are not.
 """
 
 from __future__ import annotations
@@ -37,13 +38,11 @@ class StaticCheck:
     @property
     def failure_reason(self) -> str | None:
         """The first thing wrong, in a fixed order; None for a statement that may run."""
-        if self.statements > 1:
-            return "multiple_statements"
-        if self.kind and not self.read_only:
-            return "dangerous_sql"
         if not self.parseable:
             return "unparseable"
-        if self.blocked:
+        if self.statements != 1:
+            return "multiple_statements"
+        if not self.read_only or self.blocked:
             return "dangerous_sql"
         if self.unknown_tables:
             return "unknown_table"
@@ -113,28 +112,53 @@ class _Walk:
             self.expression(child)
 
 
+_BUILTIN: dict[str, frozenset[str]] = {}
+
+
+def builtin_functions(spark: SparkSession) -> frozenset[str]:
+    """The names of all functions, scalar and table-valued, that Spark itself brings."""
+    if not _BUILTIN:
+        analysis = spark._jvm.org.apache.spark.sql.catalyst.analysis
+        names: set[str] = set()
+        for registry in (analysis.FunctionRegistry.builtin(), analysis.TableFunctionRegistry.builtin()):
+            names.update(str(i.funcName()).lower() for i in _scala(registry.listFunction()))
+        _BUILTIN["names"] = frozenset(names)
+    return _BUILTIN["names"]
+
+
+def _registered(spark: SparkSession, name: str) -> bool:
+    """Whether a function that is not built in exists all the same; one that exists nowhere fails when it runs."""
+    return bool(spark.catalog.functionExists(name))
+
+
 def analyse(spark: SparkSession, sql: str, known_tables: Iterable[str]) -> StaticCheck:
     """Check ``sql`` against the tables that may be read; never raises for bad SQL."""
     found = StaticCheck(sql)
     statements = split_statements(sql)
     found.statements = len(statements)
-    if len(statements) != 1:
-        found.error = None if statements else "empty statement"
+    if not statements:
+        found.error = "empty statement"
         return found
-    if m := _WRITES.match(statements[0]):
-        found.kind = m.group().strip(" (\n\t").lower()
-        return found
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statements[0])
-    except Exception as error:
-        found.error = str(error).split("\n")[0]
+    plans = []
+    for statement in statements:
+        if m := _WRITES.match(statement):
+            found.kind = found.kind or m.group().strip(" (\n\t").lower()
+            continue
+        try:
+            plans.append(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement))
+        except Exception as error:
+            found.error = str(error).split("\n")[0]
+            return found
+    found.parseable = True
+    if found.kind or len(plans) != 1:
         return found
+    plan = plans[0]
     walk = _Walk()
     walk.plan(plan)
-    found.parseable, found.kind = True, _name(plan)
+    found.kind = _name(plan)
     found.read_only = all(n in _SAFE_NODES for n in walk.nodes)
     found.functions = walk.functions
-    found.blocked = {f for f in walk.functions if f in BLOCKED_FUNCTIONS or "." in f}
+    found.blocked = {f for f in walk.functions if f in BLOCKED_FUNCTIONS or "." in f or (f not in builtin_functions(spark) and _registered(spark, f))}
     known = {t.lower() for t in known_tables}
     for parts in walk.relations:
         name = ".".join(parts).lower()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.engine.check import analyse
+from tamarack.storage import materialize
 
 MAX_ROWS = 100_000
 TIMEOUT_S = 30.0
@@ -73,6 +74,31 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.concat_ws(":", *sums).alias("checksum"))
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """The rows with their place, from their place in their partition and the sizes of the partitions before."""
+    kept = materialize(df.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    sizes = sorted(kept.groupBy("__part").count().collect())  # one row a partition
+    before, ends = 0, {}
+    for part, n in sizes:
+        ends[part], before = before, before + n
+    offset = F.create_map(*(F.lit(x) for pair in ends.items() for x in pair))[F.col("__part")]
+    return kept.withColumn("__place", offset + F.col("__at")).drop("__part", "__at")
+
+
+def read_result(df: DataFrame, max_rows: int, ordered: bool = False) -> tuple[list[tuple], bool, str, str | None]:
+    """(rows, truncated, fingerprint, ordered fingerprint) of a result: at most ``max_rows`` rows, fingerprints over all of them.
+
+    The fingerprints of a result with more rows are sums over the whole of it; the ordered one
+    is only taken where it is asked for.
+    """
+    rows = [tuple(r) for r in df.limit(max_rows + 1).collect()]
+    if len(rows) <= max_rows:
+        return rows, False, result_fingerprint(rows), ordered_fingerprint(rows)
+    whole = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    digest = lambda d: ":".join(map(str, table_fingerprint(d).first()))
+    return rows[:max_rows], True, digest(whole), digest(_in_order(whole)) if ordered else None
+
+
 def classify(error: BaseException) -> tuple[str, str | None]:
     """(class, SQLSTATE) of an error."""
     code = None
@@ -109,41 +135,45 @@ def run_limited(spark: SparkSession, work, timeout_s: float):
     return out["value"]
 
 
-def execute(spark: SparkSession, sql: str, known_tables: Iterable[str] | None = None, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S) -> ExecutionResult:
-    """Run one statement; never raises for what the statement does. With ``known_tables`` it is checked first."""
+def execute(spark: SparkSession, sql: str, known_tables: Iterable[str] | None = None, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S, ordered: bool = True) -> ExecutionResult:
+    """Run one statement; never raises for what the statement does. With ``known_tables`` it is checked first.
+
+    At most ``max_rows`` rows are fetched; fingerprints always tell the whole result, the
+    ordered one of a longer result only with ``ordered``.
+    """
     if known_tables is not None:
         reason = analyse(spark, sql, known_tables).failure_reason
         if reason:
             return ExecutionResult(False, sql, error_class=reason, error_message=f"rejected: {reason}")
     began = time.perf_counter()
 
-    def work() -> tuple[list[str], list[tuple]]:
+    def work() -> tuple:
         df = spark.sql(sql.strip().rstrip(";"))
-        return df.columns, [tuple(r) for r in df.limit(max_rows + 1).collect()]
+        return df.columns, *read_result(df, max_rows, ordered)
 
     try:
-        columns, rows = run_limited(spark, work, timeout_s)
+        columns, rows, truncated, fingerprint, in_order = run_limited(spark, work, timeout_s)
     except TimeoutError as error:
         return ExecutionResult(False, sql, latency_ms=(time.perf_counter() - began) * 1000, error_class="timeout", error_code="57014", error_message=str(error))
     except Exception as error:
         kind, code = classify(error)
         return ExecutionResult(False, sql, latency_ms=(time.perf_counter() - began) * 1000, error_class=kind, error_code=code, error_message=str(error).split("\n")[0])
-    took = (time.perf_counter() - began) * 1000
-    truncated = len(rows) > max_rows
-    rows = rows[:max_rows]
-    return ExecutionResult(True, sql, columns, rows, len(rows), truncated, took, result_fingerprint(rows), ordered_fingerprint(rows))
+    return ExecutionResult(True, sql, columns, rows, len(rows), truncated, (time.perf_counter() - began) * 1000, fingerprint, in_order)
 
 
-def projection_matches(spark: SparkSession, sql: str, columns: list[str], gold_fingerprint: str, max_rows: int = MAX_ROWS) -> bool:
-    """Whether the gold columns of a result with too many columns are the gold result."""
-    try:
+def projection_matches(spark: SparkSession, sql: str, columns: list[str], gold_fingerprint: str, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S) -> bool:
+    """Whether the gold columns of a result with too many columns are the gold result; not where it fails or takes too long."""
+
+    def work() -> str | None:
         df = spark.sql(sql.strip().rstrip(";"))
         if not set(columns) <= set(df.columns) or df.columns == columns:
-            return False
-        rows = [tuple(r) for r in df.select(*(F.col(f"`{c}`") for c in columns)).limit(max_rows).collect()]
+            return None
+        return read_result(df.select(*(F.col(f"`{c}`") for c in columns)), max_rows)[2]
+
+    try:
+        return run_limited(spark, work, timeout_s) == gold_fingerprint
     except Exception:
         return False
-    return result_fingerprint(rows) == gold_fingerprint
 
 
 def database_fingerprint(tables: dict[str, DataFrame]) -> str:

@@ -10,8 +10,8 @@ from tamarack.functions.text import letters
 from tamarack.operators.ranking import range_rank
 
 #: Outcomes after which nothing was executed to the end.
-NOT_EXECUTED = ("syntax_error", "unknown_table", "unknown_column", "execution_error", "timeout", "unsafe_sql", "empty_output", "generation_failed", "generation_error", "invalid_sql", "no_sql")
-OUTCOME_OF_ERROR = {"syntax_error": "syntax_error", "unparseable": "syntax_error", "unknown_table": "unknown_table", "unknown_column": "unknown_column", "timeout": "timeout", "dangerous_sql": "unsafe_sql", "multiple_statements": "unsafe_sql"}
+NOT_EXECUTED = ("syntax_error", "unknown_table", "unknown_column", "execution_error", "timeout", "unsafe_sql", "empty_output", "generation_failed", "generation_error", "invalid_sql", "no_sql", "no_sql_produced", "not_read_only")
+OUTCOME_OF_ERROR = {"syntax_error": "syntax_error", "unparseable": "invalid_sql", "unknown_table": "unknown_table", "unknown_column": "unknown_column", "timeout": "timeout", "dangerous_sql": "unsafe_sql", "multiple_statements": "unsafe_sql"}
 
 
 def outcome_of(error_class: str | None, correct: bool) -> str:
@@ -52,6 +52,68 @@ def summarise(results: DataFrame) -> DataFrame:
     return results.agg(*_figures())
 
 
+#: The rates of errors reported, each with the outcomes that count.
+ERROR_RATES = {
+    "syntax_error": ("syntax_error",),
+    "unknown_table": ("unknown_table",),
+    "unknown_column": ("unknown_column",),
+    "schema_hallucination": ("unknown_table", "unknown_column"),
+    "execution_error": ("execution_error",),
+    "timeout": ("timeout",),
+    "no_sql_produced": ("no_sql_produced", "no_sql", "empty_output"),
+    "invalid_sql": ("invalid_sql",),
+    "not_read_only": ("not_read_only", "unsafe_sql"),
+    "generation_failed": ("generation_failed", "generation_error"),
+}
+
+
+def full_summary(results: DataFrame) -> DataFrame:
+    """All totals in one row: accuracy, what a choice of columns explains, ten error rates, accuracy where order counts, and tokens.
+
+    Needs outcome, correct, strict_correct, projection_match, prompt_tokens and
+    completion_tokens. Order counts where strict_correct is not null; token counts that are
+    null or 0 are left out.
+    """
+    o, projection = F.col("outcome"), F.coalesce("projection_match", F.lit(False))
+    tokens = lambda c: F.when(F.col(c) != 0, F.col(c).cast("bigint"))
+    figures = {
+        "n": F.count("*"),
+        "correct": F.count_if("correct"),
+        "accuracy": _share(F.col("correct")),
+        "executable": F.count_if(~o.isin(*NOT_EXECUTED)),
+        "executable_pct": _share(~o.isin(*NOT_EXECUTED)),
+        "wrong_result": F.count_if(o == "wrong_result"),
+        "projection_only": F.count_if(projection),
+        "other_rows": F.count_if((o == "wrong_result") & ~projection),
+        "tolerant_correct": F.count_if("correct") + F.count_if(projection),
+        "tolerant_accuracy": F.when(F.count("*") > 0, F.lit(100.0) * (F.count_if("correct") + F.count_if(projection)) / F.count("*").cast("double")),
+    }
+    figures |= {f"{name}_pct": _share(o.isin(*outcomes)) for name, outcomes in ERROR_RATES.items()}
+    strict = F.col("strict_correct")
+    figures |= {"strict_n": F.count("strict_correct"), "strict_correct": F.count_if(F.coalesce(strict, F.lit(False))), "strict_accuracy": _share(F.coalesce(strict, F.lit(False)), strict.isNotNull())}
+    for c in ("prompt_tokens", "completion_tokens"):
+        figures |= {f"{c}_total": F.sum(tokens(c)), f"{c}_mean": F.sum(tokens(c)).cast("double") / F.count(tokens(c)).cast("double")}
+    return results.agg(*(v.alias(k) for k, v in figures.items()))
+
+
+#: Ways in which a wrong answer that ran fails, the first that fits.
+REPORT_PATTERNS = ("no rows", "limit dropped", "limit added", "left join for inner", "inner join for left", "distinct added", "too many rows", "too few rows", "other values")
+
+
+def report_patterns(results: DataFrame) -> DataFrame:
+    """(pattern, n): how wrong answers that ran fail, by what both statements say and how many rows both give; answers whose gold columns are right are left out."""
+    says = lambda c, words: F.upper(F.coalesce(c, F.lit(""))).contains(words)
+    gold, mine = F.col("gold_sql"), F.col("predicted_sql")
+    g, p = F.coalesce("gold_row_count", F.lit(0)), F.coalesce("predicted_row_count", F.lit(-1))
+    only = lambda words, a, b: says(a, words) & ~says(b, words)
+    tests = [(p == 0) & (g > 0), only("LIMIT", gold, mine), only("LIMIT", mine, gold), only("LEFT JOIN", mine, gold), only("LEFT JOIN", gold, mine), only("DISTINCT", mine, gold), (g > 0) & (p > 0) & (p > g * 1.05), (g > 0) & (p > 0) & (p < g * 0.95)]
+    pattern = F.lit(REPORT_PATTERNS[-1])
+    for name, test in reversed(list(zip(REPORT_PATTERNS, tests))):
+        pattern = F.when(test, name).otherwise(pattern)
+    wrong = results.where((F.col("outcome") == "wrong_result") & ~F.coalesce("projection_match", F.lit(False)))
+    return wrong.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"))
+
+
 def breakdown(results: DataFrame, by: str) -> DataFrame:
     """The totals for each value of a column; for an array column each of its values counts."""
     if results.schema[by].dataType.typeName() == "array":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.dataset import expand, pipeline
 from tamarack.engine.execute import table_fingerprint
-from tamarack.evaluation import metrics
+from tamarack.evaluation import metrics, shape
 from tamarack.functions.text import letters, name_key
 from tamarack.plans.mart import SQL_VIEWS, Mart, exact_mean
 from tamarack.retrieval import schema as retrieval
@@ -43,12 +43,13 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "pairs AS (SELECT DISTINCT example_id AS id, template_id, question, gold_sql AS sql, gold_fingerprint AS fingerprint, gold_row_count AS row_count FROM results_smoke)"
 
 
-def _latency_sql(group: str = "") -> str:
+def _latency_sql(group: str = "", column: str = "execution_latency_ms", where: str = "TRUE") -> str:
+    res = _RES.replace("question,", f"question, {column} AS measured,")
     part = f"PARTITION BY {group} " if group else ""
     key = f"{group}, " if group else ""
     tail = f" GROUP BY {group}" if group else ""
     n = f"count(*) OVER ({part})"
-    return f"""WITH {_RES}, ranked AS (SELECT {key}execution_latency_ms AS v, row_number() OVER ({part}ORDER BY execution_latency_ms) - 1 AS r, {n} AS n FROM res WHERE execution_latency_ms IS NOT NULL)
+    return f"""WITH {res}, ranked AS (SELECT {key}measured AS v, row_number() OVER ({part}ORDER BY measured) - 1 AS r, {n} AS n FROM res WHERE measured IS NOT NULL AND {where})
 SELECT {key}count(*) AS n, {exact_mean('v')} AS mean, (max(CASE WHEN r = (n - 1) // 2 THEN v END) + max(CASE WHEN r = n // 2 THEN v END)) / 2 AS median,
   max(CASE WHEN r = least(floor(0.9::DOUBLE * n), n - 1) THEN v END) AS p90, min(v) AS low, max(v) AS high FROM ranked{tail}"""
 
@@ -178,6 +179,11 @@ QUERIES = {
     "a11_repairs_folded_in": lambda s, d: metrics.outcome_rates(metrics.with_repairs(_res(s, d), _res(s, d).where("projection_match").select("example_id", F.lit(True).alias("correct"), F.lit("correct").alias("outcome")))),
     "a12_ablation": lambda s, d: metrics.ablation(_runs(s, d)),
     "a13_release_gate": lambda s, d: metrics.release_gate(_res(s, d), _runs(s, d).where("run = 'columns'"), 45.0, 60.0, 20.0),
+    "a14_full_summary": lambda s, d: metrics.full_summary(_res(s, d, "prompt_tokens", "completion_tokens")),
+    "a15_generation_latency": lambda s, d: metrics.latency(_res(s, d, "generation_latency_ms").where(~F.col("outcome").isin(*metrics.ERROR_RATES["generation_failed"])), "generation_latency_ms"),
+    "a16_total_latency_by_domain": lambda s, d: metrics.latency(_res(s, d, "total_latency_ms"), "total_latency_ms", bucket="domain"),
+    "a17_report_patterns": lambda s, d: metrics.report_patterns(_res(s, d)),
+    "a18_failure_shapes": lambda s, d: shape.tagged(_res(s, d)).groupBy("tag").agg(F.count("*").alias("n")),
     "d01_screening": lambda s, d: pipeline.screen(_pairs(s, d)).groupBy("reason").agg(F.count("*").alias("n")),
     "d02_question_conflicts": lambda s, d: pipeline.question_conflicts(_pairs(s, d)),
     "d03_result_collisions": lambda s, d: pipeline.result_collisions(_pairs(s, d)),
@@ -216,6 +222,13 @@ QUERIES = {
 }
 
 _R = f"WITH {_RES}"
+_RATES = ", ".join(f"100.0::DOUBLE * count(*) FILTER (outcome IN ({', '.join(repr(o) for o in outcomes)})) / CAST(count(*) AS DOUBLE) AS {name}_pct" for name, outcomes in metrics.ERROR_RATES.items())
+_TOKENS_SQL = ", ".join(f"CAST(sum({c}) FILTER ({c} <> 0) AS BIGINT) AS {c}_total, CAST(sum({c}) FILTER ({c} <> 0) AS DOUBLE) / count(*) FILTER ({c} <> 0) AS {c}_mean" for c in ("prompt_tokens", "completion_tokens"))
+#: The shape of a statement by the other engine's own parser.
+_PARSED = """j AS (SELECT s, json_serialize_sql(s) AS j FROM (SELECT gold_sql AS s FROM wrong UNION SELECT predicted_sql FROM wrong)),
+shape AS (SELECT s, (j->>'error') <> 'true' AS parsed, list_sort(list_distinct([lower(x) FOR x IN (j->>'$..table_name') IF x <> '' AND NOT list_contains(coalesce(j->>'$..cte_map.map[*].key', []), x)])) AS tables,
+  len(regexp_extract_all(j::VARCHAR, '"ref_type":"')) AS joins, regexp_matches(j::VARCHAR, '"group_expressions":\\[\\{') AS grouped, regexp_matches(j::VARCHAR, '"having":\\{') AS having_, regexp_matches(j::VARCHAR, '"class":"WINDOW"') AS windows,
+  regexp_matches(j::VARCHAR, '"LIMIT_MODIFIER","limit":\\{') AS lim, regexp_matches(j::VARCHAR, '"OPERATOR_COALESCE"|"function_name":"nullif"') AS nulls, regexp_matches(j::VARCHAR, '"DISTINCT_MODIFIER"|"distinct":true') AS dist FROM j)"""
 _P = f"WITH {_PAIRS}"
 _M = f"WITH {SQL_VIEWS}"
 _SHAPE = [("joins", r"len(regexp_extract_all({}, '(?i)\bjoin\b'))"), ("groups", r"regexp_matches({}, '(?i)\bgroup\s+by\b')"), ("having", r"regexp_matches({}, '(?i)\bhaving\b')"), ("limit", r"regexp_matches({}, '(?i)\blimit\b')"), ("windows", r"regexp_matches({}, '(?i)\bover\s*\(')"), ("distinct", r"regexp_matches({}, '(?i)\bdistinct\b')"), ("sorted", r"regexp_matches({}, '(?i)\border\s+by\b')")]
@@ -236,6 +249,21 @@ ORACLE = {
     "a12_ablation": f"{_R} SELECT difficulty, 100.0::DOUBLE * count(*) FILTER (correct OR coalesce(projection_match, FALSE)) / CAST(count(*) AS DOUBLE) AS columns, 100.0::DOUBLE * count(*) FILTER (correct) / CAST(count(*) AS DOUBLE) AS strict FROM res GROUP BY difficulty",
     "a13_release_gate": f"""{_R}, f AS (SELECT {_FIGURES} FROM res), g AS (SELECT difficulty, 100.0::DOUBLE * count(*) FILTER (correct) / CAST(count(*) AS DOUBLE) AS mine, 100.0::DOUBLE * count(*) FILTER (correct OR coalesce(projection_match, FALSE)) / CAST(count(*) AS DOUBLE) AS old FROM res GROUP BY 1),
 v AS (SELECT 'accuracy' AS "check", accuracy AS value, 45.0::DOUBLE AS threshold, accuracy >= 45 AS passed FROM f UNION ALL SELECT 'executable', executable, 60.0, executable >= 60 FROM f UNION ALL SELECT 'lost in ' || coalesce(difficulty, 'none'), old - mine, 20.0, old - mine <= 20 FROM g) SELECT * FROM v""",
+    "a14_full_summary": f"""WITH {_RES.replace("question,", "question, prompt_tokens, completion_tokens,")} SELECT count(*) AS n, count(*) FILTER (correct) AS correct, 100.0::DOUBLE * count(*) FILTER (correct) / CAST(count(*) AS DOUBLE) AS accuracy,
+  count(*) FILTER (outcome NOT IN ({_NOT_RUN})) AS executable, 100.0::DOUBLE * count(*) FILTER (outcome NOT IN ({_NOT_RUN})) / CAST(count(*) AS DOUBLE) AS executable_pct, count(*) FILTER (outcome = 'wrong_result') AS wrong_result,
+  count(*) FILTER (projection_match) AS projection_only, count(*) FILTER (outcome = 'wrong_result' AND projection_match IS NOT TRUE) AS other_rows, count(*) FILTER (correct) + count(*) FILTER (projection_match) AS tolerant_correct,
+  100.0::DOUBLE * (count(*) FILTER (correct) + count(*) FILTER (projection_match)) / CAST(count(*) AS DOUBLE) AS tolerant_accuracy, {_RATES},
+  count(strict_correct) AS strict_n, count(*) FILTER (strict_correct) AS strict_correct, 100.0::DOUBLE * count(*) FILTER (strict_correct) / CAST(count(strict_correct) AS DOUBLE) AS strict_accuracy, {_TOKENS_SQL} FROM res""",
+    "a15_generation_latency": _latency_sql(column="generation_latency_ms", where="outcome NOT IN ('generation_failed', 'generation_error')"),
+    "a16_total_latency_by_domain": _latency_sql("domain", "total_latency_ms"),
+    "a17_report_patterns": f"""{_R}, w AS (SELECT upper(gold_sql) AS g, upper(coalesce(predicted_sql, '')) AS p, coalesce(gold_row_count, 0) AS gn, coalesce(predicted_row_count, -1) AS pn FROM res WHERE outcome = 'wrong_result' AND projection_match IS NOT TRUE)
+SELECT CASE WHEN pn = 0 AND gn > 0 THEN 'no rows' WHEN g LIKE '%LIMIT%' AND p NOT LIKE '%LIMIT%' THEN 'limit dropped' WHEN p LIKE '%LIMIT%' AND g NOT LIKE '%LIMIT%' THEN 'limit added' WHEN p LIKE '%LEFT JOIN%' AND g NOT LIKE '%LEFT JOIN%' THEN 'left join for inner'
+  WHEN g LIKE '%LEFT JOIN%' AND p NOT LIKE '%LEFT JOIN%' THEN 'inner join for left' WHEN p LIKE '%DISTINCT%' AND g NOT LIKE '%DISTINCT%' THEN 'distinct added' WHEN gn > 0 AND pn > 0 AND pn > gn * 1.05::DOUBLE THEN 'too many rows'
+  WHEN gn > 0 AND pn > 0 AND pn < gn * 0.95::DOUBLE THEN 'too few rows' ELSE 'other values' END AS pattern, count(*) AS n FROM w GROUP BY 1""",
+    "a18_failure_shapes": f"""{_R}, wrong AS (SELECT * FROM res WHERE outcome = 'wrong_result' AND predicted_sql IS NOT NULL), {_PARSED}
+SELECT CASE WHEN NOT (g.parsed AND p.parsed) THEN 'unparsed' WHEN g.tables <> p.tables THEN 'wrong_tables' WHEN g.joins <> p.joins THEN 'join_structure' WHEN g.grouped <> p.grouped OR g.having_ <> p.having_ THEN 'aggregation_structure' WHEN g.windows <> p.windows THEN 'window_function'
+  WHEN g.lim AND (predicted_row_count <> gold_row_count OR NOT p.lim) THEN 'limit_or_ranking' WHEN g.nulls <> p.nulls THEN 'null_handling' WHEN g.dist <> p.dist THEN 'distinct' ELSE 'filter_logic' END AS tag, count(*) AS n
+FROM wrong JOIN shape g ON g.s = gold_sql JOIN shape p ON p.s = predicted_sql GROUP BY 1""",
     "d01_screening": f"""{_P} SELECT CASE WHEN trim(coalesce(question, '')) = '' THEN 'empty_question' WHEN trim(coalesce(sql, '')) = '' THEN 'empty_sql' WHEN NOT regexp_matches(sql, '(?is)^\\s*(select|with)\\b') OR regexp_matches(sql, '(?i)\\b(insert|update|delete|drop|alter|create|truncate)\\s') THEN 'not_read_only'
   WHEN coalesce(row_count, 0) = 0 THEN 'empty_result' WHEN place > 1 THEN 'duplicate' END AS reason, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY {_NORMAL.format('question')}, {_NORMAL.format('sql')} ORDER BY id) AS place FROM pairs) GROUP BY 1""",
     "d02_question_conflicts": f"{_P} SELECT {_NORMAL.format('question')} AS question, count(DISTINCT {_NORMAL.format('sql')}) AS statements, count(DISTINCT fingerprint) AS results FROM pairs GROUP BY 1 HAVING count(DISTINCT {_NORMAL.format('sql')}) > 1 OR count(DISTINCT fingerprint) > 1",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamarack.plans import easy, enterprise, hard, harness_queries, hierarchy_queries, medium, very_hard
+from tamarack.plans import easy, engine_queries, enterprise, hard, harness_queries, hierarchy_queries, medium, very_hard
 
-_MODULES = [hierarchy_queries, harness_queries]
+_MODULES = [hierarchy_queries, harness_queries, engine_queries]
 _TEMPLATES = [easy, medium, hard, very_hard, enterprise]
 
 

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tamarack.engine.check import analyse, split_statements
+from tamarack.engine.check import analyse, builtin_functions, split_statements
 from tamarack.engine.execute import database_fingerprint, execute, ordered_fingerprint, projection_matches, result_fingerprint, table_fingerprint
 from tamarack.engine.repair import FixedGenerator, Service, extract_sql, repair_loop
 
@@ -131,3 +131,26 @@ def test_service(spark, views):
     with pytest.raises(ValueError):
         service.answer("x", max_rows=5000)
     assert database_fingerprint(views) == database_fingerprint(dict(reversed(views.items())))
+
+
+def test_registered_functions_are_no_part_of_the_allowlist(spark, views):
+    spark.udf.register("plus_one", lambda x: x + 1, "int")
+    assert analyse(spark, "SELECT plus_one(1)", KNOWN).failure_reason == "dangerous_sql"
+    assert analyse(spark, "SELECT upper('a'), nofunc(1)", KNOWN).failure_reason is None
+    assert {"upper", "explode", "range"} <= builtin_functions(spark)
+
+
+def test_reasons_come_in_order(spark, views):
+    assert analyse(spark, "SELEC 1; DROP TABLE orders", KNOWN).failure_reason == "unparseable"
+    assert analyse(spark, "DROP TABLE orders; SELECT * FROM other", KNOWN).failure_reason == "multiple_statements"
+    assert analyse(spark, "SELECT reflect('a', 'b') FROM other", KNOWN).failure_reason == "dangerous_sql"
+
+
+def test_fingerprints_tell_the_whole_of_a_longer_result(spark, views):
+    run = lambda sql: execute(spark, sql, max_rows=100)
+    up, down, few = run("SELECT id FROM range(5000)"), run("SELECT id FROM range(5000) ORDER BY id DESC"), run("SELECT id FROM range(5000) LIMIT 101")
+    assert up.truncated and len(up.rows) == 100 and up.fingerprint == down.fingerprint != few.fingerprint
+    again = run("SELECT id FROM range(5000) ORDER BY -id")
+    assert down.ordered_fingerprint == again.ordered_fingerprint != run("SELECT id FROM range(5000) ORDER BY id").ordered_fingerprint
+    assert projection_matches(spark, "SELECT id, id + 1 AS b FROM range(5000) ORDER BY id DESC", ["id"], up.fingerprint, 100)
+    assert not projection_matches(spark, "SELECT a.id, b.id AS b FROM range(3000000) a CROSS JOIN range(3000000) b", ["id"], up.fingerprint, 100, timeout_s=2)

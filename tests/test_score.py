@@ -50,3 +50,9 @@ def test_kinds_of_failure(spark, setup):
     assert {sql: failure_kind(gold, run(sql)) for sql in kinds} == kinds
     results = gold_results(spark, setup)
     assert len(results) == 2 and drift(results, {setup[0].gold_sql: "other"}) == [setup[0].gold_sql]
+
+
+def test_examples_that_share_a_question_keep_their_own_statements(spark, setup):
+    pair = [Example("1", "same?", "SELECT id FROM items", "easy"), Example("2", "same?", "SELECT k FROM items", "easy")]
+    rows = spark.createDataFrame([("1", "SELECT id FROM items"), ("2", "SELECT k FROM items"), ("3", "SELECT 1")], "example_id string, predicted_sql string")
+    assert {r.example_id: r.outcome for r in rescore(spark, rows, pair, ["items"]).collect()} == {"1": "correct", "2": "correct"}
