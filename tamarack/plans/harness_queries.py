@@ -115,12 +115,13 @@ def _names_index(spark: SparkSession, d: str) -> DataFrame:
 
 def t03_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     """How often the tables of a gold statement are among those selected from the questions' twelve tables; needed tables outside these are missed."""
-    asked = table(spark, d, "results_smoke").select("example_id", "question", "gold_sql").dropDuplicates(["example_id"])
+    asked = table(spark, d, "results_smoke").select("example_id", "question", "gold_sql", "predicted_sql", "correct").dropDuplicates(["example_id"])
     place = F.split("place", r"\.")
     values = _shop_values(_shop(spark, d)[1]).withColumn("place", F.concat_ws(".", F.coalesce(*(F.when(place[0] == stored, name) for stored, name in shop.STANDS_FOR.items()), place[0]), place[1]))
     scored = retrieval.score_tables(asked, shop.TABLES, values, key="example_id").withColumnRenamed("key", "example_id")
     selected = retrieval.selected_tables(asked, scored, shop.TABLES, "example_id")
-    needed = asked.select("example_id", F.coalesce(retrieval.tables_of(F.col("gold_sql")), F.array().cast("array<string>")).alias("needed"))
+    read = lambda sql: F.coalesce(retrieval.tables_of(F.col(sql)), F.array().cast("array<string>"))
+    needed = asked.select("example_id", read("gold_sql").alias("needed"), read("predicted_sql").alias("used"), "correct")
     return retrieval.retrieval_quality(needed.join(selected, "example_id"))
 
 
@@ -221,6 +222,65 @@ QUERIES = {
     "w03_events_once": w03_events_once,
 }
 
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _asked_sql() -> str:
+    """Words, kept words and terms of every question."""
+    return f"""asked AS (SELECT example_id, any_value(regexp_extract_all(lower(question), '[a-z0-9]+')) AS words, any_value(gold_sql) AS gold_sql FROM results_smoke GROUP BY 1),
+kept AS (SELECT DISTINCT example_id, w FROM (SELECT example_id, unnest(words) AS w FROM asked) WHERE w NOT IN ({_list(sorted(retrieval.STOPWORDS))})),
+terms AS (SELECT DISTINCT example_id, CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(x|ch|sh|ss)es$') THEN w[:-3] WHEN length(w) > 3 AND regexp_matches(w, 's$') AND NOT regexp_matches(w, '(ss|us|is)$') THEN w[:-2] ELSE w END AS term FROM kept)"""
+
+
+def _scores_sql(tables: list[tuple[str, list[str], list[str]]], stored: dict[str, list[str]], renamed: dict[str, str]) -> str:
+    """Scores of tables (name, columns, comments), with the values of the stored text columns; ``renamed`` tells what a stored table stands for."""
+    rows = []
+    for t, columns, comments in tables:
+        parts = [("name", t, retrieval._known(t)), *(("column", c, retrieval._known(c)) for c in columns), ("comment", "", sorted({w for c in comments for w in retrieval._known(c)}))]
+        rows += [f"('{t}', '{kind}', '{place}', '{term}', {len(found)})" for kind, place, found in parts for term in found]
+    values = [f"SELECT lower(trim({c})) AS v, '{renamed.get(t, t)}.{c}' AS place, '{renamed.get(t, t)}' AS tbl FROM {t} WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM {t}) <= {retrieval.MOST_VALUES}" for t, columns in stored.items() for c in columns]
+    return f"""{_asked_sql()}, scheme (tbl, kind, place, term, size) AS (VALUES {", ".join(rows)}),
+hits AS (SELECT example_id, tbl, kind, size, count(*) AS k FROM terms JOIN scheme USING (term) GROUP BY example_id, tbl, kind, place, size),
+vals AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(values)})), stored AS (SELECT DISTINCT term, place, tbl FROM (SELECT v AS term, place, tbl FROM vals UNION ALL SELECT term, place, tbl FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place, tbl FROM vals) WHERE length(term) > 2) WHERE length(term) > 1),
+shared AS (SELECT term, tbl, CAST({retrieval.VALUE}::DOUBLE / count(*) OVER (PARTITION BY term) AS DECIMAL(18,6)) AS weight FROM stored),
+single AS (SELECT DISTINCT example_id, w FROM (SELECT example_id, w FROM kept UNION ALL SELECT example_id, term FROM terms)),
+told AS (SELECT example_id, tbl, weight FROM single JOIN shared ON w = term WHERE term NOT LIKE '% %'
+  UNION ALL SELECT example_id, tbl, weight FROM asked JOIN (SELECT *, array_to_string(regexp_extract_all(term, '[a-z0-9]+'), ' ') AS said FROM shared WHERE term LIKE '% %') m ON said <> '' AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || said || ' ') WHERE contains(said, ' ') OR said IN (SELECT w FROM single s WHERE s.example_id = asked.example_id)),
+scored AS (SELECT example_id, tbl, round(CAST(sum(weight) AS DOUBLE), 6) AS score FROM (
+  SELECT example_id, tbl, CAST(CASE kind WHEN 'name' THEN {retrieval.NAME}::DOUBLE * k WHEN 'column' THEN {retrieval.COLUMN}::DOUBLE * k * k / size ELSE {retrieval.COMMENT}::DOUBLE * k END AS DECIMAL(18,6)) AS weight FROM hits UNION ALL SELECT example_id, tbl, weight FROM told) GROUP BY 1, 2)"""
+
+
+_SHOP_COLUMNS = {
+    "categories": "category_id category_name* parent_category_id description* created_at",
+    "products": "product_id product_name* sku* category_id supplier_id unit_price unit_cost weight_kg is_discontinued created_at",
+    "suppliers": "supplier_id supplier_name* contact_name* contact_email* phone* country* city* rating is_active created_at",
+    "customer": "c_custkey c_name* c_nationkey c_acctbal c_mktsegment*",
+    "orders": "o_orderkey o_custkey o_orderstatus* o_totalprice o_orderdate o_orderpriority*",
+    "nation": "n_nationkey n_name* n_regionkey",
+    "region": "r_regionkey r_name*",
+}
+_TEXTS = {t: [c[:-1] for c in columns.split() if c.endswith("*")] for t, columns in _SHOP_COLUMNS.items()}
+_SHOP_SQL = _scores_sql([(t, columns.replace("*", "").split(), []) for t, columns in _SHOP_COLUMNS.items()], _TEXTS, {})
+
+def _quality_sql() -> str:
+    graph, names = retrieval.neighbours(shop.TABLES), [t.name for t in shop.TABLES]
+    ways = ", ".join(f"('{a}', '{b}', [{_list(retrieval.shortest_path(graph, a, b))}])" for a in names for b in names if a != b)
+    tables = [(t.name, list(t.columns), [t.comment, *t.comments.values()]) for t in shop.TABLES]
+    read = lambda sql: f"""(CASE WHEN {sql} IS NULL THEN [] WHEN (json_serialize_sql({sql})->>'error') = 'false' THEN list_distinct([lower(x) FOR x IN (json_serialize_sql({sql})->>'$..table_name') IF x <> '' AND NOT list_contains(coalesce(json_serialize_sql({sql})->>'$..cte_map.map[*].key', []), x)])
+  ELSE list_filter(list_distinct(regexp_extract_all(regexp_replace(lower({sql}), 'extract\\s*\\(\\s*\\w+\\s+from\\s', '(', 'g'), '\\b(?:from|join)\\s+["`]?([a-z_]+)', 1)), lambda t: NOT regexp_matches(lower({sql}), '(with|,)\\s+' || t || '\\s+as\\s*\\(')) END)"""
+    return f"""WITH {_scores_sql(tables, _TEXTS, shop.STANDS_FOR)}, pos (tbl, place_no) AS (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(names))}), ways (a, b, path) AS (VALUES {ways}),
+ranked AS (SELECT example_id, tbl, score, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, place_no) AS rk, max(score) OVER (PARTITION BY example_id) AS best FROM scored JOIN pos USING (tbl)),
+chosen AS (SELECT * FROM ranked WHERE rk <= {retrieval.MOST_TABLES} AND score >= {retrieval.FLOOR}::DOUBLE * best AND score > 0),
+reached AS (SELECT example_id, tbl FROM chosen UNION SELECT x.example_id, unnest(path) FROM chosen x JOIN chosen y ON x.example_id = y.example_id AND x.rk < y.rk JOIN ways ON a = x.tbl AND b = y.tbl),
+f AS (SELECT coalesce(selected, [{_list(names)}]) AS selected, {read("gold_sql")} AS needed, {read("predicted_sql")} AS used, correct
+  FROM (SELECT DISTINCT example_id, gold_sql, predicted_sql, correct FROM results_smoke) r LEFT JOIN (SELECT example_id, list(tbl) AS selected FROM reached GROUP BY 1) USING (example_id)),
+g AS (SELECT *, len(list_intersect(selected, needed)) AS found_n, len(list_intersect(selected, needed)) = len(needed) AS whole FROM f)
+SELECT count(*) AS n, 100.0::DOUBLE * sum(found_n) / sum(len(needed)) AS recall, 100.0::DOUBLE * count(*) FILTER (whole) / count(*) AS complete, 100.0::DOUBLE * sum(found_n) / sum(len(selected)) AS precision, CAST(sum(len(selected)) AS DOUBLE) / count(*) AS tables_shown,
+  100.0::DOUBLE * count(*) FILTER (correct AND whole) / nullif(count(*) FILTER (whole), 0) AS accuracy_complete, 100.0::DOUBLE * count(*) FILTER (correct AND NOT whole) / nullif(count(*) FILTER (NOT whole), 0) AS accuracy_incomplete,
+  100.0::DOUBLE * count(*) FILTER (len([x FOR x IN used IF NOT list_contains(selected, x)]) > 0) / count(*) AS used_unseen FROM g"""
+
+
 _R = f"WITH {_RES}"
 _RATES = ", ".join(f"100.0::DOUBLE * count(*) FILTER (outcome IN ({', '.join(repr(o) for o in outcomes)})) / CAST(count(*) AS DOUBLE) AS {name}_pct" for name, outcomes in metrics.ERROR_RATES.items())
 _TOKENS_SQL = ", ".join(f"CAST(sum({c}) FILTER ({c} <> 0) AS BIGINT) AS {c}_total, CAST(sum({c}) FILTER ({c} <> 0) AS DOUBLE) / count(*) FILTER ({c} <> 0) AS {c}_mean" for c in ("prompt_tokens", "completion_tokens"))
@@ -288,8 +348,10 @@ UNION ALL SELECT 'c2', 'How many orders are there in ' || year || ' with status
     "l03_statements_side_by_side": f"{_P} SELECT id AS example_id, pairs.sql AS gold_sql, g.sql AS reply_sql FROM pairs LEFT JOIN (SELECT DISTINCT example_id, sql FROM generations_smoke) g ON g.example_id = id",
     "l04_table_fingerprint": "SELECT count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 12))::BIGINT) AS VARCHAR) || ':' || CAST(sum(('0x' || substr(h, 13, 12))::BIGINT) AS VARCHAR) AS checksum FROM (SELECT md5(coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || chr(31) || coalesce(o_orderstatus, 'NULL')) AS h FROM orders)",
     "l05_quality_of_tables": quality_sql(),
+    "t01_table_scores": f"WITH {_SHOP_SQL} SELECT example_id, tbl AS table_name, score FROM scored",
     "t02_value_index": """WITH v AS (SELECT DISTINCT lower(trim(n_name)) AS v, 'nation.n_name' AS place FROM nation UNION ALL SELECT DISTINCT lower(trim(r_name)), 'region.r_name' FROM region UNION ALL SELECT DISTINCT lower(trim(o_orderstatus)), 'orders.o_orderstatus' FROM orders
 UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 'orders.o_orderpriority' FROM orders) SELECT DISTINCT term, place FROM (SELECT v AS term, place FROM v UNION ALL SELECT term, place FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place FROM v) WHERE length(term) > 2)""",
+    "t03_retrieval_quality": _quality_sql(),
     "u01_union": f"{_M} SELECT country FROM vend UNION SELECT country FROM area",
     "u02_intersect": f"{_M} SELECT cust_id FROM ord WHERE cust_id % 3 = 0 INTERSECT SELECT cust_id FROM cust WHERE NOT active",
     "u03_except": f"{_M} SELECT cust_id FROM cust EXCEPT SELECT cust_id FROM ord WHERE status = 'P'",

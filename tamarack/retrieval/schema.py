@@ -33,9 +33,17 @@ def terms(text: str) -> list[str]:
     return [singular(w) for w in re.findall(r"[a-z0-9]+", text.lower())]
 
 
+def words_column(text: Column) -> Column:
+    """The words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1)
+
+
 def terms_column(text: Column) -> Column:
     """``terms`` as an expression over a column."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1)
+    return _singulars(words_column(text))
+
+
+def _singulars(words: Column) -> Column:
     return F.transform(
         words,
         lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
@@ -111,34 +119,57 @@ def value_index(tables: dict[str, DataFrame], most: int = MOST_VALUES) -> DataFr
     return out
 
 
-def schema_terms(tables: list[TableInfo]) -> list[tuple[str, str, float]]:
-    """(term, table, weight) of names, columns and comments; of several hits of a term in a table the largest counts."""
-    best: dict[tuple[str, str], float] = {}
+def _known(text: str) -> list[str]:
+    """The different terms of a name or comment but stop words, which questions drop too."""
+    return sorted({singular(w) for w in re.findall(r"[a-z0-9]+", text.lower()) if w not in STOPWORDS})
+
+
+def schema_terms(tables: list[TableInfo]) -> list[tuple[str, str, str, list[str]]]:
+    """(table, kind, place, terms) of every name, column and comment of the schema that has terms."""
+    out = []
     for t in tables:
-        texts = [(t.name, NAME), *((c, COLUMN) for c in t.columns), (t.comment, COMMENT), *((c, COMMENT) for c in t.comments.values())]
-        for text, weight in texts:
-            for term in terms(text):
-                best[term, t.name] = max(best.get((term, t.name), 0.0), weight)
-    return [(term, table, w) for (term, table), w in sorted(best.items())]
+        comments = [w for text in (t.comment, *t.comments.values()) for w in _known(text)]
+        parts = [("name", t.name, _known(t.name)), *(("column", c, _known(c)) for c in t.columns), ("comment", "", sorted(set(comments)))]
+        out += [(t.name, kind, place, found) for kind, place, found in parts if found]
+    return out
 
 
 def score_tables(questions: DataFrame, tables: list[TableInfo], values: DataFrame | None = None, key: str = "id", text: str = "question") -> DataFrame:
-    """(key, table, score) for all questions at once: their terms joined with the schema's and with stored values.
+    """(key, table, score) for all questions at once; tables without a hit have no row.
+
+    A term of the question that is in a table's name or comments counts each time; a column
+    counts the terms it shares times the share of its terms that they are, so that a name
+    said in full outweighs parts of several. Stop words count nowhere. Stored values
+    ``values`` (term, place) count where a word or its singular is the value, or, of values
+    of several words, where the question says them one after the other; a value in several
+    places shares its weight among them.
 
-    The schema's terms are a table as small as the schema; the value index has at most a few
-    hundred terms a column. A value in several places shares its weight among them.
+    The schema's part needs no shuffle; it is as small as the schema. The value index has at
+    most ``MOST_VALUES`` values a column.
     """
-    spark = questions.sparkSession
-    index = F.broadcast(spark.createDataFrame(schema_terms(tables) or [("", "", 0.0)], "term string, table string, weight double"))
-    asked = questions.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    said = asked.select("key", F.explode(F.array_distinct(terms_column(F.col("text")))).alias("term"))
-    hits = said.join(index, "term").select("key", "table", "weight")
+    asked = questions.select(F.col(key).alias("key"), words_column(F.col(text)).alias("words"))
+    said = asked.withColumn("kept", F.filter("words", lambda w: ~w.isin(*STOPWORDS))).withColumn("terms", F.array_distinct(_singulars(F.col("kept"))))
+    parts: dict[str, list[Column]] = {}
+    for table, kind, _, found in schema_terms(tables):
+        k = F.size(F.array_intersect("terms", F.array(*map(F.lit, found)))).cast("double")
+        weight = k * k * (COLUMN / len(found)) if kind == "column" else k * (NAME if kind == "name" else COMMENT)
+        parts.setdefault(table, []).append(weight.cast("decimal(18,6)"))
+    exact = lambda c: F.round(c.cast("double"), 6)
+    by_table = [F.struct(F.lit(t).alias("table"), sum(ws[1:], ws[0]).cast("decimal(18,6)").alias("weight")) for t, ws in parts.items()]
+    if by_table:
+        hits = said.select("key", F.explode(F.filter(F.array(*by_table), lambda x: x["weight"] > 0)).alias("h")).select("key", "h.table", "h.weight")
+    else:
+        hits = said.where("false").select("key", F.lit("").alias("table"), F.lit(0).cast("decimal(18,6)").alias("weight"))
     if values is not None:
-        places = values.withColumn("table", F.substring_index("place", ".", 1)).select("term", "table", "place").distinct()
-        shared = places.join(places.groupBy("term").agg(F.count("*").alias("k")), "term").select("term", "table", (F.lit(VALUE) / F.col("k")).alias("weight"))
-        raw = asked.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), 1))).alias("term")).where(~F.col("term").isin(*STOPWORDS))
-        hits = hits.unionByName(raw.join(F.broadcast(shared), "term").select("key", "table", "weight"))
-    return hits.groupBy("key", "table").agg(F.round(F.sum(F.col("weight").cast("decimal(18,6)")).cast("double"), 6).alias("score"))
+        several = F.col("term").contains(" ")
+        known = values.where(F.length("term") > 1).select(F.when(several, F.array_join(words_column(F.col("term")), " ")).otherwise(F.col("term")).alias("said"), "term", "place").distinct()
+        shared = known.join(known.groupBy("term").agg(F.countDistinct("place").alias("k")), "term").select("said", "term", F.substring_index("place", ".", 1).alias("table"), (F.lit(VALUE) / F.col("k")).cast("decimal(18,6)").alias("weight"))
+        longest = values.where(several).agg(F.max(F.size(words_column(F.col("term"))))).first()[0] or 1
+        n = F.size("words")
+        spans = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(max(longest, 2))), lambda w: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i + w <= n), lambda i: F.array_join(F.slice("words", i + 1, w), " "))))
+        spoken = said.select("key", F.explode(F.array_distinct(F.concat("kept", "terms", spans) if longest > 1 else F.concat("kept", "terms"))).alias("said"))
+        hits = hits.unionByName(spoken.join(F.broadcast(shared), "said").select("key", "table", "weight"))
+    return hits.groupBy("key", "table").agg(exact(F.sum("weight")).alias("score"))
 
 
 def neighbours(tables: list[TableInfo]) -> dict[str, set[str]]:
@@ -170,34 +201,43 @@ def shortest_path(graph: dict[str, set[str]], start: str, end: str) -> list[str]
     return []
 
 
-def select_tables(scores: dict[str, float], tables: list[TableInfo], expand: bool = False) -> list[str]:
-    """Tables within reach of the best score, and those that join them; all tables where nothing scores."""
+#: At most so many tables are taken for their own score.
+MOST_TABLES = 6
+
+
+def select_tables(scores: dict[str, float], tables: list[TableInfo], most: int = MOST_TABLES, expand: int = 0) -> list[str]:
+    """Tables within reach of the best score, at most ``most``, and those on the ways between any two of them; all tables where nothing scores.
+
+    With ``expand`` the neighbours of as many of the best tables come too. Equal scores go in the order of the schema.
+    """
     best = max(scores.values(), default=0.0)
     if best <= 0:
         return [t.name for t in tables]
-    graph = neighbours(tables)
-    chosen = sorted((t for t, s in scores.items() if s >= FLOOR * best), key=lambda t: (-scores[t], t))
+    graph, at = neighbours(tables), {t.name: i for i, t in enumerate(tables)}
+    ranked = sorted((t for t in scores if t in at), key=lambda t: (-scores[t], at[t]))[:most]
+    chosen = [t for t in ranked if scores[t] >= FLOOR * best and scores[t] > 0]
     keep = set(chosen)
-    for other in chosen[1:]:
-        keep.update(shortest_path(graph, chosen[0], other))
-    if expand:
-        keep.update(n for t in list(keep) for n in graph[t])
+    for i, one in enumerate(chosen):
+        for other in chosen[i + 1 :]:
+            keep.update(shortest_path(graph, one, other))
+    for one in chosen[:expand]:
+        keep |= graph[one]
     return [t.name for t in tables if t.name in keep]
 
 
-def selected_tables(keys: DataFrame, scored: DataFrame, tables: list[TableInfo], key: str = "key") -> DataFrame:
+def selected_tables(keys: DataFrame, scored: DataFrame, tables: list[TableInfo], key: str = "key", most: int = MOST_TABLES) -> DataFrame:
     """(key, selected) for every row of ``keys``: what ``select_tables`` gives for the scores (key, table, score) of each.
 
     The ways along foreign keys are worked out once for all pairs of tables, which are few.
     """
     graph, names = neighbours(tables), [t.name for t in tables]
-    ways = {f"{a}>{b}": shortest_path(graph, a, b) or [b] for a in names for b in names}
+    ways = {f"{a}>{b}": shortest_path(graph, a, b) or [a, b] for a in names for b in names}
     way = F.create_map(*(c for k, path in ways.items() for c in (F.lit(k), F.array(*map(F.lit, path)))))
-    ranked = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "table"))).alias("r"))
-    best = F.col("r")[0]
-    chosen = F.filter("r", lambda x: x["low"] <= F.lit(FLOOR) * best["low"])
-    reached = ranked.where(best["low"] < 0).select(key, F.flatten(F.transform(chosen, lambda x: F.element_at(way, F.concat(best["table"], F.lit(">"), x["table"])))).alias("reached"))
     every = F.array(*map(F.lit, names))
+    ranked = scored.where(F.col("table").isin(*names)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), F.array_position(every, F.col("table")).alias("at"), "table"))).alias("r"))
+    best = F.col("r")[0]
+    chosen = F.transform(F.filter(F.slice("r", 1, most), lambda x: (x["low"] <= F.lit(FLOOR) * best["low"]) & (x["low"] < 0)), lambda x: x["table"])
+    reached = ranked.where(best["low"] < 0).select(key, chosen.alias("chosen")).select(key, F.flatten(F.flatten(F.transform("chosen", lambda a, i: F.transform(F.slice("chosen", i + 1, most), lambda b: F.element_at(way, F.concat(a, F.lit(">"), b)))))).alias("reached"))
     return keys.select(key).join(reached, key, "left").select(key, F.when(F.col("reached").isNull(), every).otherwise(F.filter(every, lambda t: F.array_contains("reached", t))).alias("selected"))
 
 
@@ -208,10 +248,10 @@ _ITEM = r'(?:["`]?\w+["`]?\s*\.\s*)*["`]?[a-z_]\w*+["`]?'
 def tables_of(sql: Column) -> Column:
     """The stored tables that a statement reads, in lower case: names after FROM, JOIN and their commas that no WITH defines.
 
-    Comments, literals and the FROM inside a function's brackets (EXTRACT, SUBSTRING, TRIM) or of DISTINCT FROM name no table.
+    Any kind of blank parts words. Comments, literals and the FROM inside a function's brackets (EXTRACT, SUBSTRING, TRIM) or of DISTINCT FROM name no table.
     """
     text = F.lower(sql)
-    for pattern, by in ((r"'(?:[^']|'')*'", "''"), (r"--[^\n]*|(?s)/\*.*?\*/", " "), (r"\b(?:extract|substring|trim|overlay)\s*\([^()]*?\bfrom\b", "("), (r"\bdistinct\s+from\b", " ")):
+    for pattern, by in ((r"'(?:[^']|'')*'", "''"), (r"--[^\n]*|(?s)/\*.*?\*/", " "), (r"[\s\p{Z}\x{200b}\x{feff}\x{85}]+", " "), (r"\b(?:extract|substring|trim|overlay)\s*\([^()]*?\bfrom\b", "("), (r"\bdistinct\s+from\b", " ")):
         text = F.regexp_replace(text, pattern, by)
     lists = F.regexp_extract_all(text, F.lit(rf"\b(?:from|join)\s+(?:only\s+|lateral\s+)?((?:{_ITEM}(?:\s+(?:as\s+)?\w+)?\s*,\s*)*+{_ITEM})(?!\s*[\w.]*\()"), 1)
     items = F.flatten(F.transform(lists, lambda x: F.split(x, r"\s*,\s*")))
@@ -221,11 +261,24 @@ def tables_of(sql: Column) -> Column:
 
 
 def retrieval_quality(found: DataFrame) -> DataFrame:
-    """Recall over all needed tables, share of complete selections and precision, for (selected array, needed array); a question that needs no table counts as complete."""
+    """How good selections are, in one row, for (selected array, needed array, correct boolean, used array).
+
+    Recall over all needed tables, share of complete selections, precision, tables shown on
+    average, accuracy of the answers where the selection was complete and where it was not,
+    and the share of answers whose statement reads a table that was not shown. A question
+    that needs no table counts as complete.
+    """
     both = F.size(F.array_intersect("selected", "needed"))
+    complete = both == F.size("needed")
+    share = lambda c, of: F.when(F.count_if(of) > 0, F.lit(100.0) * F.count_if(c & of) / F.count_if(of))
+    right = F.coalesce("correct", F.lit(False))
     return found.agg(
         F.count("*").alias("n"),
         (F.lit(100.0) * F.sum(both) / F.sum(F.size("needed"))).alias("recall"),
-        (F.lit(100.0) * F.count_if(both == F.size("needed")) / F.count("*")).alias("complete"),
+        share(complete, F.lit(True)).alias("complete"),
         (F.lit(100.0) * F.sum(both) / F.sum(F.size("selected"))).alias("precision"),
+        (F.sum(F.size("selected")) / F.count("*")).alias("tables_shown"),
+        share(right, complete).alias("accuracy_complete"),
+        share(right, ~complete).alias("accuracy_incomplete"),
+        share(F.size(F.array_except("used", "selected")) > 0, F.lit(True)).alias("used_unseen"),
     )
