@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
-from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +44,32 @@ def discrete_pool(df: DataFrame, value: Column) -> DataFrame:
 
 
 def slot_combinations(pools: dict[str, DataFrame], most: int = 120, seed: int = 0) -> DataFrame:
-    """(slots map<string,string>): all combinations of the pools' values, or ``most`` of them in a fixed pseudo-random order.
+    """(slots map<string,string>): all combinations of the pools' values, or ``most`` of them drawn with a fixed seed.
 
-    Pools are small tables (a few hundred values); an empty pool is an error.
+    Pools are small tables of at most ``MOST_VALUES`` values; an empty pool is an error.
+    Combinations are drawn by their number, so their product is never made.
     """
+    values: list[list[str]] = []
     for name, pool in pools.items():
-        size = pool.limit(MOST_VALUES + 1).count()
-        if not 0 < size <= MOST_VALUES:
-            raise ValueError(f"the pool of {name} has {'no' if not size else 'too many'} values")
-    parts = [F.broadcast(p.select(F.col("value").cast("string").alias(n))) for n, p in pools.items()]
-    every = reduce(lambda a, b: a.crossJoin(b), parts)
-    slots = F.create_map(*(x for n in pools for x in (F.lit(n), F.col(n))))
-    return every.select(slots.alias("slots"), F.xxhash64(F.lit(seed), *pools).alias("h")).orderBy("h").limit(most).select("slots")
+        found = [r[0] for r in pool.select(F.col("value").cast("string")).limit(MOST_VALUES + 1).collect()]
+        if not 0 < len(found) <= MOST_VALUES:
+            raise ValueError(f"the pool of {name} has {'no' if not found else 'too many'} values")
+        values.append(sorted(found))
+    every = prod(map(len, values))
+    drawn = range(every) if every <= most else sorted(random.Random(seed).sample(range(every), most))
+    rows = []
+    for number in drawn:
+        slots = {}
+        for name, pool in zip(pools, values, strict=True):
+            number, at = divmod(number, len(pool))
+            slots[name] = pool[at]
+        rows.append((slots,))
+    return next(iter(pools.values())).sparkSession.createDataFrame(rows, "slots map<string,string>")
+
+
+def escaped(slots: Column) -> Column:
+    """Slots whose values can stand inside the quotes of a literal."""
+    return F.transform_values(slots, lambda _, v: F.replace(v, F.lit("'"), F.lit("''")))
 
 
 def render(text: Column, slots: Column) -> Column:
@@ -68,13 +83,40 @@ def slots_of(text: Column) -> Column:
 
 
 def expand(templates: DataFrame, combinations: DataFrame) -> DataFrame:
-    """Questions (id, template_id, question, sql, phrasing, slots) from templates (template_id, questions array, sql) and their (template_id, slots)."""
+    """Questions (id, template_id, question, sql, phrasing, slots) from templates (template_id, questions array, sql) and their (template_id, slots); a value's quotes are doubled in the statement."""
     joined = templates.join(combinations, "template_id")
     asked = joined.select("template_id", "sql", "slots", F.posexplode("questions").alias("phrasing", "q"))
-    out = asked.select("template_id", render(F.col("q"), F.col("slots")).alias("question"), render(F.col("sql"), F.col("slots")).alias("sql"), "phrasing", "slots")
+    out = asked.select("template_id", render(F.col("q"), F.col("slots")).alias("question"), render(F.col("sql"), escaped(F.col("slots"))).alias("sql"), "phrasing", "slots")
     return out.select(F.substring(F.sha2(F.concat_ws("|", "template_id", "phrasing", "sql"), 256), 1, 16).alias("id"), "*")
 
 
+def slots_missing(examples: DataFrame) -> DataFrame:
+    """(id, missing): values of slots that an example's statement holds and its question does not say, letter case aside."""
+    low = lambda c: F.lower(F.col(c))
+    lost = F.filter(F.map_values("slots"), lambda v: F.contains(low("sql"), F.lower(F.replace(v, F.lit("'"), F.lit("''")))) & ~F.contains(low("question"), F.lower(v)))
+    return examples.select("id", F.array_distinct(lost).alias("missing")).where(F.size("missing") > 0)
+
+
+def statistics(examples: DataFrame) -> DataFrame:
+    """(examples, templates, questions, statements, fewest, most): what an expansion holds, and the range of examples a template."""
+    each = examples.groupBy("template_id").agg(F.count("*").alias("n"))
+    whole = examples.agg(F.count("*").alias("examples"), F.countDistinct("question").alias("questions"), F.countDistinct("sql").alias("statements"))
+    return whole.crossJoin(F.broadcast(each.agg(F.count("*").alias("templates"), F.min("n").alias("fewest"), F.max("n").alias("most"))))  # one row each
+
+
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(template_id, change): templates (template_id, questions, sql) of a new version that were added, removed or say something else."""
+    body = F.md5(F.to_json(F.struct("questions", "sql")))
+    both = old.select("template_id", body.alias("before")).join(new.select("template_id", body.alias("after")), "template_id", "full")
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
+    return both.select("template_id", change.alias("change")).where("change is not null")
+
+
+def overlay(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The templates of ``old``, those that ``new`` has too in their new form, and the ones that only ``new`` has."""
+    return old.join(new.select("template_id"), "template_id", "left_anti").select(*new.columns).unionByName(new)
+
+
 def repeated_ids(templates: DataFrame) -> DataFrame:
     return templates.groupBy("template_id").agg(F.count("*").alias("n")).where("n > 1")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.evaluation.shape import statement_tables
 from tamarack.operators.components import components
 from tamarack.operators.ranking import bucket_rank
 from tamarack.operators.skew import hot_aware_join
@@ -36,6 +39,38 @@ def screen(pairs: DataFrame, question: str = "question", sql: str = "sql", rows:
     return hot_aware_join(keyed, first, ["__key"], "__n", pairs.count()).withColumn("reason", reason).select(*pairs.columns, "reason")
 
 
+def screen_fully(pairs: DataFrame, known_tables: list[str]) -> DataFrame:
+    """(id, reason) of pairs (id, question, sql, fingerprint, row_count, error): why a pair is left out, null for one that stays.
+
+    The first that fits: empty_question, empty_sql, unparseable, dangerous_sql (a statement
+    that writes), unknown_table, failed, empty_result; of what passes so far duplicate_pair
+    (all but the smallest id of the same question and statement), and of the rest
+    conflicting_question, every pair of a question with several statements or results.
+    """
+    read = statement_tables(pairs.select("id", "question", "sql", "fingerprint", "row_count", F.col("error").cast("string").alias("error")))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    reason = (
+        F.when(blank("question"), "empty_question")
+        .when(blank("sql"), "empty_sql")
+        .when(F.col("sql").rlike(r"(?i)^[\s(]*(insert|update|delete|merge|drop|create|alter|truncate|grant|revoke|call|copy)\b"), "dangerous_sql")
+        .when(F.col("tables").isNull(), "unparseable")
+        .when(F.size(F.array_except("tables", F.array(*map(F.lit, known_tables)))) > 0, "unknown_table")
+        .when(F.col("error").isNotNull(), "failed")
+        .when(F.coalesce("row_count", F.lit(0)) == 0, "empty_result")
+    )
+    asked, said = F.md5(F.trim("question")), F.md5(normal_text(F.col("sql")))
+    first = materialize(read.select("id", "fingerprint", reason.alias("reason"), asked.alias("q"), said.alias("s")))
+    passed = first.where("reason is null")
+    # one pair stays of each question and statement, so a question conflicts where it has several statements
+    results = materialize(passed.groupBy("q", "s").agg(F.min("id").alias("keep"), F.count("*").alias("n")))
+    conflict = results.groupBy("q").agg((F.count("*") > 1).alias("conflict"))
+    judged = materialize(results.join(conflict, "q").select("q", "s", "keep", "conflict", "n"))
+    late = F.when(F.col("id") != F.col("keep"), "duplicate_pair").when(F.col("conflict"), "conflicting_question")
+    total = first.count()
+    out = hot_aware_join(passed, judged, ["q", "s"], "n", total).select("id", late.alias("reason"))
+    return first.where("reason is not null").select("id", "reason").unionByName(out)
+
+
 def question_conflicts(pairs: DataFrame, question: str = "question", sql: str = "sql", result: str = "fingerprint") -> DataFrame:
     """Questions that are asked of more than one statement or have more than one result."""
     grouped = pairs.groupBy(normal_text(F.col(question)).alias("question")).agg(F.countDistinct(normal_text(F.col(sql))).alias("statements"), F.countDistinct(result).alias("results"))
@@ -88,8 +123,8 @@ def stratified_split(groups: DataFrame, shares: tuple[float, float, float] = (0.
     def assign(tier: pa.Table) -> pa.Table:
         rows = sorted(tier.to_pylist(), key=lambda r: -r["n"])
         total = sum(r["n"] * r["groups"] for r in rows)
-        lack = [s * total for s in shares]
-        got = [deal(lack, r["n"], r["groups"]) for r in rows]
+        lack = [round(10_000 * s) * total for s in shares]  # whole numbers, so that ties are ties
+        got = [deal(lack, 10_000 * r["n"], r["groups"]) for r in rows]
         return pa.table({"tier": pa.array([r["tier"] for r in rows], pa.string()), "n": pa.array([r["n"] for r in rows], pa.int64()), "groups": pa.array([r["groups"] for r in rows], pa.int64()), "got": pa.array(got, pa.list_(pa.int64()))})
 
     sized = materialize(groups.select("grp", F.coalesce("tier", F.lit("")).alias("tier"), F.col("n").cast("long").alias("n")))
@@ -112,10 +147,10 @@ def leakage(rows: DataFrame, value: str, split: str = "split") -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.array_sort(F.collect_set(split)).alias("splits")).where(F.size("splits") > 1)
 
 
-def chat_records(pairs: DataFrame, system: str, question: str = "question", sql: str = "sql") -> DataFrame:
-    """(id, messages, meta): one conversation a pair."""
+def chat_records(pairs: DataFrame, system: str, question: str = "question", sql: str = "sql", schema: str | None = None) -> DataFrame:
+    """(id, messages, meta): one conversation a pair; a rendered ``schema`` stands before each question."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return pairs.select("id", F.array(message("system", F.lit(system)), message("user", F.col(question)), message("assistant", F.col(sql))).alias("messages"), F.struct(*(c for c in pairs.columns if c not in ("id", question, sql))).alias("meta"))
+    return pairs.select("id", F.array(message("system", F.lit(system)), message("user", F.col(question) if schema is None else F.concat(F.lit(f"{schema}\n\n"), F.col(question))), message("assistant", F.col(sql))).alias("messages"), F.struct(*(c for c in pairs.columns if c not in ("id", question, sql))).alias("meta"))
 
 
 def record_checks(records: DataFrame, held_out: DataFrame) -> DataFrame:
@@ -138,6 +173,47 @@ def record_checks(records: DataFrame, held_out: DataFrame) -> DataFrame:
     return one.unionByName(shared)
 
 
+#: What only evaluation knows and no prompt may say.
+FORBIDDEN = ("template_id", "gold_sql", "difficulty", "query_type", "fingerprint", "slot_values")
+
+
+def split_checks(records: DataFrame, system: str, schema: str) -> DataFrame:
+    """(split, check, failed): the checks of records (id, messages, question, sql, template_id, split) that ``record_checks`` leaves out.
+
+    Within train and validation: the answer is the validated statement, without comments; the
+    whole schema and nothing of the evaluation in the prompt, the same instruction, no
+    repeated pairs or questions. Between splits: no question, statement or template of the
+    test set, and none of train in validation. What repeats or is shared counts once a value.
+    """
+    text = lambda i: F.col("messages")[i]["content"]
+    prompt = F.lower(F.concat_ws("\n", text(0), text(1)))
+    one = F.col("split") != "test"
+    tests = {
+        "answer is not the validated statement": ~text(2).eqNullSafe(F.col("sql")),
+        "comment in answer": F.coalesce(text(2), F.lit("")).rlike("--|```"),
+        "schema not whole": ~F.coalesce(F.contains(text(1), F.lit(schema)), F.lit(False)),
+        "other instruction": ~text(0).eqNullSafe(F.lit(system)),
+        "evaluation data in prompt": reduce(lambda a, b: a | b, [F.contains(prompt, F.lit(t)) for t in FORBIDDEN]),
+        "id in prompt": F.contains(F.concat_ws("\n", text(0), text(1)), F.col("id")),
+    }
+    counted = records.where(one).groupBy("split").agg(*(F.count_if(c).alias(n) for n, c in tests.items()))
+    out = counted.select("split", F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("failed")) for n in tests))).alias("c")).select("split", "c.*")
+    statement = F.md5(normal_text(F.col("sql")))
+    keys = {"question": F.md5("question"), "statement": statement, "template": F.md5("template_id"), "pair": F.md5(F.concat_ws("\x1f", "question", statement))}
+    held = None
+    for name, key in keys.items():
+        each = records.select(F.lit(name).alias("key"), key.alias("v"), "split").where("v is not null")
+        held = each if held is None else held.unionByName(each)
+    # one shuffle for all keys: how often each split has each value
+    n = lambda s: F.count_if(F.col("split") == s).alias(s)
+    by_value = held.groupBy("key", "v").agg(n("train"), n("validation"), n("test"))
+    found = [F.when((F.col("key") == k) & (F.col(s) > 1), F.struct(F.lit(s).alias("split"), F.lit(f"repeated {k}").alias("check"))) for k in ("pair", "question") for s in ("train", "validation")]
+    found += [F.when((F.col("key") == k) & (F.col(s) > 0) & (F.col("test") > 0), F.struct(F.lit(s).alias("split"), F.lit(f"{k} in test").alias("check"))) for k in ("question", "statement", "template") for s in ("train", "validation")]
+    found += [F.when((F.col("key") == k) & (F.col("train") > 0) & (F.col("validation") > 0), F.struct(F.lit("validation").alias("split"), F.lit(f"{k} in train").alias("check"))) for k in ("question", "template")]
+    shared = by_value.select(F.explode(F.array_compact(F.array(*found))).alias("c")).select("c.*").groupBy("split", "check").agg(F.count("*").alias("failed"))
+    return out.where("failed > 0").unionByName(shared)
+
+
 def length_stats(records: DataFrame, text: Column) -> DataFrame:
     """n, mean, largest and nearest-rank p99 of the number of blank-separated words."""
     from tamarack.evaluation.metrics import latency

@@ -24,3 +24,18 @@ def name_key(value: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(plain(value), r"[^0-9]+", ""), r"^0+(?=.)", "")
     key = F.concat(letters(value), F.lit("|"), digits)
     return F.when(key != "|", key)
+
+
+def _plain_sql(column: str) -> str:
+    return f"translate({column}, '{_WIDE}', '{_PLAIN.replace(chr(39), chr(39) * 2)}')"
+
+
+def letters_sql(column: str) -> str:
+    """SQL of ``letters``."""
+    return rf"regexp_replace(lower({_plain_sql(column)}), '[^\p{{L}}]+', '', 'g')"
+
+
+def name_key_sql(column: str) -> str:
+    """SQL of ``name_key``."""
+    digits = rf"regexp_replace(regexp_replace({_plain_sql(column)}, '[^0-9]+', '', 'g'), '^0+(.)', '\1')"
+    return f"nullif({letters_sql(column)} || '|' || {digits}, '|')"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.dataset import expand, pipeline
+from tamarack.dataset import expand, pipeline, pools
 from tamarack.engine.execute import table_fingerprint
 from tamarack.evaluation import metrics, shape
-from tamarack.functions.text import letters, name_key
+from tamarack.functions.text import letters, letters_sql, name_key, name_key_sql
 from tamarack.plans.mart import SQL_VIEWS, Mart, exact_mean
 from tamarack.retrieval import schema as retrieval
 from tamarack.retrieval import shop
@@ -59,18 +59,23 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return res.select("example_id", "difficulty", "correct").withColumn("run", F.lit("strict")).unionByName(res.select("example_id", "difficulty", (F.col("correct") | F.coalesce("projection_match", F.lit(False))).alias("correct")).withColumn("run", F.lit("columns")))
 
 
+#: The tier of each difficulty.
+_TIERS = {"easy": "e", "medium": "m", "hard": "h", "veryhard": "v", "enterprise": "x"}
+
+
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     """(id, template_id, sql, grp, tier) of every record: templates, however typed, that share a statement are one group.
 
     A record without a template stands alone, unless its statement is in a group. The tier is
-    the first letter of the template, else of the difficulty.
+    that of the difficulty, or of the template where none is known.
     """
     rated = table(spark, d, "results_smoke").select("example_id", "template_id", F.col("gold_sql").alias("sql"), letters(F.col("difficulty")).alias("rated"))
     once = rated.groupBy(F.col("example_id").alias("id")).agg(F.max(F.struct("template_id", "sql", "rated")).alias("r")).select("id", "r.*")
     keyed = materialize(once.withColumn("key", F.coalesce(name_key(F.col("template_id")), F.concat(F.lit("record:"), F.col("id")))))
     groups = pipeline.equivalence_groups(keyed, "key").withColumnRenamed("value", "key")
-    tier = F.substring(F.when(F.col("key").startswith("record:"), F.col("rated")).otherwise(F.col("key")), 1, 1)
-    return keyed.join(groups, "key", "left").select("id", "template_id", "sql", F.coalesce("grp", "key").alias("grp"), F.coalesce(tier, F.lit("")).alias("tier"))
+    known = F.create_map(*(F.lit(x) for pair in _TIERS.items() for x in pair))
+    tier = F.coalesce(known[F.col("rated")], F.when(~F.col("key").startswith("record:"), F.substring("key", 1, 1)))
+    return keyed.join(groups, "key", "left").select("id", "template_id", "sql", F.coalesce("grp", "key").alias("grp"), tier.alias("tier"))
 
 
 def _tagged(records: DataFrame) -> DataFrame:
@@ -91,6 +96,32 @@ def _split_leakage(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations over the shop's schema, split by the last digit of the id."""
+    rendered = retrieval.render_schema(shop.TABLES)
+    pairs = _pairs(spark, d).select("id", "template_id", "question", "sql")
+    chats = pipeline.chat_records(pairs, "Answer with one SQL statement.", schema=rendered).select("id", "messages")
+    digit = F.substring("id", -1, 1)
+    split = F.when(digit.isin("0", "1"), "test").when(digit.isin("2", "3"), "validation").otherwise("train")
+    once = pairs.withColumn("split", split)
+    return pipeline.split_checks(chats.join(once, "id"), "Answer with one SQL statement.", rendered)
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    m = Mart(spark, d)
+    templates = spark.createDataFrame(_POOL_TEMPLATES, "template_id string, questions array<string>, sql string")
+    slots = {"p1": ["warehouse", "limit"], "p2": ["region", "segment", "quarter"]}
+    drawn = [expand.slot_combinations({n: pools.pool(m, n) for n in names}).select(F.lit(t).alias("template_id"), "slots") for t, names in slots.items()]
+    found = expand.expand(templates, drawn[0].unionByName(drawn[1]))
+    return expand.statistics(found).withColumn("slots_missing", F.lit(expand.slots_missing(found).count()))
+
+
+_POOL_TEMPLATES = [
+    ("p1", ["Which {limit} parts does {warehouse} hold most of?", "Show {limit} parts of {warehouse}."], "SELECT part_id FROM inv JOIN wh USING (wh_id) WHERE wh = '{warehouse}' ORDER BY on_hand DESC LIMIT {limit}"),
+    ("p2", ["How many {segment} customers of {region} ordered in quarter {quarter}?"], "SELECT count(DISTINCT cust_id) FROM ord JOIN cust USING (cust_id) WHERE segment = '{segment}' AND region = '{region}' AND extract(quarter FROM placed) = {quarter}"),
+]
+
+
 def _shop(spark: SparkSession, d: str) -> tuple[list[retrieval.TableInfo], dict[str, DataFrame]]:
     frames = {n: table(spark, d, n) for n in ("categories", "products", "suppliers", "customer", "orders", "nation", "region")}
     foreign = {"products": {"category_id": "categories", "supplier_id": "suppliers"}, "categories": {"parent_category_id": "categories"}, "customer": {"c_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "nation": {"n_regionkey": "region"}}
@@ -201,6 +232,13 @@ QUERIES = {
     "d14_discrete_pool": lambda s, d: expand.discrete_pool(Mart(s, d).item, F.col("line")),
     "d15_expanded_questions": _expanded,
     "d16_split_leakage": _split_leakage,
+    "d17_split_table": lambda s, d: _tagged((g := materialize(_grouped(s, d)))).join(g.groupBy("grp").agg(F.count("*").alias("n")), "grp").groupBy("tier", "n", "split").agg(F.count("*").alias("groups")),
+    "d18_pinned_table": lambda s, d: _pinned(s, d).groupBy("split", "conflict").agg(F.count("*").alias("groups")),
+    "d19_screening_in_full": lambda s, d: pipeline.screen_fully(_pairs(s, d), [t.name for t in shop.TABLES]).groupBy("reason").agg(F.count("*").alias("n")),
+    "d20_split_checks": _records,
+    "d21_named_pools": lambda s, d: pools.named_pools(Mart(s, d)),
+    "d22_numeric_pools": lambda s, d: pools.numeric_pools(Mart(s, d)),
+    "d23_expansion_statistics": _statistics,
     "l01_stride_sample": lambda s, d: records.stride_sample(Mart(s, d).ord.select("ord_id", "placed"), 97, ["placed", "ord_id"]),
     "l02_not_done_yet": lambda s, d: records.not_done(table(s, d, "results_smoke").select("example_id").distinct(), table(s, d, "generations_smoke")),
     "l03_statements_side_by_side": lambda s, d: records.showcase({"gold": _pairs(s, d).select(F.col("id").alias("example_id"), "sql"), "reply": table(s, d, "generations_smoke").select("example_id", "sql").distinct()}),
@@ -222,6 +260,18 @@ QUERIES = {
     "w03_events_once": w03_events_once,
 }
 
+#: Groups of templates that share a statement, dealt one by one: in each tier, largest first, to the split that lacks most.
+_GREEDY = f"""WITH RECURSIVE recs AS (SELECT DISTINCT example_id AS id, gold_sql AS sql, {letters_sql("difficulty")} AS rated, coalesce({name_key_sql("template_id")}, 'record:' || example_id) AS key FROM results_smoke),
+e AS (SELECT DISTINCT key AS k, md5({_NORMAL.format("sql")}) AS q FROM recs WHERE sql IS NOT NULL), near AS (SELECT DISTINCT x.k AS a, y.k AS b FROM e x JOIN e y USING (q) WHERE x.k <> y.k),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), top AS (SELECT a AS key, min(least(a, b)) AS grp FROM reach GROUP BY 1),
+tiered AS (SELECT coalesce(grp, key) AS grp, coalesce(CASE rated {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TIERS.items())} END, CASE WHEN key NOT LIKE 'record:%' THEN key[1] END) AS tier FROM recs LEFT JOIN top USING (key)),
+grps AS (SELECT grp, coalesce(min(tier), '') AS tier, count(*) AS n FROM tiered GROUP BY 1),
+seq AS (SELECT tier, n, row_number() OVER (PARTITION BY tier ORDER BY n DESC) AS i FROM grps),
+walk AS (SELECT tier, 0::BIGINT AS i, 0::BIGINT AS n, CAST(7000 * sum(n) AS BIGINT) AS a, CAST(1500 * sum(n) AS BIGINT) AS b, CAST(1500 * sum(n) AS BIGINT) AS c, '' AS pick FROM grps GROUP BY tier
+  UNION ALL SELECT tier, i, n, a - CASE p WHEN 'train' THEN 10000 * n ELSE 0 END, b - CASE p WHEN 'validation' THEN 10000 * n ELSE 0 END, c - CASE p WHEN 'test' THEN 10000 * n ELSE 0 END, p
+  FROM (SELECT s.tier, s.i, s.n, a, b, c, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'validation' ELSE 'test' END AS p FROM walk w JOIN seq s ON s.tier = w.tier AND s.i = w.i + 1))"""
+
+
 def _list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -343,6 +393,29 @@ SELECT unnest(['three messages', 'order of roles', 'empty question', 'empty answ
     "d15_expanded_questions": f"""{_M}, y AS (SELECT DISTINCT extract(year FROM placed) AS year FROM ord), st AS (SELECT DISTINCT status FROM ord)
 SELECT 'c1' AS template_id, replace(q, '*', country) AS question, 'SELECT * FROM cust WHERE country = ''' || country || '''' AS sql FROM area, (SELECT unnest(['Which customers are from *?', 'Show customers of *.']) AS q)
 UNION ALL SELECT 'c2', 'How many orders are there in ' || year || ' with status ' || status || '?', 'SELECT count(*) FROM ord WHERE status = ''' || status || ''' AND year(placed) = ' || year FROM y, st""",
+    "d16_split_leakage": "SELECT '' AS kind, '' AS value, '' AS splits WHERE FALSE",
+    "d17_split_table": f"{_GREEDY} SELECT tier, n, pick AS split, count(*) AS groups FROM walk WHERE i > 0 GROUP BY 1, 2, 3",
+    "d18_pinned_table": f"{_GREEDY} SELECT CASE WHEN tier = 'e' THEN pick ELSE 'train' END AS split, FALSE AS conflict, count(*) AS groups FROM walk WHERE i > 0 GROUP BY 1",
+    "d19_screening_in_full": f"""{_P}, read AS (SELECT *, CASE WHEN trim(coalesce(question, '')) = '' THEN 'empty_question' WHEN trim(coalesce(sql, '')) = '' THEN 'empty_sql' WHEN regexp_matches(sql, '(?i)^[\\s(]*(insert|update|delete|merge|drop|create|alter|truncate|grant|revoke|call|copy)\\b') THEN 'dangerous_sql'
+  WHEN (json_serialize_sql(sql)->>'error') = 'true' THEN 'unparseable' WHEN len([x FOR x IN (json_serialize_sql(sql)->>'$..table_name') IF x <> '' AND NOT list_contains(coalesce(json_serialize_sql(sql)->>'$..cte_map.map[*].key', []), x) AND lower(x) NOT IN ({_list(t.name for t in shop.TABLES)})]) > 0 THEN 'unknown_table'
+  WHEN coalesce(row_count, 0) = 0 THEN 'empty_result' END AS reason FROM pairs),
+passed AS (SELECT *, row_number() OVER (PARTITION BY trim(question), {_NORMAL.format('sql')} ORDER BY id) AS place FROM read WHERE reason IS NULL),
+asked AS (SELECT trim(question) AS q, count(DISTINCT {_NORMAL.format('sql')}) AS k FROM passed GROUP BY 1)
+SELECT reason, count(*) AS n FROM (SELECT reason FROM read WHERE reason IS NOT NULL UNION ALL SELECT CASE WHEN place > 1 THEN 'duplicate_pair' WHEN k > 1 THEN 'conflicting_question' END FROM passed JOIN asked ON q = trim(question)) GROUP BY 1""",
+    "d20_split_checks": f"""{_P}, r AS (SELECT *, {_NORMAL.format('sql')} AS norm, CASE WHEN right(id, 1) IN ('0', '1') THEN 'test' WHEN right(id, 1) IN ('2', '3') THEN 'validation' ELSE 'train' END AS split FROM pairs),
+v AS (SELECT 'question' AS key, question AS v, split FROM r UNION ALL SELECT 'statement', norm, split FROM r UNION ALL SELECT 'template', template_id, split FROM r UNION ALL SELECT 'pair', question || chr(31) || norm, split FROM r),
+b AS (SELECT key, v, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM v WHERE v IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT s AS split, 'repeated ' || key AS "check" FROM b, (SELECT unnest(['train', 'validation']) AS s) WHERE key IN ('pair', 'question') AND CASE s WHEN 'train' THEN train ELSE validation END > 1
+  UNION ALL SELECT s, key || ' in test' FROM b, (SELECT unnest(['train', 'validation']) AS s) WHERE key <> 'pair' AND CASE s WHEN 'train' THEN train ELSE validation END > 0 AND test > 0
+  UNION ALL SELECT 'validation', key || ' in train' FROM b WHERE key IN ('question', 'template') AND train > 0 AND validation > 0
+  UNION ALL SELECT split, 'comment in answer' FROM r WHERE split <> 'test' AND regexp_matches(coalesce(sql, ''), '--|```')
+  UNION ALL SELECT split, 'id in prompt' FROM r WHERE split <> 'test' AND contains(question, id)
+  UNION ALL SELECT split, 'evaluation data in prompt' FROM r WHERE split <> 'test' AND regexp_matches(lower(question), '{"|".join(pipeline.FORBIDDEN)}'))
+SELECT split, "check", count(*) AS failed FROM f GROUP BY 1, 2""",
+    "d21_named_pools": f"{_M} {pools.named_pools_sql()}",
+    "d22_numeric_pools": f"{_M} {pools.numeric_pools_sql()}",
+    "d23_expansion_statistics": f"""{_M}, k AS (SELECT least((SELECT count(DISTINCT wh) FROM wh) * {len(pools.STRUCTURAL['limit'])}, 120) AS a, least((SELECT count(DISTINCT region) FROM cust) * (SELECT count(DISTINCT segment) FROM cust) * 4, 120) AS b)
+SELECT 2 * a + b AS examples, 2 * a + b AS questions, a + b AS statements, 2::BIGINT AS templates, least(2 * a, b) AS fewest, greatest(2 * a, b) AS most, 0 AS slots_missing FROM k""",
     "l01_stride_sample": f"{_M}, r AS (SELECT ord_id, placed, row_number() OVER (ORDER BY placed, ord_id) - 1 AS k, count(*) OVER () AS n FROM ord) SELECT ord_id, placed FROM r WHERE k IN (SELECT CAST(floor(i * (SELECT count(*) FROM ord) / 97.0::DOUBLE) AS BIGINT) FROM range(97) t(i))",
     "l02_not_done_yet": "SELECT DISTINCT example_id FROM results_smoke WHERE example_id NOT IN (SELECT example_id FROM generations_smoke)",
     "l03_statements_side_by_side": f"{_P} SELECT id AS example_id, pairs.sql AS gold_sql, g.sql AS reply_sql FROM pairs LEFT JOIN (SELECT DISTINCT example_id, sql FROM generations_smoke) g ON g.example_id = id",

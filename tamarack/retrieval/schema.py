@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,11 +45,14 @@ def terms_column(text: Column) -> Column:
 
 
 def _singulars(words: Column) -> Column:
+    ends = lambda w, *tails: reduce(lambda a, b: a | b, [w.endswith(t) for t in tails])
+    less = lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
     return F.transform(
         words,
-        lambda w: F.when((F.length(w) > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when((F.length(w) > 4) & w.rlike("(x|ch|sh|ss)es$"), F.regexp_replace(w, "es$", ""))
-        .when((F.length(w) > 3) & w.endswith("s") & ~w.rlike("(ss|us|is)$"), F.regexp_replace(w, "s$", ""))
+        lambda w: F.when(~w.endswith("s"), w)
+        .when((F.length(w) > 4) & w.endswith("ies"), F.concat(less(w, 3), F.lit("y")))
+        .when((F.length(w) > 4) & ends(w, "xes", "ches", "shes", "sses"), less(w, 2))
+        .when((F.length(w) > 3) & ~ends(w, *_IRREGULAR), less(w, 1))
         .otherwise(w),
     )
 
@@ -144,22 +148,19 @@ def score_tables(questions: DataFrame, tables: list[TableInfo], values: DataFram
     of several words, where the question says them one after the other; a value in several
     places shares its weight among them.
 
-    The schema's part needs no shuffle; it is as small as the schema. The value index has at
-    most ``MOST_VALUES`` values a column.
+    The index of the schema is as small as the schema; the value index has at most
+    ``MOST_VALUES`` values a column.
     """
     asked = questions.select(F.col(key).alias("key"), words_column(F.col(text)).alias("words"))
     said = asked.withColumn("kept", F.filter("words", lambda w: ~w.isin(*STOPWORDS))).withColumn("terms", F.array_distinct(_singulars(F.col("kept"))))
-    parts: dict[str, list[Column]] = {}
-    for table, kind, _, found in schema_terms(tables):
-        k = F.size(F.array_intersect("terms", F.array(*map(F.lit, found)))).cast("double")
-        weight = k * k * (COLUMN / len(found)) if kind == "column" else k * (NAME if kind == "name" else COMMENT)
-        parts.setdefault(table, []).append(weight.cast("decimal(18,6)"))
     exact = lambda c: F.round(c.cast("double"), 6)
-    by_table = [F.struct(F.lit(t).alias("table"), sum(ws[1:], ws[0]).cast("decimal(18,6)").alias("weight")) for t, ws in parts.items()]
-    if by_table:
-        hits = said.select("key", F.explode(F.filter(F.array(*by_table), lambda x: x["weight"] > 0)).alias("h")).select("key", "h.table", "h.weight")
-    else:
-        hits = said.where("false").select("key", F.lit("").alias("table"), F.lit(0).cast("decimal(18,6)").alias("weight"))
+    index = [(term, table, kind, place, len(found)) for table, kind, place, found in schema_terms(tables) for term in found]
+    scheme = F.broadcast(questions.sparkSession.createDataFrame(index, "term string, table string, kind string, place string, size int"))
+    k = F.col("k").cast("double")
+    weight = F.when(F.col("kind") == "column", k * k * F.lit(COLUMN) / F.col("size")).when(F.col("kind") == "name", k * NAME).otherwise(k * COMMENT)
+    # all of a question's terms are in one partition, so that hits are counted before anything is shuffled
+    met = said.select("key", F.explode("terms").alias("term")).join(scheme, "term").groupBy("key", "table", "kind", "place", "size").agg(F.count("*").alias("k"))
+    hits = met.select("key", "table", weight.cast("decimal(18,6)").alias("weight"))
     if values is not None:
         several = F.col("term").contains(" ")
         known = values.where(F.length("term") > 1).select(F.when(several, F.array_join(words_column(F.col("term")), " ")).otherwise(F.col("term")).alias("said"), "term", "place").distinct()

@@ -118,7 +118,7 @@ def test_gate_and_outcomes(spark):
     df = spark.createDataFrame(rows, "example_id string, difficulty string, gold_sql string, outcome string, correct boolean")
     gate = {r.check: r.passed for r in metrics.release_gate(df, df.withColumn("correct", F.lit(True)), 40, 90, 30).collect()}
     assert gate == {"accuracy": True, "executable": True, "lost in easy": False}
-    assert metrics.outcome_of(None, True) == "correct" and metrics.outcome_of("unparseable", False) == "syntax_error" and metrics.outcome_of("x", False) == "execution_error"
+    assert metrics.outcome_of(None, True) == "correct" and metrics.outcome_of("unparseable", False) == "invalid_sql" and metrics.outcome_of("x", False) == "execution_error"
 
 
 def test_retrieval(spark):
