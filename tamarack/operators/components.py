@@ -19,7 +19,7 @@ from tamarack.storage import materialize
 
 
 def _forest(star: bool, most: int):
-    """Union-find over the partition's links; gives (node, smallest node) rows if ``star``, else chains, in which no node has more than two links.
+    """Union-find over the partition's links; gives (node, smallest node) rows if ``star``, else chains, in which no node has more than two links, and a node alone is linked to itself.
 
     Chains are given out whenever ``most`` nodes are held, so that a task's memory is bounded whatever its partition holds.
     """
@@ -47,6 +47,10 @@ def _forest(star: bool, most: int):
                     left.append(last.get(root, root))
                     right.append(x)
                     last[root] = x
+            for x in up:  # a node linked to itself alone stays in sight
+                if not star and up[x] == x and x not in last:
+                    left.append(x)
+                    right.append(x)
             for i in range(0, len(left), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(left[i : i + 10_000], pa.string()), pa.array(right[i : i + 10_000], pa.string())], ["a", "b"])
 
@@ -91,5 +95,4 @@ def components(links: DataFrame, task_links: int = 500_000, hot_rows: int = 50_0
         counted = materialize(roots.groupBy("root").agg(F.count("*").alias("n")))
         far = materialize(counted.join(solved.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left"))
         solved = hot_aware_join(roots, far, ["root"], "n", roots.count(), hot_rows).select("node", F.coalesce("far", "root").alias("root"))
-    loops = links.where("a is not null and a = b").select(F.col("a").cast("string").alias("node")).distinct()  # nodes linked to nothing else
-    return solved.unionByName(loops.join(solved, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return solved

@@ -48,6 +48,22 @@ def range_rank(rows: DataFrame, classes: list[str], order: list[str | Column], r
     return ranged.withColumn("__w", within).join(offsets, same).select(*rows.columns, (F.col("__w") + F.col("__offset")).cast("long").alias(rank), "rank_rows")
 
 
+def latest_of_each(rows: DataFrame, by: str, moment: str, ties: list[str], n: int, place: str = "place") -> DataFrame:
+    """The ``n`` latest rows of each class with their ``place`` from 1; equal moments in the order of ``ties``.
+
+    Days are counted first: only rows from each class's last days that hold ``n`` rows meet
+    in the window, so that no class is sorted as a whole. Rows without a moment are left out.
+    """
+    timed = rows.where(F.col(moment).isNotNull())
+    day = F.date_trunc("day", F.col(moment)).alias("__day")
+    days = timed.groupBy(by, day).agg(F.count("*").alias("__n"))
+    later = F.sum("__n").over(Window.partitionBy(by).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1))
+    since = days.withColumn("__later", F.coalesce(later, F.lit(0))).where(F.col("__later") < n).groupBy(F.col(by).alias("__by")).agg(F.min("__day").alias("__since"))
+    last = timed.join(since, F.col(by).eqNullSafe(F.col("__by")) & (F.col(moment) >= F.col("__since"))).select(*rows.columns)
+    ranked = last.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(moment), *ties)))
+    return ranked.where(F.col(place) <= n).withColumn(place, F.col(place).cast("bigint"))
+
+
 #: Up to so many rows one sorted task is the quickest way to rank them all.
 ONE_TASK_ROWS = 1_000_000
 

@@ -76,6 +76,6 @@ TEMPLATES = [
     _flag("e30_staff_who_left", "emp", "active", False),
     _eq("e31_warehouses_of_country", "wh", "country", "NATION_7"),
     Template("e32_vendors_above_rating", lambda m, rating: m.vend.where(C("rating") > rating).orderBy(descending("rating")), "SELECT * FROM vend WHERE rating > {rating}", {"rating": 4.0}),
-    _below("e33_stock_below_quantity", "inv", "on_hand", 10),
+    Template("e33_stock_below_quantity", lambda m, value: m.inv.where(C("on_hand") < value).join(m.prod.select("part_id", (C("size") * 2).cast("bigint").alias("reorder")), "part_id"), "SELECT * FROM inv WHERE on_hand < {value}", {"value": 10}),
     Template("e34_orders_above_freight", lambda m, freight: m.ord.where(C("freight") > freight).orderBy(descending("freight"), "ord_id"), "SELECT * FROM ord WHERE freight > {freight}", {"freight": 40.0}),
 ]

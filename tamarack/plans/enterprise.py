@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.semantics import as_of, mean, mean_days, percent, total, year_of
+from tamarack.operators.ranking import latest_of_each
 from tamarack.plans.mart import Template, days_mean, exact_mean, exact_sum
 
 C = F.col
@@ -31,7 +32,7 @@ TEMPLATES = [
     T("x05_vendors_without_rating", lambda m: m.vend.where(C("rating").isNull()), "SELECT * FROM vend WHERE rating IS NULL"),
     T("x06_low_credit_of_segment", lambda m, segment, limit: m.cust.where((C("segment") == segment) & C("credit").isNotNull() & (C("credit") < limit)).orderBy("credit"), "SELECT * FROM cust WHERE segment = {segment} AND credit IS NOT NULL AND credit < {limit}", {"segment": "MACHINERY", "limit": 1500.0}),
     T("x07_sent_but_not_arrived", lambda m: m.ship.where(C("sent").isNotNull() & C("arrived").isNull()).orderBy("sent"), "SELECT * FROM ship WHERE sent IS NOT NULL AND arrived IS NULL"),
-    T("x08_stock_below_reorder", lambda m: m.inv.where("on_hand < reorder").join(m.prod.select("part_id", "part"), "part_id").join(m.wh.select("wh_id", "wh"), "wh_id").select("part_id", "part", "wh", "on_hand", "reorder"), "SELECT part_id, part, wh, on_hand, reorder FROM inv JOIN prod USING (part_id) JOIN wh USING (wh_id) WHERE on_hand < reorder"),
+    T("x08_stock_below_reorder", lambda m: m.inv_part.where("on_hand < reorder").join(m.wh.select("wh_id", "wh"), "wh_id").select("part_id", "part", "wh", "on_hand", "reorder"), "SELECT part_id, part, wh, on_hand, reorder FROM inv JOIN prod USING (part_id) JOIN wh USING (wh_id) WHERE on_hand < reorder"),
     T("x09_stock_of_one_kind", lambda m, kind: m.prod.where(C("kind") == kind).join(m.inv, "part_id").groupBy("part_id", "part").agg(F.sum("on_hand").alias("units")).where("units > 0"), "SELECT part_id, part, CAST(sum(on_hand) AS BIGINT) AS units FROM prod JOIN inv USING (part_id) WHERE kind = {kind} GROUP BY 1, 2 HAVING sum(on_hand) > 0", {"kind": "PROMO"}),
     T("x10_orders_awaiting_payment", lambda m: m.ord.where("status <> 'P'").join(m.pay.where("status = 'F'"), "ord_id", "left_anti").select("ord_id", "cust_id", "total"), "SELECT ord_id, cust_id, total FROM ord WHERE status <> 'P' AND NOT EXISTS (FROM pay WHERE pay.ord_id = ord.ord_id AND pay.status = 'F')"),
     T("x11_value_by_department", lambda m: m.ord.groupBy("rep_id").agg(F.sum(C("total").cast("decimal(18,4)")).alias("v")).join(m.emp.select(C("emp_id").alias("rep_id"), "dept_id"), "rep_id").join(F.broadcast(m.dept), "dept_id").groupBy("dept").agg(F.sum("v").cast("double").alias("value")), f"SELECT dept, {_VALUE} AS value FROM ord JOIN emp ON emp_id = rep_id JOIN dept USING (dept_id) GROUP BY dept"),
@@ -54,10 +55,10 @@ TEMPLATES = [
     T("x28_late_by_country", lambda m: _late(m).where("late").groupBy("cust_id").agg(F.count("*").alias("k")).join(m.cust.select("cust_id", "country"), "cust_id").groupBy("country").agg(F.sum("k").alias("n")), f"SELECT country, count(*) AS n FROM ship JOIN ord USING (ord_id) JOIN cust USING (cust_id) WHERE {_LATE} GROUP BY country"),
     T("x29_pending_for_days", lambda m, days: m.ord.where((C("status") == "P") & (C("placed") < as_of() - F.make_dt_interval(F.lit(days)))).select("ord_id", "placed"), f"SELECT ord_id, placed FROM ord WHERE status = 'P' AND placed < {_AS_OF} - to_days({{days}})", {"days": 900}),
     T("x30_inactive_but_ordering", lambda m, months: m.ord.where(C("placed") > as_of() - F.make_ym_interval(F.lit(0), F.lit(months))).groupBy("cust_id").agg(F.max("placed").alias("last")).join(m.cust.where(~C("active")).select("cust_id", "cust"), "cust_id"), f"SELECT cust_id, cust, max(placed) AS last FROM cust JOIN ord USING (cust_id) WHERE NOT active AND placed > {_AS_OF} - to_months({{months}}) GROUP BY 1, 2", {"months": 9}),
-    T("x31_low_stock_by_brand", lambda m: m.inv.where("on_hand < reorder").join(m.prod, "part_id").groupBy("brand").agg(F.count("*").alias("n")), "SELECT brand, count(*) AS n FROM inv JOIN prod USING (part_id) WHERE on_hand < reorder GROUP BY brand"),
+    T("x31_low_stock_by_brand", lambda m: m.inv_part.where("on_hand < reorder").groupBy("brand").agg(F.count("*").alias("n")), "SELECT brand, count(*) AS n FROM inv JOIN prod USING (part_id) WHERE on_hand < reorder GROUP BY brand"),
     T("x32_mean_value_per_customer", lambda m: m.ord.where(~C("status").isin("P")).groupBy("cust_id").agg(total(C("total")).alias("value")).agg(mean(C("value")).alias("mean_value")), f"SELECT {exact_mean('value')} AS mean_value FROM (SELECT {_VALUE} AS value FROM ord WHERE status NOT IN ('P') GROUP BY cust_id)"),
     T("n01_best_paid_of_each_department", lambda m, n: _top(m.emp.select("emp_id", "dept_id", "salary"), ["dept_id"], [F.desc("salary"), "emp_id"], n), "SELECT * FROM (SELECT emp_id, dept_id, salary, row_number() OVER (PARTITION BY dept_id ORDER BY salary DESC, emp_id) AS place FROM emp) WHERE place <= {n}", {"n": 2}),
-    T("n02_latest_shipments_of_each_carrier", lambda m, n: _top(m.ship.select("carrier", "ord_id", "part_id", "line", "sent"), ["carrier"], [F.desc("sent"), "ord_id", "line", "part_id"], n), "SELECT * FROM (SELECT carrier, ord_id, part_id, line, sent, row_number() OVER (PARTITION BY carrier ORDER BY sent DESC, ord_id, line, part_id) AS place FROM ship) WHERE place <= {n}", {"n": 5}),
+    T("n02_latest_shipments_of_each_carrier", lambda m, n: latest_of_each(m.ship.select("carrier", "ord_id", "part_id", "line", "sent"), "carrier", "sent", ["ord_id", "line", "part_id"], n), "SELECT * FROM (SELECT carrier, ord_id, part_id, line, sent, row_number() OVER (PARTITION BY carrier ORDER BY sent DESC, ord_id, line, part_id) AS place FROM ship) WHERE place <= {n}", {"n": 5}),
     T("n03_largest_orders_of_each_segment", lambda m, n: _top(m.ord.join(m.cust.select("cust_id", "segment"), "cust_id").select("ord_id", "segment", "total"), ["segment"], [F.desc("total"), "ord_id"], n), "SELECT * FROM (SELECT ord_id, segment, total, row_number() OVER (PARTITION BY segment ORDER BY total DESC, ord_id) AS place FROM ord JOIN cust USING (cust_id)) WHERE place <= {n}", {"n": 4}),
     T("n04_mean_days_to_dispatch", lambda m: m.ship.join(m.ord.select("ord_id", "placed"), "ord_id").groupBy("wh_id").agg(mean_days("placed", "sent").alias("days")).join(m.wh.select("wh_id", "wh"), "wh_id"), f"SELECT wh_id, wh, {days_mean('placed', 'sent')} AS days FROM ship JOIN ord USING (ord_id) JOIN wh USING (wh_id) GROUP BY 1, 2"),
     T("n05_days_from_signup_to_first_order", lambda m: m.ord.groupBy("cust_id").agg(F.min("placed").alias("first")).join(m.cust.select("cust_id", "segment", C("signup").cast("timestamp_ntz").alias("signup_at")), "cust_id").groupBy("segment").agg(mean_days("signup_at", "first").alias("days")), f"SELECT segment, {days_mean('CAST(signup AS TIMESTAMP)', 'first')} AS days FROM cust JOIN (SELECT cust_id, min(placed) AS first FROM ord GROUP BY 1) USING (cust_id) GROUP BY segment"),

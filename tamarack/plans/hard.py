@@ -36,7 +36,7 @@ TEMPLATES = [
     T("h16_top_brands_through_common_table", lambda m, n: m.item.join(m.prod, "part_id").groupBy("brand").agg(total(C("rev")).alias("revenue")).orderBy(F.desc("revenue"), "brand").limit(n), f"WITH sold AS (SELECT part_id, CAST(rev AS DECIMAL(18,4)) AS rev FROM item) SELECT brand, CAST(sum(rev) AS DOUBLE) AS revenue FROM sold JOIN prod USING (part_id) GROUP BY brand ORDER BY revenue DESC, brand LIMIT {{n}}", {"n": 5}),
     T("h17_value_of_country_in_year", lambda m, country, year: m.ord.where(in_year(C("placed"), year)).join(m.cust.where(C("country") == country), "cust_id", "left_semi").agg(total(C("total")).alias("value")), f"SELECT {_VALUE} AS value FROM ord JOIN cust USING (cust_id) WHERE country = {{country}} AND extract(year FROM placed) = {{year}}", {"country": "NATION_5", "year": 1998}),
     T("h18_shipments_of_each_warehouse", lambda m: m.ship.groupBy("wh_id").agg(F.count("*").alias("n")).join(m.wh.select("wh_id", "wh"), "wh_id"), "SELECT wh_id, wh, count(*) AS n FROM ship JOIN wh USING (wh_id) GROUP BY 1, 2"),
-    T("h19_parts_held_in_country", lambda m, country: m.inv.join(m.wh.where(C("country") == country).select("wh_id"), "wh_id").join(m.prod, "part_id").select("part_id", "part").distinct(), "SELECT DISTINCT part_id, part FROM inv JOIN wh USING (wh_id) JOIN prod USING (part_id) WHERE country = {country}", {"country": "NATION_2"}),
+    T("h19_parts_held_in_country", lambda m, country: m.inv_part.join(m.wh.where(C("country") == country).select("wh_id"), "wh_id").select("part_id", "part").distinct(), "SELECT DISTINCT part_id, part FROM inv JOIN wh USING (wh_id) JOIN prod USING (part_id) WHERE country = {country}", {"country": "NATION_2"}),
     T("h20_parts_in_many_warehouses", lambda m, least: m.inv.groupBy("part_id").agg(F.countDistinct("wh_id").alias("places")).where(C("places") > least), "SELECT part_id, count(DISTINCT wh_id) AS places FROM inv GROUP BY part_id HAVING count(DISTINCT wh_id) > {least}", {"least": 34}),
     T("h21_categories_without_goods", lambda m: m.cat.join(m.goods, "cat_id", "left_anti").select("cat_id", "cat"), "SELECT c.cat_id, c.cat FROM cat c LEFT JOIN goods g ON g.cat_id = c.cat_id WHERE g.cat_id IS NULL"),
     T("h22_top_representatives", lambda m, n: m.ord.where("rep_id is not null").groupBy(C("rep_id").alias("emp_id")).agg(total(C("total")).alias("value")).join(m.emp.select("emp_id", "emp"), "emp_id").orderBy(F.desc("value"), "emp_id").limit(n), f"SELECT emp_id, emp, {_VALUE} AS value FROM emp JOIN ord ON rep_id = emp_id GROUP BY 1, 2 ORDER BY value DESC, emp_id LIMIT {{n}}", {"n": 5}),
@@ -49,7 +49,7 @@ TEMPLATES = [
     T("h29_goods_by_named_category", lambda m: m.goods.groupBy("cat_id").agg(F.count("*").alias("n")).join(m.cat.select("cat_id", "cat"), "cat_id"), "SELECT cat_id, cat, count(*) AS n FROM cat JOIN goods USING (cat_id) GROUP BY 1, 2"),
     T("h30_goods_from_rated_countries", lambda m, rating: m.goods.join(F.broadcast(m.vend.where(C("rating") > rating).select("vend_id", "country")), "vend_id").select("good_id", "good", "country"), "SELECT good_id, good, country FROM goods JOIN vend USING (vend_id) WHERE rating > {rating}", {"rating": 4.5}),
     T("h31_orders_of_status_by_country", lambda m, status: m.ord.where(C("status") == status).join(m.cust.select("cust_id", "country"), "cust_id").groupBy("country").agg(F.count("*").alias("n")), "SELECT country, count(*) AS n FROM ord JOIN cust USING (cust_id) WHERE status = {status} GROUP BY country", {"status": "P"}),
-    T("h32_most_valuable_warehouses", lambda m, n: m.inv.join(m.prod, "part_id").groupBy("wh_id").agg(total(C("on_hand") * C("list_price")).alias("value")).orderBy(F.desc("value"), "wh_id").limit(n).join(m.wh.select("wh_id", "wh"), "wh_id"), f"SELECT wh_id, wh, {exact_sum('on_hand * list_price')} AS value FROM inv JOIN wh USING (wh_id) JOIN prod USING (part_id) GROUP BY 1, 2 ORDER BY value DESC, wh_id LIMIT {{n}}", {"n": 5}),
+    T("h32_most_valuable_warehouses", lambda m, n: m.inv_part.groupBy("wh_id").agg(total(C("on_hand") * C("list_price")).alias("value")).orderBy(F.desc("value"), "wh_id").limit(n).join(m.wh.select("wh_id", "wh"), "wh_id"), f"SELECT wh_id, wh, {exact_sum('on_hand * list_price')} AS value FROM inv JOIN wh USING (wh_id) JOIN prod USING (part_id) GROUP BY 1, 2 ORDER BY value DESC, wh_id LIMIT {{n}}", {"n": 5}),
     T("h33_categories_above_mean_price", lambda m, least: m.goods.groupBy("cat_id").agg(mean(C("price")).alias("mean_price")).where(C("mean_price") > least).join(m.cat.select("cat_id", "cat"), "cat_id"), f"SELECT cat_id, cat, {exact_mean('price')} AS mean_price FROM cat JOIN goods USING (cat_id) GROUP BY 1, 2 HAVING {exact_mean('price')} > {{least}}", {"least": 150}),
     T("h34_customers_with_unpaid_order", lambda m: m.ord.join(m.pay, "ord_id", "left_anti").select("cust_id").distinct().join(m.cust.select("cust_id", "cust"), "cust_id"), "SELECT DISTINCT cust_id, cust FROM cust JOIN ord USING (cust_id) WHERE NOT EXISTS (FROM pay WHERE pay.ord_id = ord.ord_id)"),
     T("h35_vendors_without_light_goods", lambda m, weight: m.vend.join(m.goods.where(C("weight") < weight), "vend_id", "left_anti").select("vend_id", "vend"), "SELECT v.vend_id, v.vend FROM vend v LEFT JOIN (SELECT vend_id FROM goods WHERE weight < {weight}) g ON g.vend_id = v.vend_id WHERE g.vend_id IS NULL", {"weight": 1.0}),

@@ -157,12 +157,12 @@ def t03_retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w01_events_by_hour(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.run_available(streams.windowed_totals(streams.event_stream(spark, f"{d}/[e]vents.parquet")))
+    out = streams.run_available(streams.windowed_totals(streams.with_end(spark, f"{d}/[e]vents.parquet")), "append")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "value")
 
 
 def w02_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = streams.run_available(streams.sessions(streams.with_end(spark, f"{d}/[e]vents.parquet")), "append")
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("began"), "n")
 
 

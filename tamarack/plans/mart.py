@@ -87,8 +87,13 @@ class Mart:
 
     @cached_property
     def inv(self) -> DataFrame:
-        held = self.stored("lineitem").groupBy(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("wh_id")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("on_hand"))
-        return held.join(self.stored("part").selectExpr("p_partkey AS part_id", "CAST(p_size * 2 AS BIGINT) AS reorder"), "part_id").select("part_id", "wh_id", "on_hand", "reorder")
+        """Units of each part in each warehouse; every line names a part that there is, so that parts are joined only where asked for."""
+        return self.stored("lineitem").groupBy(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("wh_id")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("on_hand"))
+
+    @cached_property
+    def inv_part(self) -> DataFrame:
+        """Stock with its part and the level at which that is ordered again: one join for all that a part tells."""
+        return self.inv.join(self.prod.withColumn("reorder", (F.col("size") * 2).cast("bigint")), "part_id")
 
     @cached_property
     def goods(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.semantics import in_year, mean, mean_days, month_of, percent, total, total_where, year_of
-from tamarack.operators.hierarchy import closure, resolve_hierarchy
+from tamarack.operators.hierarchy import resolve_hierarchy
 from tamarack.operators.ranking import exact_quantiles, place_rows
 from tamarack.plans.mart import Template, days_mean, exact_mean, exact_sum
 
@@ -26,14 +26,15 @@ def _top_of_each(frame, by: str, value: str, key: str, n: int):
 
 
 def _depths(m):
-    found = resolve_hierarchy(m.emp, "emp_id", "boss_id", "emp")
+    found = resolve_hierarchy(m.emp, "emp_id", "boss_id", paths=False)
     return found.select(C("id").alias("emp_id"), C("depth"))
 
 
 def _below(m, name: str):
-    found = resolve_hierarchy(m.cat, "cat_id", "up_id", "cat")
-    roots = m.cat.where(C("cat").contains(name)).select(C("cat_id").alias("ancestor"))
-    return closure(found).join(roots, "ancestor").groupBy(C("descendant").alias("cat_id")).agg(F.min("distance").cast("bigint").alias("distance"))
+    """Categories below one whose name contains ``name``, with the way to the nearest: read off each path, which tells the names above."""
+    found = resolve_hierarchy(m.cat, "cat_id", "up_id", "cat").where("place = 'in_tree'")
+    above = F.filter(F.transform("path", lambda step, i: F.when((i > 0) & step["name"].contains(name), i)), lambda i: i.isNotNull())
+    return found.select(C("id").alias("cat_id"), F.array_min(above).cast("bigint").alias("distance")).where("distance is not null")
 
 
 TEMPLATES = [

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.storage import shared_dir
+from tamarack.storage import tables_dir
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -40,9 +40,10 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     Complete output is kept in each batch's own folder and the last one counts; appended
     output is one table. Both are exactly-once: a batch that is run again replaces its folder.
+    Appended windows and sessions are those that the watermark has closed, see ``with_end``.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/tamarack/stream-{uuid.uuid4().hex}"
+    base = f"{tables_dir(spark)}/stream-{uuid.uuid4().hex}"
     last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -55,3 +56,16 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     paths = [f"{base}/out/{n:09d}" for n in ([max(last)] if mode == "complete" else sorted(set(last)))]
     return spark.read.schema(stream.schema).parquet(*paths)
+
+
+def with_end(spark: SparkSession, path: str, after: str = "30 days") -> DataFrame:
+    """The stream of ``path`` and one event far later, without a user or type, that moves the watermark past all windows.
+
+    A watermark closes a window only when a later event comes: for a finite stream that is
+    read in one batch this one stands for it. Its own window stays open, so it is never put out.
+    """
+    base = f"{tables_dir(spark)}/end-{uuid.uuid4().hex}"
+    events = spark.read.schema(EVENTS).parquet(path)
+    end = events.agg(F.max("ts").alias("ts")).where("ts is not null").select(F.lit(None).cast("bigint").alias("event_id"), (F.col("ts") + F.expr(f"interval {after}")).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"))
+    end.write.parquet(base)
+    return event_stream(spark, path).unionByName(event_stream(spark, base))
