@@ -8,6 +8,7 @@ again for the members of groups alone, each compared with the group's first reco
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -61,17 +62,19 @@ def _fields(n: int, normalize: Normalize):
             items, rest = [], []
             for row in zip(*(batch.column(3 + k).to_pylist() for k in range(n)), strict=True):
                 parts = [normalize(v) for v in row]
-                items.append([f"{k}|{c}" for k, p in enumerate(parts) if p for c in p[0]])
+                seen: Counter[tuple[int, str]] = Counter()
+                mine = []
+                for k, p in enumerate(parts):
+                    for c in p[0] if p else ():
+                        seen[k, c] += 1
+                        mine.append(f"{k}|{seen[k, c]}|{c}")  # numbered, so that equal multisets are equal sets
+                items.append(mine)
                 rest.append([None if p is None else p[1] for p in parts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string()))], ["id", "version", "first_id", "items", "rest"])
 
     return run
 
 
-def _same_multiset(a: str, b: str) -> str:
-    return f"size({a}) = size({b}) AND forall({a}, x -> size(filter({a}, y -> y = x)) = size(filter({b}, y -> y = x)))"
-
-
 def formatting_classes(records: DataFrame, record_id: str, fields: list[str], version: str | None = None, normalize: Normalize = statement_parts, bits: Callable[[F.Column], F.Column] = lambda c: c) -> DataFrame:
     """(id, first_id): for every distinct record id the smallest id that says the same.
 
@@ -97,10 +100,10 @@ def formatting_classes(records: DataFrame, record_id: str, fields: list[str], ve
     latest = materialize(said.groupBy("id").agg(F.max(F.struct("version", "first_id", "items", "rest")).alias("m")).select("id", "m.first_id", "m.items", "m.rest"))
     heads = materialize(latest.where("id = first_id").select("first_id", F.col("items").alias("items0"), F.col("rest").alias("rest0")).join(side(groups.select("first_id", "n")), "first_id"))
     checked = hot_aware_join(latest, heads, ["first_id"], "n", total)
-    agree = F.expr(f"rest = rest0 AND {_same_multiset('items', 'items0')}")
+    agree = (F.col("rest") == F.col("rest0")) & (F.size("items") == F.size("items0")) & (F.size(F.array_except("items", "items0")) == 0)  # by hashing, nothing is sorted
     canonical = F.to_json(F.struct("rest", F.array_sort("items").alias("items")))
     verified = materialize(checked.select("id", "first_id", agree.alias("same"), F.when(~agree, F.md5(canonical)).alias("other"), F.when(~agree, canonical).alias("text")))
-    # members whose fingerprint only collides with the first record's are grouped by what they say in full
+    # members whose fingerprint only collides with the first record's, which is all but never, are grouped by what they say in full
     apart = verified.where("not same")
     regrouped = apart.join(apart.groupBy("other", "text").agg(F.min("id").alias("own_first")), ["other", "text"]).select("id", F.col("own_first").alias("first_id"))
     alone = one.join(members, "id", "left_anti").select("id", F.col("id").alias("first_id"))

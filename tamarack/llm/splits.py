@@ -136,7 +136,7 @@ def assign_groups(members: DataFrame, splits: list[tuple[str, float]] = SPLITS,
     totals = {r["stratum"]: r["n"] for r in members.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # few strata
     totals["*"] = total
     kinds = groups.groupBy("vector").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    given = materialize(_deal_all(kinds, list(splits), totals, task_vectors))
+    given = _deal_all(kinds, list(splits), totals, task_vectors)
     n_groups = groups.count()
     ranked = materialize(bucket_rank(groups, ["vector"], ["grp"], total_rows=n_groups))
     dealt = hot_aware_join(ranked, given, ["vector"], "n", n_groups)
@@ -174,10 +174,10 @@ def grouped_splits(records: DataFrame, record_id: str, keys: dict[str, Column],
     once = materialize(raw.groupBy("id").agg(F.max(payload).alias("r")).select("id", F.array_compact(F.array(*(f"r.k{i}" for i in range(len(names))))).alias("ks"), "r.stratum"))
     own = F.concat(F.lit("record:"), F.col("id"))
     pairs = once.where("size(ks) > 0").select(F.explode(F.transform("ks", lambda k: F.struct(F.get("ks", F.lit(0)).alias("a"), k.alias("b")))).alias("e")).select("e.a", "e.b")
-    roots = materialize(components(pairs, task_links))
+    roots = components(pairs, task_links)
     first = once.withColumn("key", F.get("ks", F.lit(0)))
     sizes = first.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    sized = roots.select(F.col("node").alias("key"), "root").join(sizes, "key")
+    sized = materialize(roots.select(F.col("node").alias("key"), "root").join(sizes, "key"))
     linked = hot_aware_join(first.where("key is not null"), sized, ["key"], "n", once.count()).select("id", F.col("root").alias("grp"), "stratum")
     return assign_groups(linked.unionByName(first.where("key is null").select("id", own.alias("grp"), "stratum")), splits, task_vectors)
 
