@@ -82,10 +82,10 @@ def result_collisions(pairs: DataFrame, sql: str = "sql", result: str = "fingerp
     return pairs.where(F.col(result).isNotNull()).groupBy(F.col(result).alias("result")).agg(F.countDistinct(normal_text(F.col(sql))).alias("statements")).where("statements > 1")
 
 
-def equivalence_groups(pairs: DataFrame, key: str = "template_id", sql: str = "sql") -> DataFrame:
+def equivalence_groups(pairs: DataFrame, key: str = "template_id", sql: str = "sql", **bounds: int) -> DataFrame:
     """(value, grp): values of ``key`` that share a statement, directly or through others, are one group."""
     links = pairs.where(F.col(key).isNotNull() & F.col(sql).isNotNull()).select(F.concat(F.lit("k:"), F.col(key)).alias("a"), F.concat(F.lit("s:"), F.md5(normal_text(F.col(sql)))).alias("b"))
-    return components(links).where("node like 'k:%'").select(F.substring("node", 3, 1 << 30).alias("value"), F.substring("root", 3, 1 << 30).alias("grp"))
+    return components(links, **bounds).where("node like 'k:%'").select(F.substring("node", 3, 1 << 30).alias("value"), F.substring("root", 3, 1 << 30).alias("grp"))
 
 
 def deal(lack: list[float], n: int, groups: int) -> list[int]:

@@ -220,6 +220,7 @@ QUERIES = {
     "d02_question_conflicts": lambda s, d: pipeline.question_conflicts(_pairs(s, d)),
     "d03_result_collisions": lambda s, d: pipeline.result_collisions(_pairs(s, d)),
     "d04_equivalence_groups": lambda s, d: pipeline.equivalence_groups(_pairs(s, d)),
+    "k02_components_in_small_tasks": lambda s, d: pipeline.equivalence_groups(_pairs(s, d), task_links=40, hot_rows=10),
     "d05_stratified_split": lambda s, d: _tagged(_grouped(s, d)),
     "d06_pinned_split": _pinned,
     "d07_leakage": lambda s, d: pipeline.leakage(_pairs(s, d).select("template_id", F.when(F.substring("id", -1, 1).cast("int") < 3, "test").otherwise("train").alias("split")), "template_id").withColumn("splits", F.concat_ws("+", "splits")),
@@ -437,3 +438,4 @@ UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 'orders.o_orderpriority'
     "w02_sessions": "SELECT user_id, min(ts) AS began, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
     "w03_events_once": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
 }
+ORACLE["k02_components_in_small_tasks"] = ORACLE["d04_equivalence_groups"]

@@ -9,24 +9,29 @@ from tamarack.operators.hierarchy import closure, resolve_hierarchy
 from tamarack.sources.tables import table
 
 
-def _categories(spark: SparkSession, sf_dir: str, paths: bool) -> DataFrame:
-    return resolve_hierarchy(table(spark, sf_dir, "categories"), "category_id", "parent_category_id", "category_name", "created_at", paths=paths)
+def _categories(spark: SparkSession, sf_dir: str, paths: bool, **bounds: int) -> DataFrame:
+    return resolve_hierarchy(table(spark, sf_dir, "categories"), "category_id", "parent_category_id", "category_name", "created_at", paths=paths, **bounds)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _categories(spark, sf_dir, False).where("place <> 'in_tree'").select(F.col("id").alias("category_id"), "place")
 
 
-def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_paths(spark: SparkSession, sf_dir: str, **bounds: int) -> DataFrame:
     names = F.concat_ws(" > ", F.reverse(F.transform("path", lambda s: s["name"])))
-    return _categories(spark, sf_dir, True).select(F.col("id").alias("category_id"), F.col("root").alias("root_id"), "depth", "place", F.when(F.col("place") == "in_tree", names).alias("path"))
+    return _categories(spark, sf_dir, True, **bounds).select(F.col("id").alias("category_id"), F.col("root").alias("root_id"), "depth", "place", F.when(F.col("place") == "in_tree", names).alias("path"))
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure(_categories(spark, sf_dir, True)).select(F.col("ancestor").alias("category_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("long").alias("distance"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants}
+def k01_hierarchy_in_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p1_paths`` over fragments so small that even small tables are contracted over several levels, with hot exits sent in copies."""
+    return p1_paths(spark, sf_dir, fragment_rows=60, hot_rows=3)
+
+
+QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "k01_hierarchy_in_fragments": k01_hierarchy_in_fragments}
 
 _VALID = """valid AS (
   SELECT category_id AS id, arg_max(parent_category_id, created_at) AS parent_any, max(created_at) AS at FROM categories GROUP BY 1),
@@ -58,3 +63,4 @@ down AS (
 SELECT path[i] AS category_id, id AS descendant_id, CAST(len(path) - i AS BIGINT) AS distance
 FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM down)""",
 }
+ORACLE["k01_hierarchy_in_fragments"] = ORACLE["p1_paths"]
