@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.functions.text import name_key
 from tamarack.llm.formatting import collapsed, copies, formatting_classes
 from tamarack.llm.replies import defective_replies
 from tamarack.llm.sampling import sample_report, target_sampler
 from tamarack.llm.splits import same_names, split_report, template_splits
 from tamarack.sources.tables import table
+from tamarack.storage import materialize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,29 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_report(template_splits(table(spark, sf_dir, "results_smoke")))
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(check, failed): what must hold of the splits. Records are counted; templates in several splits, records split twice, and cells further from their target than their largest group, there must be none."""
+    results = table(spark, sf_dir, "results_smoke")
+    placed = materialize(template_splits(results))
+    named = results.select(F.col("example_id").alias("id"), name_key(F.col("template_id")).alias("name")).distinct()
+    torn = placed.join(named, "id").where("name is not null").groupBy("name").agg(F.countDistinct("split").alias("k")).where("k > 1")
+    far = split_report(placed).where("abs(deviation) > largest + 1e-9")
+    count = lambda df, name: df.agg(F.lit(name).alias("check"), F.count("*").alias("failed"))
+    parts = [count(placed, "records"), count(torn, "template in several splits"), count(placed.groupBy("id").count().where("count > 1"), "record split twice"), count(far, "further from target than the largest group")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(plan_id, drawn, records, misplaced, below_floor): the size of each plan's sample, its different records, those outside their cell, and cells below what their floor and records allow."""
+    sampler = _sampler(spark, sf_dir)
+    drawn = materialize(sampler.draw())
+    whole = drawn.groupBy("plan_id").agg(F.count("*").alias("drawn"), F.countDistinct("id").alias("records"))
+    wrong = drawn.join(sampler.population.select("id", F.col("cell").alias("own")), "id").groupBy("plan_id").agg(F.count_if(F.col("cell") != F.col("own")).alias("misplaced"))
+    floors = spark.createDataFrame([(c.plan, c.key, min(c.least, c.available)) for c in sampler.cells], "plan_id int, cell string, floor int")
+    low = floors.join(drawn.groupBy("plan_id", "cell").agg(F.count("*").alias("n")), ["plan_id", "cell"], "left").groupBy("plan_id").agg(F.count_if(F.coalesce("n", F.lit(0)) < F.col("floor")).alias("below_floor"))
+    return whole.join(wrong, "plan_id").join(low, "plan_id")
+
+
 def _sampler(spark: SparkSession, sf_dir: str):
     return target_sampler(table(spark, sf_dir, "results_smoke"), table(spark, sf_dir, "sample_targets"))
 
@@ -63,9 +88,11 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_report": p2_report,
+    "p2_checks": p2_checks,
     "p3_found": p3_found,
     "p3_sample": p3_sample,
     "p3_report": p3_report,
+    "p3_checks": p3_checks,
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
     "p5_found": p5_found,
@@ -95,4 +122,11 @@ want AS (
   SELECT DISTINCT plan_id, difficulty, domain, {_letters_sql("difficulty")} AS d, {_letters_sql("domain")} AS m,
          greatest(min_rows, ceil(target_share * sample_rows)) AS needed FROM sample_targets)
 SELECT plan_id, difficulty, domain FROM want LEFT JOIN have USING (d, m) WHERE coalesce(n, 0) < needed""",
+    "p2_checks": """SELECT 'records' AS "check", count(DISTINCT example_id) AS failed FROM results_smoke
+UNION ALL SELECT * FROM (VALUES ('template in several splits', 0), ('record split twice', 0), ('further from target than the largest group', 0))""",
+    "p3_checks": f"""WITH r AS (SELECT DISTINCT example_id, {_letters_sql("difficulty")} AS d, {_letters_sql("domain")} AS m FROM results_smoke),
+have AS (SELECT d, m, count(DISTINCT example_id) AS n FROM r GROUP BY 1, 2),
+want AS (SELECT DISTINCT plan_id, {_letters_sql("difficulty")} AS d, {_letters_sql("domain")} AS m, target_share, min_rows, sample_rows FROM sample_targets),
+plans AS (SELECT plan_id, any_value(sample_rows) AS whole, sum(least(min_rows, coalesce(n, 0))) AS floors, sum(CASE WHEN target_share > 0 THEN coalesce(n, 0) ELSE least(min_rows, coalesce(n, 0)) END) AS room FROM want LEFT JOIN have USING (d, m) GROUP BY 1)
+SELECT plan_id, CAST(least(greatest(whole, floors), greatest(room, floors)) AS BIGINT) AS drawn, CAST(least(greatest(whole, floors), greatest(room, floors)) AS BIGINT) AS records, 0 AS misplaced, 0 AS below_floor FROM plans""",
 }
