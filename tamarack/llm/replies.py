@@ -122,9 +122,9 @@ def copies_question(question: str, body: str) -> bool:
     contained = sum(s in known for s in shingles) / len(shingles)
     if contained >= 0.8:
         return True
-    if len(said) > 1.3 * len(asked) + 2 or contained < 0.3:
-        return False
-    return common_subsequence(asked, said) >= 0.85 * max(len(asked), len(said))
+    needed = 0.85 * max(len(asked), len(said))
+    # a common subsequence is no longer than the shorter side: where that falls short nothing needs aligning
+    return min(len(asked), len(said)) >= needed and common_subsequence(asked, said) >= needed
 
 
 def refuses(text: str) -> bool:
