@@ -14,6 +14,7 @@ from tamarack.retrieval import schema as retrieval
 from tamarack.retrieval import shop
 from tamarack.sources import records
 from tamarack.sources.catalog import quality, quality_sql, register
+from tamarack.sources.synthetic import synthetic_schema
 from tamarack.sources.tables import table
 from tamarack.storage import materialize
 from tamarack.streaming import events as streams
@@ -122,6 +123,24 @@ _POOL_TEMPLATES = [
 ]
 
 
+#: Rows of invented tables in ``l06``, in the order of the shop's tables.
+_INVENTED = dict(zip((t.name for t in shop.TABLES), (200, 40, 12, 10, 400, 3000, 1500, 20_000, 60_000, 20_000, 20_000, 6000), strict=True))
+
+
+def _invented(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, keys and foreign keys without a match of invented tables."""
+    tables, out = synthetic_schema(spark, shop.TABLES, _INVENTED, seed=7), None
+    for info in shop.TABLES:
+        frame = tables[info.name]
+        lost = [frame.where(F.col(c).isNotNull()).join(tables[to].select(F.col(_SHOP_KEY[to]).alias(c)), c, "left_anti").count() for c, to in info.foreign.items()]
+        one = frame.agg(F.lit(info.name).alias("table_name"), F.count("*").alias("rows"), F.countDistinct(info.key).alias("keys"), F.lit(sum(lost)).alias("orphans"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SHOP_KEY = {t.name: t.key for t in shop.TABLES}
+
+
 def _shop(spark: SparkSession, d: str) -> tuple[list[retrieval.TableInfo], dict[str, DataFrame]]:
     frames = {n: table(spark, d, n) for n in ("categories", "products", "suppliers", "customer", "orders", "nation", "region")}
     foreign = {"products": {"category_id": "categories", "supplier_id": "suppliers"}, "categories": {"parent_category_id": "categories"}, "customer": {"c_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "nation": {"n_regionkey": "region"}}
@@ -245,6 +264,7 @@ QUERIES = {
     "l03_statements_side_by_side": lambda s, d: records.showcase({"gold": _pairs(s, d).select(F.col("id").alias("example_id"), "sql"), "reply": table(s, d, "generations_smoke").select("example_id", "sql").distinct()}),
     "l04_table_fingerprint": lambda s, d: table_fingerprint(table(s, d, "orders").select("o_orderkey", "o_orderstatus")),
     "l05_quality_of_tables": lambda s, d: quality(register(s, d)),
+    "l06_invented_tables": _invented,
     "t01_table_scores": t01_table_scores,
     "t02_value_index": _names_index,
     "t03_retrieval_quality": t03_retrieval_quality,
@@ -422,6 +442,7 @@ SELECT 2 * a + b AS examples, 2 * a + b AS questions, a + b AS statements, 2::BI
     "l03_statements_side_by_side": f"{_P} SELECT id AS example_id, pairs.sql AS gold_sql, g.sql AS reply_sql FROM pairs LEFT JOIN (SELECT DISTINCT example_id, sql FROM generations_smoke) g ON g.example_id = id",
     "l04_table_fingerprint": "SELECT count(*) AS rows, CAST(sum(('0x' || substr(h, 1, 12))::BIGINT) AS VARCHAR) || ':' || CAST(sum(('0x' || substr(h, 13, 12))::BIGINT) AS VARCHAR) AS checksum FROM (SELECT md5(coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || chr(31) || coalesce(o_orderstatus, 'NULL')) AS h FROM orders)",
     "l05_quality_of_tables": quality_sql(),
+    "l06_invented_tables": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, {k}, 0)" for n, k in _INVENTED.items()) + ") AS t(table_name, rows, keys, orphans)",
     "t01_table_scores": f"WITH {_SHOP_SQL} SELECT example_id, tbl AS table_name, score FROM scored",
     "t02_value_index": """WITH v AS (SELECT DISTINCT lower(trim(n_name)) AS v, 'nation.n_name' AS place FROM nation UNION ALL SELECT DISTINCT lower(trim(r_name)), 'region.r_name' FROM region UNION ALL SELECT DISTINCT lower(trim(o_orderstatus)), 'orders.o_orderstatus' FROM orders
 UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 'orders.o_orderpriority' FROM orders) SELECT DISTINCT term, place FROM (SELECT v AS term, place FROM v UNION ALL SELECT term, place FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place FROM v) WHERE length(term) > 2)""",
