@@ -268,6 +268,7 @@ QUERIES = {
     "t01_table_scores": t01_table_scores,
     "t02_value_index": _names_index,
     "t03_retrieval_quality": t03_retrieval_quality,
+    "t04_value_index_of_all_tables": lambda s, d: retrieval.value_index(_shop(s, d)[1]),
     "u01_union": lambda s, d: Mart(s, d).vend.select("country").union(Mart(s, d).area.select("country")).distinct(),
     "u02_intersect": lambda s, d: Mart(s, d).ord.select("cust_id").where("cust_id % 3 = 0").intersect(Mart(s, d).cust.where("not active").select("cust_id")),
     "u03_except": lambda s, d: Mart(s, d).cust.select("cust_id").subtract(Mart(s, d).ord.where("status = 'P'").select("cust_id")),
@@ -447,6 +448,8 @@ SELECT 2 * a + b AS examples, 2 * a + b AS questions, a + b AS statements, 2::BI
     "t02_value_index": """WITH v AS (SELECT DISTINCT lower(trim(n_name)) AS v, 'nation.n_name' AS place FROM nation UNION ALL SELECT DISTINCT lower(trim(r_name)), 'region.r_name' FROM region UNION ALL SELECT DISTINCT lower(trim(o_orderstatus)), 'orders.o_orderstatus' FROM orders
 UNION ALL SELECT DISTINCT lower(trim(o_orderpriority)), 'orders.o_orderpriority' FROM orders) SELECT DISTINCT term, place FROM (SELECT v AS term, place FROM v UNION ALL SELECT term, place FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place FROM v) WHERE length(term) > 2)""",
     "t03_retrieval_quality": _quality_sql(),
+    "t04_value_index_of_all_tables": f"""WITH v AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT lower(trim({c})) AS v, '{t}.{c}' AS place FROM {t} WHERE {c} IS NOT NULL AND (SELECT count(DISTINCT {c}) FROM {t}) <= {retrieval.MOST_VALUES}" for t, columns in _TEXTS.items() for c in columns)}))
+SELECT DISTINCT term, place FROM (SELECT v AS term, place FROM v UNION ALL SELECT term, place FROM (SELECT unnest(regexp_extract_all(v, '[a-z0-9]+')) AS term, place FROM v) WHERE length(term) > 2)""",
     "u01_union": f"{_M} SELECT country FROM vend UNION SELECT country FROM area",
     "u02_intersect": f"{_M} SELECT cust_id FROM ord WHERE cust_id % 3 = 0 INTERSECT SELECT cust_id FROM cust WHERE NOT active",
     "u03_except": f"{_M} SELECT cust_id FROM cust EXCEPT SELECT cust_id FROM ord WHERE status = 'P'",
