@@ -296,13 +296,13 @@ def spam_scores(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", t
     share = F.col("features")[0]
     label = F.when(share >= clear, 1.0).when(share <= sound, 0.0)
     seen = array_to_vector(F.slice("features", len(LABELLING) + 1, len(VOTING)))
-    known = pages.select("copy_key", "features", label.alias("label")).where("label is not null")
+    known = pages.select("doc_id", "copy_key", "features", label.alias("label")).where("label is not null")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) == 2:
-        # a fixed hash of the text keeps about sample_rows of each label, in a fixed order
+        # a fixed hash of the page keeps about sample_rows of each label, however many copies a text has, in a fixed order
         keep = F.when(F.col("label") == 1.0, min(1.0, sample_rows / counts[1.0])).otherwise(min(1.0, sample_rows / counts[0.0]))
-        dice = F.pmod(F.xxhash64("copy_key", F.lit(8)), F.lit(1_000_000)) / 1_000_000.0
-        train = known.where(dice < keep).select("label", seen.alias("x"), "copy_key").repartition(4, "copy_key").sortWithinPartitions("copy_key").select("label", "x")
+        dice = F.pmod(F.xxhash64("doc_id", "copy_key", F.lit(8)), F.lit(1_000_000)) / 1_000_000.0
+        train = known.where(dice < keep).select("label", seen.alias("x"), "doc_id", "copy_key").repartition(4, "doc_id").sortWithinPartitions("doc_id", "copy_key").select("label", "x")
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=128, seed=8, subsamplingRate=0.7, featureSubsetStrategy="onethird").fit(materialize(train))
         voted = forest.transform(pages.withColumn("x", seen)).withColumn("page", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
     else:
