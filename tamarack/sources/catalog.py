@@ -6,6 +6,7 @@ over a table for all its columns' rules, one aggregation a key, one anti join a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,33 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
 
 
 def save(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Replace a table as a whole; sorted within files where an order is given, so that scans can skip row groups."""
-    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+    """Replace a table as a whole; sorted within files where an order is given, so that scans can skip row groups.
+
+    The new table is written beside the old one and takes its place when it is complete:
+    a load that fails leaves what was there, and the table may be made from itself.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    (df.sortWithinPartitions(*order) if order else df).write.parquet(fresh)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = system.exists(to_path(path))
+    if there and not system.rename(to_path(path), to_path(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not system.rename(to_path(fresh), to_path(path)):
+        if there:
+            system.rename(to_path(old), to_path(path))
+        raise OSError(f"cannot put the new table at {path}")
+    if there:
+        system.delete(to_path(old), True)
+
+
+def analyze(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A catalogued table over the files at ``path`` with statistics of all its columns, for the cost-based optimizer; its rows are not copied."""
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    spark.catalog.createTable(name, path, "parquet")
+    spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS FOR ALL COLUMNS")
+    return spark.table(name)
 
 
 def quality(tables: dict[str, DataFrame], catalog: dict[str, Rules] | None = None) -> DataFrame:
