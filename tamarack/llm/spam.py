@@ -11,8 +11,10 @@ the spam rate of its host. Copies of one text share the highest of their scores.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ FEATURES = LABELLING + VOTING
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­]+")
 _SPELLED = re.compile(r"(?<!\w)(?:[^\W\d_][-._*]){2,}[^\W\d_](?!\w)")
+#: Three letters set apart have one between two marks; looked for first, as it is found fast.
+_MAY_SPELL = re.compile(r"[-._*][^\W\d_][-._*]")
 _LEET = str.maketrans("013457", "oieast")
 _LOOKALIKE = str.maketrans("асеорхуіјѕԁɡ", "aceopxyijsdg")
 _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|info|biz|shop|io|ru|de|fr|es|co)\b[^\s\"'<>)\]]*", re.I)
@@ -75,7 +79,7 @@ def _functional(words: list[str]) -> int:
 def _plain(text: str) -> str:
     if not text.isascii():
         text = _INVISIBLE.sub(lambda m: "" if len(m.group()) == 1 else " ", unicodedata.normalize("NFKC", text))
-    return _SPELLED.sub(lambda m: re.sub(r"[-._*]", "", m.group()), text)
+    return _SPELLED.sub(lambda m: re.sub(r"[-._*]", "", m.group()), text) if _MAY_SPELL.search(text) else text
 
 
 def _sorted_lines(text: str) -> tuple[list[str], dict[str, float], int, tuple[int, float, int, int]]:
@@ -145,14 +149,14 @@ def _times(order: np.ndarray, again: np.ndarray, place: np.ndarray) -> np.ndarra
 def features(texts: list[str | None]) -> np.ndarray:
     """The features of each text, rows in the order of ``texts``; zeros for null and blank ones."""
     out = np.zeros((len(texts), len(FEATURES)))
-    index: dict[str, int] = {}
+    index: dict[str, int] = defaultdict(itertools.count().__next__)  # the next number for a new word
     codes: list[int] = []
     ends, kinds_of, lines_of, links_of, marks_of = [], [], [], [], []
     for text in texts:
         rest, kinds, n, links = _sorted_lines(_plain(text)) if text else ([], {}, 0, (0, 0.0, 0, 0))
         links_of.append(links)
         marks_of.append((sum(map(text.count, "#=:")), sum(map(text.count, ",|/;\t"))) if text else (0, 0))
-        codes.extend([index.setdefault(t, len(index)) for t in _TOKEN.findall("\n".join(rest).lower())])
+        codes.extend(map(index.__getitem__, _TOKEN.findall("\n".join(rest).lower())))
         ends.append(len(codes))
         kinds_of.append(kinds)
         lines_of.append(n)
@@ -166,7 +170,7 @@ def features(texts: list[str | None]) -> np.ndarray:
                 plain = plain.translate(_LOOKALIKE)
             if plain != t:
                 plain_of[i] = plain
-                index.setdefault(plain, len(index))
+                index[plain]  # its own number, if it has none yet
     vocabulary = list(index)
     same_as = np.arange(len(vocabulary))
     disguised = np.zeros(len(vocabulary), bool)
