@@ -58,9 +58,9 @@ def micros_between(start: str, end: str) -> Column:
 
 
 def mean_days(start: str, end: str) -> Column:
-    """Mean days between two instants from an integer sum; rows with a null end do not count."""
+    """Mean days between two instants from an integer sum, which a bigint does not hold beyond some millions of rows; rows with a null end do not count."""
     us = micros_between(start, end)
-    return F.sum(us).cast("double") / F.lit(86_400_000_000.0) / F.count(us)
+    return F.sum(us.cast("decimal(19,0)")).cast("double") / F.lit(86_400_000_000.0) / F.count(us)
 
 
 def ascending(column: str) -> Column:

@@ -7,6 +7,8 @@ from tamarack.plans.registry import templates
 from tamarack.plans.mart import Mart
 from tamarack.streaming import events
 
+from .compare import spark_rows, sql_rows, tables
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -35,3 +37,14 @@ def test_appended_windows_are_closed_by_the_watermark(spark, tmp_path):
     open_ = events.run_available(events.windowed_totals(events.event_stream(spark, str(tmp_path / "e"))), "append").count()
     closed = events.run_available(events.windowed_totals(events.with_end(spark, str(tmp_path / "e"))), "append")
     assert open_ < 5 and closed.count() == 5 and {r.n for r in closed.collect()} == {8}
+
+
+@pytest.mark.parametrize("name", ["v23_mean_days_to_payment"])
+def test_day_counts_beyond_a_long(spark, tmp_path, name):
+    """6,000 lines that each take nearly 10,000 years: their microseconds exceed a bigint, as those of millions of ordinary lines do."""
+    con = tables(SF)
+    con.sql(f"COPY (SELECT * REPLACE (TIMESTAMP '0001-01-01' AS o_orderdate) FROM orders) TO '{tmp_path}/orders.parquet'")
+    con.sql(f"COPY (SELECT * REPLACE (l_shipdate + INTERVAL 7900 YEAR AS l_shipdate) FROM lineitem) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert spark_rows(templates()[name].query(spark, str(tmp_path))) == sql_rows(con, templates()[name].oracle())
