@@ -39,7 +39,7 @@ def test_appended_windows_are_closed_by_the_watermark(spark, tmp_path):
     assert open_ < 5 and closed.count() == 5 and {r.n for r in closed.collect()} == {8}
 
 
-@pytest.mark.parametrize("name", ["v23_mean_days_to_payment"])
+@pytest.mark.parametrize("name", ["v07_mean_days_to_arrival", "v23_mean_days_to_payment"])
 def test_day_counts_beyond_a_long(spark, tmp_path, name):
     """6,000 lines that each take nearly 10,000 years: their microseconds exceed a bigint, as those of millions of ordinary lines do."""
     con = tables(SF)
