@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections.abc import Sequence
 from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.operators.ranking import exact_quantiles
+from tamarack.operators.ranking import exact_quantiles, range_rank
+from tamarack.storage import materialize
 
-#: A pool with more values than this is no pool.
+#: A pool with more values than this is numbered in a table of its own; only its drawn values come to the driver.
 MOST_VALUES = 10_000
 DECILES = tuple(i / 10 for i in range(1, 10))
 
@@ -46,25 +48,48 @@ def discrete_pool(df: DataFrame, value: Column) -> DataFrame:
 def slot_combinations(pools: dict[str, DataFrame], most: int = 120, seed: int = 0) -> DataFrame:
     """(slots map<string,string>): all combinations of the pools' values, or ``most`` of them drawn with a fixed seed.
 
-    Pools are small tables of at most ``MOST_VALUES`` values; an empty pool is an error.
-    Combinations are drawn by their number, so their product is never made.
+    A pool of any size is drawn from; an empty one is an error. Combinations are drawn by
+    their number, so their product is never made.
     """
-    values: list[list[str]] = []
+    held: dict[str, list[str]] = {}
+    numbered: dict[str, DataFrame] = {}
+    sizes: dict[str, int] = {}
     for name, pool in pools.items():
-        found = [r[0] for r in pool.select(F.col("value").cast("string")).limit(MOST_VALUES + 1).collect()]
-        if not 0 < len(found) <= MOST_VALUES:
-            raise ValueError(f"the pool of {name} has {'no' if not found else 'too many'} values")
-        values.append(sorted(found))
-    every = prod(map(len, values))
-    drawn = range(every) if every <= most else sorted(random.Random(seed).sample(range(every), most))
-    rows = []
-    for number in drawn:
-        slots = {}
-        for name, pool in zip(pools, values, strict=True):
-            number, at = divmod(number, len(pool))
-            slots[name] = pool[at]
-        rows.append((slots,))
-    return next(iter(pools.values())).sparkSession.createDataFrame(rows, "slots map<string,string>")
+        values = pool.select(F.col("value").cast("string").alias("value"))
+        found = [r[0] for r in values.limit(MOST_VALUES + 1).collect()]
+        if not found:
+            raise ValueError(f"the pool of {name} has no values")
+        if len(found) <= MOST_VALUES:
+            held[name], sizes[name] = sorted(found), len(found)
+        else:
+            kept = materialize(values)
+            numbered[name], sizes[name] = range_rank(kept, [], ["value"], "place"), kept.count()
+    places = []
+    for number in _drawn(prod(sizes.values()), most, seed):
+        place = {}
+        for name, size in sizes.items():
+            number, place[name] = divmod(number, size)
+        places.append(place)
+    spark = next(iter(pools.values())).sparkSession
+    values_at: dict[str, Sequence[str] | dict[int, str]] = dict(held)
+    for name, table in numbered.items():
+        wanted = spark.createDataFrame([(at,) for at in sorted({p[name] for p in places})], "place bigint")
+        values_at[name] = dict(table.join(F.broadcast(wanted), "place").select("place", "value").collect())  # at most one a combination
+    rows = [({name: values_at[name][at] for name, at in place.items()},) for place in places]
+    return spark.createDataFrame(rows, "slots map<string,string>")
+
+
+def _drawn(every: int, most: int, seed: int) -> Sequence[int]:
+    """The numbers below ``every``, or ``most`` different ones of them in order."""
+    draw = random.Random(seed)
+    if every <= most:
+        return range(every)
+    if every <= sys.maxsize:
+        return sorted(draw.sample(range(every), most))
+    numbers: set[int] = set()  # sample takes no longer range
+    while len(numbers) < most:
+        numbers.add(draw.randrange(every))
+    return sorted(numbers)
 
 
 def escaped(slots: Column) -> Column:

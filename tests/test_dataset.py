@@ -23,6 +23,19 @@ def test_combinations_are_drawn_without_their_product(spark):
     assert len(few) == 12
 
 
+def test_combinations_are_drawn_from_pools_of_any_size(spark, monkeypatch):
+    pool = lambda n: spark.range(n).selectExpr("concat('name ', id) AS value")
+    large = [r.slots for r in expand.slot_combinations({"a": pool(expand.MOST_VALUES + 2000), "b": pool(3)}).collect()]
+    assert len({tuple(s.values()) for s in large}) == 120
+    assert {s["a"] for s in large} <= {f"name {i}" for i in range(12_000)} and {s["b"] for s in large} == {"name 0", "name 1", "name 2"}
+    both = {"a": pool(700), "b": pool(5)}
+    held = sorted(map(str, expand.slot_combinations(both).collect()))
+    vast = {n: pool(5000) for n in "abcdef"}
+    assert len(set(map(str, expand.slot_combinations(vast).collect()))) == 120  # more combinations than a bigint counts
+    monkeypatch.setattr(expand, "MOST_VALUES", 10)
+    assert sorted(map(str, expand.slot_combinations(both).collect())) == held
+
+
 def test_quotes_in_slots_and_missing_slots(spark):
     templates = spark.createDataFrame([("t", ["Who is {name}?", "Who?"], "SELECT 1 FROM x WHERE name = '{name}'")], "template_id string, questions array<string>, sql string")
     slots = spark.createDataFrame([("t", {"name": "O'Neil"})], "template_id string, slots map<string,string>")
