@@ -33,15 +33,15 @@ def calendar_pool(df: DataFrame, column: str, before_last: bool = False) -> Data
 
 def quantile_pool(df: DataFrame, value: Column, digits: int = 2, at: Sequence[float] = DECILES) -> DataFrame:
     """Rounded quantiles of a quantity that lie strictly between its ends, so that a comparison with them splits the rows."""
-    v = value.cast("double")
-    ends = F.broadcast(df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")))
-    one = exact_quantiles(df, value, list(at)).crossJoin(ends)
+    kept = materialize(df.select(value.cast("double").alias("v")))  # quantiles read it several times
+    ends = F.broadcast(kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    one = exact_quantiles(kept, F.col("v"), list(at)).crossJoin(ends)
     return one.select(F.explode("q").alias("x"), "lo", "hi").select(F.round("x", digits).alias("value"), "lo", "hi").where("value > lo and value < hi").select("value").distinct().orderBy("value")
 
 
 def discrete_pool(df: DataFrame, value: Column) -> DataFrame:
     """The distinct values of a small whole quantity from its smallest to below its largest."""
-    values = df.select(value.cast("bigint").alias("value")).where("value is not null").distinct()
+    values = materialize(df.select(value.cast("bigint").alias("value")).where("value is not null").distinct())
     return values.crossJoin(F.broadcast(values.agg(F.max("value").alias("hi")))).where("value < hi").select("value").orderBy("value")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tamarack.dataset.expand import calendar_pool, categorical_pool, discrete_pool, quantile_pool
 from tamarack.functions.semantics import AS_OF, as_of, mean, total
 from tamarack.plans.mart import Mart, exact_mean, exact_sum
+from tamarack.storage import materialize
 
 #: Limits and parts of the year; they cannot make a result empty.
 STRUCTURAL: dict[str, list[int]] = {"limit": [3, 5, 8, 10, 12, 15, 20, 25, 30, 50, 100], "small_limit": [2, 3, 4, 5], "month": list(range(1, 13)), "quarter": [1, 2, 3, 4]}
@@ -65,6 +66,23 @@ def _per(view: str, by: str, what: Callable[[], Column]) -> _Frame:
     return lambda m: getattr(m, view).groupBy(by).agg(what().alias("x"))
 
 
+def _once(name: str, build: _Frame) -> _Frame:
+    """A frame that several quantities read: written once a mart."""
+
+    def kept(m: Mart) -> DataFrame:
+        tables = m.__dict__.setdefault("_pool_tables", {})
+        if name not in tables:
+            tables[name] = materialize(build(m))
+        return tables[name]
+
+    return kept
+
+
+_CUSTOMERS_ORDERS = _once("customers_orders", lambda m: m.ord.groupBy("cust_id").agg(total(F.col("total")).alias("spend"), F.count("*").alias("orders"), F.max("placed").alias("last")))
+_STOCK = _once("stock", lambda m: m.inv.select("part_id", "on_hand"))
+_PARTS_STOCK = _once("parts_stock", lambda m: _STOCK(m).groupBy("part_id").agg(F.sum("on_hand").alias("units"), F.count("*").alias("warehouses")))
+
+
 def _since(view: _Frame, days: float) -> _Frame:
     """Time up to the day the data stand for, the same that the templates count from."""
     return lambda m: view(m).select((F.timestamp_diff("MICROSECOND", F.col("last"), as_of()) / F.lit(86_400_000_000.0 * days)).alias("x"))
@@ -79,8 +97,8 @@ NUMERIC: dict[str, Quantity] = {
     "supplier_rating": Quantity(lambda m: m.vend, "rating", "SELECT rating AS x FROM vend", 1),
     "order_total": Quantity(lambda m: m.ord, "total", "SELECT total AS x FROM ord"),
     "order_freight": Quantity(lambda m: m.ord, "freight", "SELECT freight AS x FROM ord"),
-    "customer_spend": Quantity(_per("ord", "cust_id", lambda: total(F.col("total"))), "x", f"SELECT {exact_sum('total')} AS x FROM ord GROUP BY cust_id"),
-    "customer_orders": Quantity(_per("ord", "cust_id", lambda: F.count("*")), "x", "SELECT count(*) AS x FROM ord GROUP BY cust_id", discrete=True),
+    "customer_spend": Quantity(_CUSTOMERS_ORDERS, "spend", f"SELECT {exact_sum('total')} AS x FROM ord GROUP BY cust_id"),
+    "customer_orders": Quantity(_CUSTOMERS_ORDERS, "orders", "SELECT count(*) AS x FROM ord GROUP BY cust_id", discrete=True),
     "customer_brands": Quantity(
         lambda m: m.item.join(m.prod.select("part_id", "brand"), "part_id").select("ord_id", "brand").distinct().join(m.ord.select("ord_id", "cust_id"), "ord_id").groupBy("cust_id").agg(F.countDistinct("brand").alias("x")),
         "x",
@@ -95,13 +113,13 @@ NUMERIC: dict[str, Quantity] = {
     "department_mean_salary": Quantity(_per("emp", "dept_id", lambda: mean(F.col("salary"))), "x", f"SELECT {exact_mean('salary')} AS x FROM emp GROUP BY dept_id"),
     "payment_amount": Quantity(lambda m: m.pay, "amount", "SELECT amount AS x FROM pay"),
     "payment_uses": Quantity(_per("pay", "method", lambda: F.count("*")), "x", "SELECT count(*) AS x FROM pay GROUP BY method", discrete=True),
-    "stock": Quantity(lambda m: m.inv, "on_hand", "SELECT on_hand AS x FROM inv"),
-    "part_stock": Quantity(_per("inv", "part_id", lambda: F.sum("on_hand")), "x", "SELECT sum(on_hand) AS x FROM inv GROUP BY part_id"),
-    "part_warehouses": Quantity(_per("inv", "part_id", lambda: F.count("*")), "x", "SELECT count(*) AS x FROM inv GROUP BY part_id", discrete=True),
+    "stock": Quantity(_STOCK, "on_hand", "SELECT on_hand AS x FROM inv"),
+    "part_stock": Quantity(_PARTS_STOCK, "units", "SELECT sum(on_hand) AS x FROM inv GROUP BY part_id"),
+    "part_warehouses": Quantity(_PARTS_STOCK, "warehouses", "SELECT count(*) AS x FROM inv GROUP BY part_id", discrete=True),
     "pending_days": Quantity(_since(lambda m: m.ord.where("status = 'P'").select(F.col("placed").alias("last")), 1.0), "x", f"SELECT {_SPAN.format('placed', 86_400_000_000.0)} FROM ord WHERE status = 'P'"),
-    "months_since_order": Quantity(_since(lambda m: m.ord.groupBy("cust_id").agg(F.max("placed").alias("last")), 30.0), "x", f"SELECT {_SPAN.format('max(placed)', 2_592_000_000_000.0)} FROM ord GROUP BY cust_id"),
+    "months_since_order": Quantity(_since(_CUSTOMERS_ORDERS, 30.0), "x", f"SELECT {_SPAN.format('max(placed)', 2_592_000_000_000.0)} FROM ord GROUP BY cust_id"),
     "months_since_order_inactive": Quantity(
-        _since(lambda m: m.ord.join(m.cust.where("not active").select("cust_id"), "cust_id", "left_semi").groupBy("cust_id").agg(F.max("placed").alias("last")), 30.0),
+        _since(lambda m: _CUSTOMERS_ORDERS(m).join(m.cust.where("not active").select("cust_id"), "cust_id", "left_semi"), 30.0),
         "x",
         f"SELECT {_SPAN.format('max(placed)', 2_592_000_000_000.0)} FROM ord WHERE cust_id IN (SELECT cust_id FROM cust WHERE NOT active) GROUP BY cust_id",
     ),
@@ -128,10 +146,12 @@ def pool(mart: Mart, name: str) -> DataFrame:
     return values.select(F.col("value").cast("string").alias("value"))
 
 
-def _all(mart: Mart, names: list[str]) -> DataFrame:
+def _all(mart: Mart, names: list[str], alone: bool = False) -> DataFrame:
+    """The pools in one table; ``alone`` makes each in a query of its own, one after the other, since the driver holds all stages of a query at once."""
     out = None
     for n in names:
         one = pool(mart, n).select(F.lit(n).alias("pool"), "value")
+        one = materialize(one) if alone else one
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -143,7 +163,7 @@ def named_pools(mart: Mart) -> DataFrame:
 
 def numeric_pools(mart: Mart) -> DataFrame:
     """(pool, value) of all thresholds."""
-    return _all(mart, list(NUMERIC))
+    return _all(mart, list(NUMERIC), alone=True)
 
 
 def named_pools_sql() -> str:

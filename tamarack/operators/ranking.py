@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,13 +105,18 @@ def place_rows(rows: DataFrame, kind: str, value: str, ids: list[str], classes:
 def exact_quantiles(rows: DataFrame, value: Column, at: list[float], classes: list[str] | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """(classes, q array<double>): interpolated quantiles of the values that are not null; no row for a class without values, one of null without classes.
 
-    Up to ``one_task_rows`` values are aggregated as they are; beyond, ranks over range
-    partitions give the two neighbours of each quantile, so that no task holds all values.
+    Up to ``one_task_rows`` values are aggregated as they are. Beyond, without classes, a
+    sketch bounds each quantile and the few values between its bounds are counted; with
+    classes, ranks over range partitions give the two neighbours of each quantile. No task
+    holds all values. ``rows`` are read several times.
     """
     by = classes or []
     v = rows.select(*by, value.cast("double").alias("__v")).where("__v is not null")
-    if v.count() <= one_task_rows:
+    total_rows = v.count()
+    if total_rows <= one_task_rows:
         return v.groupBy(*by).agg(F.percentile("__v", F.array(*map(F.lit, at))).alias("q"))
+    if not by and (found := _bounded_quantiles(v, at, total_rows)) is not None:
+        return rows.sparkSession.createDataFrame([(found,)], "q array<double>")
     n = F.col("rank_rows")
     ranked = range_rank(v, by, ["__v"], "__r")
     place = [F.lit(p) * (n - 1) for p in at]
@@ -116,6 +125,31 @@ def exact_quantiles(rows: DataFrame, value: Column, at: list[float], classes: li
     return ends.select(*by, F.array(*(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place))).alias("q"))
 
 
+def _bounded_quantiles(v: DataFrame, at: list[float], n: int, accuracy: int = 10_000) -> list[float] | None:
+    """The interpolated quantiles of ``n`` values __v, or None where a bound of the sketch does not hold, which the counts tell.
+
+    The values between two bounds, about 4 / accuracy of all and at most some 400,000 besides
+    equal ones, are counted by value, so that ties take no room.
+    """
+    accuracy = max(accuracy, n // 100_000)
+    place = [p * (n - 1) for p in at]
+    low, high = [math.floor(p) for p in place], [math.ceil(p) for p in place]
+    shares = [max(0.0, r / n - 2 / accuracy) for r in low] + [min(1.0, (r + 1) / n + 2 / accuracy) for r in high]
+    bounds = v.agg(F.percentile_approx("__v", F.array(*map(F.lit, shares)), accuracy).alias("b")).collect()[0].b
+    spans = list(zip(bounds[: len(at)], bounds[len(at) :], strict=True))
+    below = v.agg(*(F.count_if(F.col("__v") < lo).alias(f"b{i}") for i, (lo, _) in enumerate(spans))).collect()[0]
+    inside = F.array_compact(F.array(*(F.when(F.col("__v").between(lo, hi), i) for i, (lo, hi) in enumerate(spans))))
+    counted = v.where(functools.reduce(operator.or_, (F.col("__v").between(lo, hi) for lo, hi in spans))).groupBy("__v").agg(F.count("*").alias("__n"))
+    start = F.element_at(F.array(*map(F.lit, below)), F.col("__i") + 1)
+    upto = start + F.sum("__n").over(Window.partitionBy("__i").orderBy("__v"))
+    ranked = counted.select("__v", "__n", F.explode(inside).alias("__i")).withColumn("__upto", upto)
+    holds = lambda r, i: F.max(F.when((F.col("__i") == i) & (F.col("__upto") > r) & (F.col("__upto") - F.col("__n") <= r), F.col("__v")))
+    ends = ranked.agg(*(holds(r, i).alias(f"{end}{i}") for end, places in (("lo", low), ("hi", high)) for i, r in enumerate(places))).collect()[0]
+    if None in ends:
+        return None
+    return [ends[f"lo{i}"] + (ends[f"hi{i}"] - ends[f"lo{i}"]) * (p - low[i]) for i, p in enumerate(place)]
+
+
 def _with_value(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     named = values.select(*(F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)), "__r")
     same = [F.col(k).eqNullSafe(F.col(f"__v{i}")) for i, k in enumerate(keys)]

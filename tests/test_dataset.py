@@ -1,4 +1,15 @@
+import os
+import random
+from statistics import quantiles
+
+import pytest
+from pyspark.sql import functions as F
+
 from tamarack.dataset import expand, pipeline, pools
+from tamarack.operators import ranking
+from tamarack.plans.mart import Mart
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def pairs(spark, rows):
@@ -67,3 +78,19 @@ def test_split_checks(spark):
     assert got == {("train", "question in test"): 1, ("validation", "id in prompt"): 1, ("validation", "repeated pair"): 1, ("validation", "repeated question"): 1, ("validation", "template in train"): 1}
     other = {(r.split, r.check) for r in pipeline.split_checks(chats.join(df, "id"), "other", "z(b)").collect()}
     assert {("train", "other instruction"), ("train", "schema not whole")} <= other
+
+
+def test_numeric_pools_are_made_one_after_the_other(spark):
+    """The stages of all pools at once are more than a driver of 1.5 GB holds; the last query only reads what was written."""
+    plan = pools.numeric_pools(Mart(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and not any(x in plan for x in ("Join", "Aggregate", "Sort", "Window"))
+
+
+@pytest.mark.parametrize("kind", ["different", "tied", "skewed"])
+def test_quantiles_of_many_values_without_ranking_them(spark, monkeypatch, kind):
+    draw = random.Random(3)
+    values = [{"different": draw.gauss(0, 1e6), "tied": float(draw.randrange(7)), "skewed": draw.choice([0.0, draw.random()])}[kind] for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+    monkeypatch.setattr(ranking, "range_rank", lambda *_: pytest.fail("all values were ranked"))
+    got = ranking.exact_quantiles(df, F.col("v"), [i / 10 for i in range(1, 10)], one_task_rows=1000).collect()[0].q
+    assert got == pytest.approx(quantiles(values, n=10, method="inclusive"), rel=1e-12, abs=1e-12)
