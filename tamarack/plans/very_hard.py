@@ -44,7 +44,7 @@ TEMPLATES = [
     T("v04_change_by_month", lambda m, year: m.ord.where(in_year(C("placed"), year)).groupBy(month_of(C("placed")).alias("month")).agg(total(C("total")).alias("value")).withColumn("change", C("value") - F.lag("value").over(Window.orderBy("month"))), f"SELECT month, value, value - lag(value) OVER (ORDER BY month) AS change FROM (SELECT {_MONTH.format('placed')} AS month, {_VALUE} AS value FROM ord WHERE extract(year FROM placed) = {{year}} GROUP BY 1)", {"year": 1999}),
     T("v05_done_and_pending_by_country", lambda m: m.ord.join(m.cust.select("cust_id", "country"), "cust_id").groupBy("country").agg(F.count_if(C("status") == "F").alias("done"), F.count_if(C("status") == "P").alias("pending")), "SELECT country, count(*) FILTER (status = 'F') AS done, count(*) FILTER (status = 'P') AS pending FROM ord JOIN cust USING (cust_id) GROUP BY country"),
     T("v06_done_share_by_country", lambda m: m.ord.join(m.cust.select("cust_id", "country"), "cust_id").groupBy("country").agg(percent(F.count_if(C("status") == "F"), F.count("*")).alias("pct")), "SELECT country, 100.0::DOUBLE * count(*) FILTER (status = 'F') / nullif(CAST(count(*) AS DOUBLE), 0) AS pct FROM ord JOIN cust USING (cust_id) GROUP BY country"),
-    T("v07_mean_days_to_arrival", lambda m: m.ship.join(m.ord.select("ord_id", "placed"), "ord_id").agg(mean_days("placed", "arrived").alias("days")), f"SELECT {days_mean('placed', 'arrived')} AS days FROM ship JOIN ord USING (ord_id)"),
+    T("v07_mean_days_to_arrival", lambda m: m.ship.where("arrived is not null").join(m.ord.select("ord_id", "placed"), "ord_id").agg(mean_days("placed", "arrived").alias("days")), f"SELECT {days_mean('placed', 'arrived')} AS days FROM ship JOIN ord USING (ord_id)"),
     T("v08_mean_days_by_carrier", lambda m: m.ship.groupBy("carrier").agg(mean_days("sent", "arrived").alias("days")), f"SELECT carrier, {days_mean('sent', 'arrived')} AS days FROM ship GROUP BY carrier"),
     T("v09_share_of_each_brand", lambda m: m.item.groupBy("part_id").agg(F.sum(C("rev").cast("decimal(18,4)")).alias("rev")).join(m.prod, "part_id").groupBy("brand").agg(F.sum("rev").cast("double").alias("revenue")).withColumn("share", C("revenue") * 100.0 / F.sum(C("revenue").cast("decimal(22,4)")).over(Window.partitionBy()).cast("double")), f"SELECT brand, revenue, revenue * 100.0::DOUBLE / CAST(sum(CAST(revenue AS DECIMAL(22,4))) OVER () AS DOUBLE) AS share FROM (SELECT brand, {_REV} AS revenue FROM item JOIN prod USING (part_id) GROUP BY brand)"),
     T("v10_categories_below", _below, "WITH RECURSIVE sub AS (SELECT cat_id, 0::BIGINT AS distance, [cat_id] AS seen FROM cat WHERE contains(cat, {name}) UNION ALL SELECT k.cat_id, s.distance + 1, list_append(s.seen, k.cat_id) FROM sub s JOIN cat k ON k.up_id = s.cat_id WHERE NOT list_contains(s.seen, k.cat_id) AND s.distance < 60), up AS (SELECT cat_id AS start, up_id, [cat_id] AS seen, FALSE AS looped FROM cat UNION ALL SELECT u.start, k.up_id, list_append(u.seen, k.cat_id), list_contains(u.seen, k.cat_id) FROM up u JOIN cat k ON k.cat_id = u.up_id WHERE NOT u.looped) SELECT cat_id, min(distance) AS distance FROM sub WHERE distance > 0 AND cat_id NOT IN (SELECT start FROM up WHERE looped) GROUP BY cat_id", {"name": "Bamboo"}),
